@@ -1,0 +1,165 @@
+import os
+
+import pytest
+from conftest import HEADER, month_rows, write_csv
+from pyspark.sql import functions as F
+
+from roadpulse.sources.store import TrafficStore
+from roadpulse.sources.sync import sync
+
+
+@pytest.fixture()
+def dirs(tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    return str(src), TrafficStore.__new__(TrafficStore), str(tmp_path / "store")
+
+
+def store_of(spark, root):
+    return TrafficStore(spark, root)
+
+
+def months_in(store):
+    return sorted((r["year"], r["month"], r["n"]) for r in store.table().groupBy("year", "month").agg(F.count("*").alias("n")).collect())
+
+
+def manifest_of(store):
+    return sorted(r["filename"] for r in store.manifest().collect())
+
+
+def test_first_load_new_file_and_no_change(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
+    r = sync(spark, str(src), st)
+    assert r.loaded == ["traffic_density_202401.csv"]
+    assert months_in(st) == [(2024, 1, 3)]
+    write_csv(src / "traffic_density_202402.csv", month_rows(2024, 2, 4))
+    r = sync(spark, str(src), st)
+    assert r.loaded == ["traffic_density_202402.csv"]  # only the new file is read
+    assert months_in(st) == [(2024, 1, 3), (2024, 2, 4)]
+    assert manifest_of(st) == ["traffic_density_202401.csv", "traffic_density_202402.csv"]
+    r = sync(spark, str(src), st)
+    assert r.loaded == [] and r.removed == []
+    assert months_in(st) == [(2024, 1, 3), (2024, 2, 4)]
+
+
+def test_removed_file_drops_its_month(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
+    write_csv(src / "traffic_density_202402.csv", month_rows(2024, 2, 2))
+    sync(spark, str(src), st)
+    os.remove(src / "traffic_density_202401.csv")
+    r = sync(spark, str(src), st)
+    assert r.removed == ["traffic_density_202401.csv"] and r.dropped_months == [(2024, 1)]
+    assert months_in(st) == [(2024, 2, 2)]
+    assert manifest_of(st) == ["traffic_density_202402.csv"]
+    jan = tmp_path / "store" / "traffic" / "year=2024" / "month=1"
+    assert not jan.exists() or not [f for f in os.listdir(jan) if f.endswith(".parquet")]
+
+
+def test_two_files_one_month(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "a_202401.csv", month_rows(2024, 1, 3, geohash="a"))
+    write_csv(src / "b_202401.csv", month_rows(2024, 1, 2, geohash="b"))
+    sync(spark, str(src), st)
+    assert months_in(st) == [(2024, 1, 5)]
+    os.remove(src / "a_202401.csv")
+    sync(spark, str(src), st)
+    # All January rows go, b stays in the manifest and is not reloaded.
+    assert months_in(st) == []
+    assert manifest_of(st) == ["b_202401.csv"]
+    r = sync(spark, str(src), st)
+    assert r.loaded == [] and months_in(st) == []
+
+
+def test_remove_by_file_keeps_other_file_of_month(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "a_202401.csv", month_rows(2024, 1, 3, geohash="a"))
+    write_csv(src / "b_202401.csv", month_rows(2024, 1, 2, geohash="b"))
+    sync(spark, str(src), st)
+    os.remove(src / "a_202401.csv")
+    sync(spark, str(src), st, match="file")
+    assert months_in(st) == [(2024, 1, 2)]
+    assert sorted(r["GEOHASH"] for r in st.table().collect()) == ["b", "b"]
+
+
+def test_name_without_digits_keeps_rows(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "misc.csv", month_rows(2024, 3, 2))
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 1))
+    sync(spark, str(src), st)
+    os.remove(src / "misc.csv")
+    r = sync(spark, str(src), st)
+    assert r.removed == ["misc.csv"] and r.dropped_months == []
+    assert months_in(st) == [(2024, 1, 1), (2024, 3, 2)]
+    assert manifest_of(st) == ["traffic_density_202401.csv"]
+
+
+def test_empty_folder_errors_only_without_history(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        sync(spark, str(src), st)
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 2))
+    sync(spark, str(src), st)
+    os.remove(src / "traffic_density_202401.csv")
+    r = sync(spark, str(src), st)  # all removed: no error, empty table
+    assert r.removed == ["traffic_density_202401.csv"]
+    assert st.table().count() == 0
+    assert manifest_of(st) == []
+
+
+def test_manifest_lost_rows_present_once(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
+    sync(spark, str(src), st)
+    st.remove_manifest_entries(["traffic_density_202401.csv"])  # rows stored, no manifest row
+    r = sync(spark, str(src), st)
+    assert r.repaired == ["traffic_density_202401.csv"]
+    assert months_in(st) == [(2024, 1, 3)]
+    assert manifest_of(st) == ["traffic_density_202401.csv"]
+
+
+def test_reordered_extra_columns_and_fractional_int(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    rows = month_rows(2024, 1, 2)
+    rows[0]["AVERAGE_SPEED"] = 58.7
+    rows[1]["AVERAGE_SPEED"] = 2.5
+    for r in rows:
+        r["EXTRA"] = "x"
+    header = ["EXTRA"] + list(reversed(HEADER))
+    write_csv(src / "traffic_density_202401.csv", rows, header=header)
+    write_csv(src / "traffic_density_202402.csv", month_rows(2024, 2, 1))
+    sync(spark, str(src), st)
+    got = {r["DATE_TIME"].day: r for r in st.table().where("month = 1").collect()}
+    assert got[1]["AVERAGE_SPEED"] == 59 and got[2]["AVERAGE_SPEED"] == 2
+    assert got[1]["GEOHASH"] == "sxk9" and got[1]["LATITUDE"] == 41.0
+    assert st.table().count() == 3
+
+
+def test_calendar_columns_from_csv(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    rows = month_rows(2024, 1, 1)
+    rows[0]["DATE_TIME"] = "2024-01-07 17:00:00"  # a Sunday
+    rows += [dict(rows[0], DATE_TIME="2024-01-13 05:00:00")]  # a Saturday
+    write_csv(src / "traffic_density_202401.csv", rows)
+    sync(spark, str(src), st)
+    got = sorted((r["dow"], r["hour"], str(r["month_ts"]), str(r["day_ts"])) for r in st.table().collect())
+    assert got == [(0, 17, "2024-01-01 00:00:00", "2024-01-07 00:00:00"), (6, 5, "2024-01-01 00:00:00", "2024-01-13 00:00:00")]
