@@ -1,9 +1,111 @@
-"""Registered load/sync scenarios (filled in with the sync module)."""
+"""Load and sync steps registered as driver queries.
+
+Each scenario starts from the measurement rows derived from the whole
+``lineitem`` table. The file-name lists are built from the months present in
+the data, so they grow with it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import RAW_COLUMNS
+from ..session import configure, scratch_dir
+from ..sources.fixture import traffic_fixture
+from ..sources.store import TrafficStore
+from ..sources.sync import months_of, name_year, new_files, removed_files, sync, without_months
+from ..streaming.pickup import pick_up, picked_up
+
+# Scenario parameters: files of years up to this one count as loaded before
+# (new-file scenario); the files of this year are deleted (removal scenario).
+LOADED_UNTIL_YEAR = 1997
+REMOVED_YEAR = 1996
+
+
+def month_file_names(traffic: DataFrame) -> DataFrame:
+    """``traffic_density_YYYYMM.csv`` for each month in the data."""
+    return (
+        traffic.where(F.col("year").isNotNull())
+        .select(F.format_string("traffic_density_%04d%02d.csv", "year", "month").alias("filename"))
+        .distinct()
+    )
+
+
+def new_files_scenario(traffic: DataFrame) -> DataFrame:
+    on_disk = month_file_names(traffic)
+    manifest = on_disk.where(name_year(F.col("filename")) <= LOADED_UNTIL_YEAR)
+    return new_files(on_disk, manifest).select("filename")
+
+
+def removed_files_scenario(traffic: DataFrame) -> DataFrame:
+    manifest = month_file_names(traffic)
+    on_disk = manifest.where(name_year(F.col("filename")) != REMOVED_YEAR)
+    gone = removed_files(manifest, on_disk)
+    return without_months(traffic, months_of(gone))
+
+
+def write_source_csv(traffic: DataFrame, folder: str) -> None:
+    """The source columns as headed CSV files (one per write task)."""
+    traffic.select(*RAW_COLUMNS).write.option("header", True).mode("overwrite").csv(folder)
+
+
+def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    base = scratch_dir(spark, "ingest")
+    write_source_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
+    store = TrafficStore(spark, f"{base}/store")
+    sync(spark, f"{base}/data", store)
+    return store.table()
+
+
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    base = scratch_dir(spark, "stream")
+    write_source_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
+    pick_up(spark, f"{base}/data", f"{base}/sink", f"{base}/checkpoint")
+    return picked_up(spark, f"{base}/sink")
+
+
+def _on_fixture(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return fn(traffic_fixture(spark, sf_dir))
+
+    return run
 
 
 def registered():
-    return {}
+    return {
+        "sync_new_files": _on_fixture(new_files_scenario),
+        "sync_removed_files": _on_fixture(removed_files_scenario),
+        "ingest_roundtrip": ingest_roundtrip,
+        "stream_roundtrip": stream_roundtrip,
+    }
+
+
+_NAMES = "SELECT DISTINCT printf('traffic_density_%04d%02d.csv', year, month) AS filename FROM traffic WHERE year IS NOT NULL"
+_YEAR_OF = "TRY_CAST(regexp_extract({n}, '(\\d{{4}})(\\d{{2}})', 1) AS INT)"
+_MONTH_OF = "TRY_CAST(regexp_extract({n}, '(\\d{{4}})(\\d{{2}})', 2) AS INT)"
 
 
 def oracle():
-    return {}
+    y = _YEAR_OF.format(n="filename")
+    new_sql = f"""
+, on_disk AS ({_NAMES}),
+manifest AS (SELECT filename FROM on_disk WHERE {y} <= {LOADED_UNTIL_YEAR})
+SELECT filename FROM on_disk d WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.filename = d.filename)"""
+    removed_sql = f"""
+, manifest AS ({_NAMES}),
+on_disk AS (SELECT filename FROM manifest WHERE {y} <> {REMOVED_YEAR}),
+gone AS (SELECT filename FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM on_disk d WHERE d.filename = m.filename)),
+months AS (
+  SELECT DISTINCT {y} AS year, {_MONTH_OF.format(n="filename")} AS month FROM gone
+  WHERE {y} IS NOT NULL AND {_MONTH_OF.format(n="filename")} IS NOT NULL)
+SELECT * FROM traffic t WHERE NOT EXISTS (SELECT 1 FROM months m WHERE m.year = t.year AND m.month = t.month)"""
+    return {
+        "sync_new_files": new_sql,
+        "sync_removed_files": removed_sql,
+        "ingest_roundtrip": "SELECT * FROM traffic",
+        "stream_roundtrip": "SELECT * FROM traffic",
+    }
