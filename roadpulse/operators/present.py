@@ -17,7 +17,8 @@ from ..functions.format import (
     with_unit,
 )
 from .filters import DateRange
-from .reports import hotspots, kpis, speed_histogram, weekday_hour
+from .metrics import rounded_share
+from .reports import hotspots, in_range, kpis, speed_histogram
 
 HOURS = list(range(24))
 
@@ -38,12 +39,19 @@ def weekday_hour_matrix(traffic: DataFrame, rng: DateRange | None, threshold: in
     hour ``"0".."23"``, missing cells 0.
 
     All 24 hour columns are always present (the pivot values are given), so
-    the schema does not depend on the data. The pivot runs over the at most
-    168 (weekday, hour) cells of Q4, not over the measurements.
+    the schema does not depend on the data and no extra job looks for the
+    distinct hours. The pivot aggregates the measurements per (weekday, hour)
+    with a partial aggregate before the shuffle, then folds the at most 168
+    cells into rows; it is not ordered before pivoting, so no sort precedes it.
     """
-    cells = weekday_hour(traffic, rng, threshold)
     hour_cols = [str(h) for h in HOURS]
-    matrix = cells.groupBy("dow").pivot("hour", HOURS).agg(F.first("stau_pct")).na.fill(0.0, subset=hour_cols)
+    matrix = (
+        in_range(traffic, rng)
+        .groupBy("dow")
+        .pivot("hour", HOURS)
+        .agg(rounded_share(threshold))
+        .na.fill(0.0, subset=hour_cols)
+    )
     return matrix.orderBy(F.col("dow").asc_nulls_last()).select(
         weekday_name("dow").alias("weekday"), *[F.col(f"`{c}`") for c in hour_cols]
     )
