@@ -1,0 +1,64 @@
+"""Properties of the reports on the sf0.001 fixture, and rounding parity with
+the oracle engine on random doubles."""
+
+import duckdb
+import pytest
+from conftest import SF_SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from roadpulse.functions.numeric import round_half_away
+from roadpulse.operators import reports
+from roadpulse.sources.fixture import traffic_fixture
+
+
+@pytest.fixture(scope="module")
+def traffic(spark):
+    return traffic_fixture(spark, SF_SMALL).cache()
+
+
+def test_histogram_sums_to_total(traffic):
+    total = reports.kpis(traffic, None, 20).first()["total_rows"]
+    assert sum(r["cnt"] for r in reports.speed_histogram(traffic, None).collect()) == total == traffic.count()
+
+
+def test_monthly_totals_sum_to_kpi_total(traffic):
+    k = reports.kpis(traffic, None, 20).first()["total_vehicles"]
+    assert sum(r["total_vehicles"] for r in reports.monthly_trend(traffic, None, 20).collect()) == k
+    assert sum(r["total_vehicles"] for r in reports.monthly_vehicles(traffic, None).collect()) == k
+
+
+def test_share_bounded_and_monotone_in_threshold(traffic):
+    prev = None
+    for t in range(5, 65, 5):
+        cells = {(r["dow"], r["hour"]): r["stau_pct"] for r in reports.weekday_hour(traffic, None, t).collect()}
+        assert all(0.0 <= v <= 100.0 for v in cells.values())
+        if prev is not None:
+            assert all(cells[k] >= prev[k] for k in cells)
+        prev = cells
+
+
+def test_hotspots_sorted_and_filtered(traffic):
+    hs = reports.hotspots(traffic, None, 20).collect()
+    assert all(r["messungen"] > 100 for r in hs)
+    keys = [(-r["stau_pct"], r["GEOHASH"]) for r in hs]
+    assert keys == sorted(keys)
+
+
+_con = duckdb.connect()
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=40), st.sampled_from([0, 1, 2, 5]))
+def test_rounding_equals_oracle_round(spark, xs, digits):
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    got = [r[0] for r in df.select(round_half_away("x", digits)).collect()]
+    want = [r[0] for r in _con.execute(f"SELECT ROUND(x, {digits}) FROM (SELECT UNNEST(?::DOUBLE[]) AS x)", [list(map(float, xs))]).fetchall()]
+    assert [g == w or (g == 0 and w == 0) for g, w in zip(got, want)] == [True] * len(xs), (xs, got, want)
+
+
+@pytest.mark.parametrize("x", [1.005, 2.675, 0.49999999999999994, 4.35, 1234.5, 0.05, 33.35, 66.65])
+def test_rounding_ties(spark, x):
+    for digits in (0, 1, 2):
+        got = spark.createDataFrame([(x,)], "x double").select(round_half_away("x", digits)).first()[0]
+        assert got == _con.execute(f"SELECT ROUND({x!r}::DOUBLE, {digits})").fetchone()[0]
