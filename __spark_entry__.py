@@ -57,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     q = {
         "date_bounds": _q(lambda t: reports.date_bounds(t)),
+        "date_bounds_display": _q(lambda t: present.date_bounds_display(t)),
         "derive_calendar": _q(lambda t: t),
         "range_filter": _q(lambda t: reports.in_range(t, RANGE)),
         "kpis": _q(lambda t: reports.kpis(t, RANGE, THRESHOLD)),
@@ -180,6 +181,11 @@ def oracle_sql() -> dict[str, str]:
     rng, empty, t = _range(RANGE), _range(EMPTY_RANGE), THRESHOLD
     sql = {
         "date_bounds": "SELECT CAST(MIN(DATE_TIME) AS DATE) AS d_min, CAST(MAX(DATE_TIME) AS DATE) AS d_max FROM traffic",
+        "date_bounds_display": """
+SELECT strftime(MIN(DATE_TIME), '%Y-%m-%d') AS d_min_text,
+       strftime(MAX(DATE_TIME), '%Y-%m-%d') AS d_max_text,
+       strftime(MIN(DATE_TIME), '%b %Y') || ' – ' || strftime(MAX(DATE_TIME), '%b %Y') AS period
+FROM traffic""",
         "derive_calendar": "SELECT * FROM traffic",
         "range_filter": f"SELECT * FROM traffic WHERE {rng}",
         "kpis": _kpis(rng, t),

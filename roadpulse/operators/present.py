@@ -12,17 +12,29 @@ from ..functions.format import (
     PERCENT_UNIT,
     SPEED_UNIT,
     bin_label,
+    iso_day,
+    month_year,
     thousands,
     weekday_name,
     with_unit,
 )
 from .filters import DateRange
 from .metrics import rounded_share
-from .reports import hotspots, in_range, kpis, speed_histogram
+from .reports import date_bounds, hotspots, in_range, kpis, speed_histogram
 
 HOURS = list(range(24))
 
 
+def date_bounds_display(traffic: DataFrame) -> DataFrame:
+    """Q1 as text: both days as ISO dates and the data period as ``Mon YYYY – Mon YYYY``."""
+    b = date_bounds(traffic)
+    return b.select(
+        iso_day("d_min").alias("d_min_text"),
+        iso_day("d_max").alias("d_max_text"),
+        F.concat(month_year("d_min"), F.lit(" – "), month_year("d_max")).alias("period"),
+    )
+
+
 def kpi_display(traffic: DataFrame, rng: DateRange | None, threshold: int) -> DataFrame:
     """Q2b: the four tile texts (count with separators, units appended)."""
     k = kpis(traffic, rng, threshold)

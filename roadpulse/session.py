@@ -47,24 +47,25 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     local test session, a local temporary folder is taken and registered as
     the checkpoint directory, so ``DataFrame.checkpoint()`` works too.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="roadpulse-ckpt-")
-        sc.setCheckpointDir(base)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
+    base = ensure_checkpoint_dir(spark)
     leaf = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
     return f"{base.rstrip('/')}/{leaf}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
+    """The session's checkpoint folder; a local temporary one is set only when
+    the session names none (bare test sessions)."""
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no context
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set") from None
+        return conf_dir
     d = sc.getCheckpointDir()
     if d:
         return d
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadpulse-ckpt-")
-    sc.setCheckpointDir(base)
+    sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="roadpulse-ckpt-"))
     return sc.getCheckpointDir()
 
 
