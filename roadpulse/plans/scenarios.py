@@ -23,23 +23,35 @@ LOADED_UNTIL_YEAR = 1997
 REMOVED_YEAR = 1996
 
 
-def month_file_names(traffic: DataFrame) -> DataFrame:
-    """``traffic_density_YYYYMM.csv`` for each month in the data."""
-    return (
-        traffic.where(F.col("year").isNotNull())
-        .select(F.format_string("traffic_density_%04d%02d.csv", "year", "month").alias("filename"))
-        .distinct()
+def data_months(traffic: DataFrame) -> DataFrame:
+    """One row per calendar month present in the data, cached.
+
+    At most twelve rows per year of data. Caching makes it a leaf of the plans
+    built on it, so the file-name anti joins run on these few rows instead of
+    being pushed back into the scan of every measurement.
+    """
+    return traffic.where(F.col("year").isNotNull()).select("year", "month").distinct().cache()
+
+
+def month_file_names(months: DataFrame) -> DataFrame:
+    """``traffic_density_YYYYMM.csv`` for each (year, month) row."""
+    name = F.concat(
+        F.lit("traffic_density_"),
+        F.lpad(F.col("year").cast("string"), 4, "0"),
+        F.lpad(F.col("month").cast("string"), 2, "0"),
+        F.lit(".csv"),
     )
+    return months.select(name.alias("filename"))
 
 
 def new_files_scenario(traffic: DataFrame) -> DataFrame:
-    on_disk = month_file_names(traffic)
+    on_disk = month_file_names(data_months(traffic))
     manifest = on_disk.where(name_year(F.col("filename")) <= LOADED_UNTIL_YEAR)
     return new_files(on_disk, manifest).select("filename")
 
 
 def removed_files_scenario(traffic: DataFrame) -> DataFrame:
-    manifest = month_file_names(traffic)
+    manifest = month_file_names(data_months(traffic))
     on_disk = manifest.where(name_year(F.col("filename")) != REMOVED_YEAR)
     gone = removed_files(manifest, on_disk)
     return without_months(traffic, months_of(gone))
