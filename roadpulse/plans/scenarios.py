@@ -58,8 +58,16 @@ def removed_files_scenario(traffic: DataFrame) -> DataFrame:
 
 
 def write_source_csv(traffic: DataFrame, folder: str) -> None:
-    """The source columns as headed CSV files (one per write task)."""
-    traffic.select(*RAW_COLUMNS).write.option("header", True).mode("overwrite").csv(folder)
+    """The source columns as headed CSV files, ordered by time like the
+    monthly files of the real source: each file covers a contiguous stretch
+    of time, so a load task touches few months (a range sort on write)."""
+    (
+        traffic.select(*RAW_COLUMNS)
+        .orderBy("DATE_TIME")
+        .write.option("header", True)
+        .mode("overwrite")
+        .csv(folder)
+    )
 
 
 def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,13 @@ class TrafficStore:
     def remove_files_rows(self, filenames: list[str]) -> list[tuple[int, int]]:
         """Delete the rows that came from the given files, wherever they are.
 
-        Only the months that hold such rows are rewritten: their other rows are
-        first written to the checkpoint folder (which also cuts the plan off
-        the folder being replaced), the months are dropped, and the kept rows
-        are appended back.
+        Only the months that hold such rows are rewritten. Their other rows
+        are written to the checkpoint folder first (a reliable checkpoint, which
+        also cuts the plan off the folder being replaced); then the months that
+        keep rows are replaced with a dynamic partition overwrite, which stages
+        the new month folders and swaps them in at commit, so a failure before
+        the commit leaves the old month intact. Months left without rows are
+        dropped afterwards.
         """
         if not filenames:
             return []
@@ -134,9 +137,18 @@ class TrafficStore:
         keep = stored.where(in_months & ~F.coalesce(F.col(SOURCE_FILE).isin(filenames), F.lit(False))).checkpoint(
             eager=True
         )
-        self.drop_months(months)
-        self.append_rows(keep)
-        return months
+        kept = {(r["year"], r["month"]) for r in keep.select(*PARTITION_COLUMNS).distinct().collect()}
+        if kept:
+            (
+                keep.select(*STORED_COLUMNS)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+                .partitionBy(*PARTITION_COLUMNS)
+                .parquet(self.table_path)
+            )
+        self.drop_months([m for m in months if m not in kept])
+        return sorted(months)
 
     def remove_manifest_entries(self, filenames: list[str]) -> None:
         if not filenames:

@@ -163,3 +163,18 @@ def test_calendar_columns_from_csv(spark, tmp_path):
     sync(spark, str(src), st)
     got = sorted((r["dow"], r["hour"], str(r["month_ts"]), str(r["day_ts"])) for r in st.table().collect())
     assert got == [(0, 17, "2024-01-01 00:00:00", "2024-01-07 00:00:00"), (6, 5, "2024-01-01 00:00:00", "2024-01-13 00:00:00")]
+
+
+def test_remove_by_file_spanning_months(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "a_202401.csv", month_rows(2024, 1, 2, geohash="a") + month_rows(2024, 2, 3, geohash="a"))
+    write_csv(src / "b_202401.csv", month_rows(2024, 1, 4, geohash="b"))
+    sync(spark, str(src), st)
+    assert months_in(st) == [(2024, 1, 6), (2024, 2, 3)]
+    os.remove(src / "a_202401.csv")
+    r = sync(spark, str(src), st, match="file")
+    assert r.dropped_months == [(2024, 1), (2024, 2)]
+    assert months_in(st) == [(2024, 1, 4)]  # January keeps b's rows, February is gone
+    assert {row["GEOHASH"] for row in st.table().collect()} == {"b"}
