@@ -20,6 +20,7 @@ an executor only recomputes the lost blocks from the scan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -146,6 +147,16 @@ class Page:
         top = reports._worst_first(self._segments, reports.MAP_MIN_ROWS, reports.MAP_LIMIT)
         return top.select("lat", "lon", "stau_pct", "avg_speed", "messungen")
 
+    def fetch(self, max_parallel: int = 8) -> dict:
+        """All figures as pandas frames (Arrow transfer; every figure is a small
+        aggregate). The two shared aggregates are computed first, side by side;
+        then the figure jobs, which only re-read them, run concurrently."""
+        with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
+            list(pool.map(lambda df: df.count(), [self._cells, self._segments]))
+            figs = self.figures()
+            futures = {name: pool.submit(df.toPandas) for name, df in figs.items()}
+            return {name: f.result() for name, f in futures.items()}
+
     def figures(self) -> dict[str, DataFrame]:
         return {
             "kpis": self.kpis(),
@@ -167,7 +178,7 @@ def store_reports(
     def whole_page() -> DataFrame:
         page = Page(traffic, rng, threshold)
         try:
-            figs = [df.collect() for df in page.figures().values()]
+            figs = page.fetch()
         finally:
             page.close()
         return traffic.sparkSession.createDataFrame([(len(figs),)], "figures int")

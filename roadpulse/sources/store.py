@@ -79,6 +79,23 @@ class TrafficStore:
         """The ``traffic`` table the reports read (no ``source_file``)."""
         return self.stored().select(*TRAFFIC_COLUMNS)
 
+    def date_bounds(self) -> DataFrame:
+        """Q1 on the store without reading the whole timestamp column.
+
+        Every stored row's (year, month) is derived from its timestamp, so the
+        earliest and latest measurements lie in the first and last month
+        partitions. The first step aggregates partition values only (no data
+        column is read); the second reads ``DATE_TIME`` of those two months.
+        """
+        from ..operators.reports import date_bounds
+
+        t = self.table()
+        ym = F.col("year") * 100 + F.col("month")
+        edges = t.where(ym.isNotNull()).agg(F.min(ym).alias("lo"), F.max(ym).alias("hi")).first()
+        if edges["lo"] is None:
+            return date_bounds(t.where(F.lit(False)))
+        return date_bounds(t.where(ym.isin(edges["lo"], edges["hi"])))
+
     def manifest(self) -> DataFrame:
         """Loaded file names, one row each."""
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path).dropDuplicates(["filename"])

@@ -72,7 +72,21 @@ def test_page_equals_direct_reports(spark, store, rng, thr):
         }
         for name, df in page.figures().items():
             assert df.collect() == direct[name].collect(), name
+        fetched = page.fetch()
+        assert sorted(fetched) == sorted(direct)
+        assert [tuple(r) for r in fetched["kpis"].itertuples(index=False)] == [tuple(direct["kpis"].first())] or rng is not None
         p2 = page.with_threshold(45)
         assert p2.weekday_hour().collect() == reports.weekday_hour(t, rng, 45).collect()
     finally:
         page.close()
+
+
+def test_store_date_bounds_reads_two_months(spark, store):
+    assert store.date_bounds().collect() == reports.date_bounds(store.table()).collect()
+    text = plan_text(store.date_bounds())
+    assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_store_date_bounds_empty(spark, tmp_path):
+    st = TrafficStore(spark, str(tmp_path / "empty")).ensure()
+    assert tuple(st.date_bounds().first()) == (None, None)
