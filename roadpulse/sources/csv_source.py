@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from ..functions.calendar import with_calendar
 from ..schema import RAW_SCHEMA, SOURCE_FILE, STORED_COLUMNS
 
+# Concurrent first-line reads when grouping new files by header.
+HEADER_READERS = 16
+
 LISTING_SCHEMA = T.StructType(
     [T.StructField("path", T.StringType(), True), T.StructField("filename", T.StringType(), True)]
 )
@@ -58,8 +62,12 @@ def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     as text and cast to the fixed schema.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        groups[header_of(spark, p)].append(p)
+    # One first-line read per file; a first load may hold many files, so the
+    # small jobs run side by side.
+    with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
+        headers = list(pool.map(lambda p: header_of(spark, p), paths))
+    for p, h in zip(paths, headers):
+        groups[h].append(p)
     wanted = {f.name.lower(): f for f in RAW_SCHEMA.fields}
     frames = []
     for header, members in groups.items():
