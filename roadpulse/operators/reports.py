@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_away, speed_bin
+from ..functions.numeric import speed_bin
 from ..schema import AVERAGE_SPEED, DATE_TIME, GEOHASH, LATITUDE, LONGITUDE, NUMBER_OF_VEHICLES
 from .filters import DateRange
 from .metrics import rounded_avg, rounded_share, row_count
@@ -121,7 +121,7 @@ def segment_stats(traffic: DataFrame, rng: DateRange | None, threshold: int) ->
     )
 
 
-def _worst_first(segments: DataFrame, min_rows: int, limit: int) -> DataFrame:
+def worst_first(segments: DataFrame, min_rows: int, limit: int) -> DataFrame:
     """Segments with more than ``min_rows`` rows, highest share first, top ``limit``.
 
     Ties on the rounded share are broken by segment key so the cut is
@@ -144,7 +144,7 @@ def hotspots(
 ) -> DataFrame:
     """Q7: ``GEOHASH, lat, lon, messungen, avg_speed, stau_pct`` of the worst segments."""
     segments = segment_stats(traffic, rng, threshold)
-    return _worst_first(segments, min_rows, limit).select(
+    return worst_first(segments, min_rows, limit).select(
         GEOHASH, "lat", "lon", "messungen", "avg_speed", "stau_pct"
     )
 
@@ -158,7 +158,7 @@ def map_points(
 ) -> DataFrame:
     """Q8: map points ``lat, lon, stau_pct, avg_speed, messungen``; segment key dropped."""
     segments = segment_stats(traffic, rng, threshold)
-    return _worst_first(segments, min_rows, limit).select("lat", "lon", "stau_pct", "avg_speed", "messungen")
+    return worst_first(segments, min_rows, limit).select("lat", "lon", "stau_pct", "avg_speed", "messungen")
 
 
 def monthly_vehicles(traffic: DataFrame, rng: DateRange | None) -> DataFrame:
@@ -186,5 +186,4 @@ __all__ = [
     "map_points",
     "monthly_vehicles",
     "in_range",
-    "round_half_away",
 ]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_away, speed_bin
 from ..operators import present, reports
-from ..operators.filters import DateRange
+from ..operators.filters import DateRange, check_range, check_threshold, normalize_range
 from ..schema import AVERAGE_SPEED, NUMBER_OF_VEHICLES
 
 DEFAULT_RANGE = DateRange.of("1997-01-01", "1999-12-31")
@@ -140,11 +140,11 @@ class Page:
 
     # -- figures from the segments ------------------------------------------------
     def hotspots(self) -> DataFrame:
-        top = reports._worst_first(self._segments, reports.HOTSPOT_MIN_ROWS, reports.HOTSPOT_LIMIT)
+        top = reports.worst_first(self._segments, reports.HOTSPOT_MIN_ROWS, reports.HOTSPOT_LIMIT)
         return top.select("GEOHASH", "lat", "lon", "messungen", "avg_speed", "stau_pct")
 
     def map_points(self) -> DataFrame:
-        top = reports._worst_first(self._segments, reports.MAP_MIN_ROWS, reports.MAP_LIMIT)
+        top = reports.worst_first(self._segments, reports.MAP_MIN_ROWS, reports.MAP_LIMIT)
         return top.select("lat", "lon", "stau_pct", "avg_speed", "messungen")
 
     def fetch(self, max_parallel: int = 8) -> dict:
@@ -170,6 +170,25 @@ class Page:
         }
 
 
+def data_bounds(traffic: DataFrame) -> tuple:
+    """Q1 fetched as a pair of dates (S13: one row to the driver)."""
+    row = reports.date_bounds(traffic).first()
+    return row["d_min"], row["d_max"]
+
+
+def open_view(traffic: DataFrame, date_value=None, threshold: int = DEFAULT_THRESHOLD, bounds: tuple | None = None) -> Page:
+    """The page flow: data bounds, the picked dates normalised to a closed
+    range (two dates, one date until the end of the data, or one day), the
+    threshold and range checked against their domains, then the page."""
+    b = bounds if bounds is not None else data_bounds(traffic)
+    if b[0] is None:
+        raise ValueError("the table holds no measurements")
+    rng = normalize_range(b if date_value is None else date_value, b)
+    check_threshold(threshold)
+    check_range(rng, b)
+    return Page(traffic, rng, threshold)
+
+
 def store_reports(
     traffic: DataFrame, rng: DateRange = DEFAULT_RANGE, threshold: int = DEFAULT_THRESHOLD
 ) -> dict[str, Callable[[], DataFrame]]:

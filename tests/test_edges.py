@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from roadpulse.functions.calendar import with_calendar
 from roadpulse.functions.numeric import round_half_away

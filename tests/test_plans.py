@@ -90,3 +90,22 @@ def test_store_date_bounds_reads_two_months(spark, store):
 def test_store_date_bounds_empty(spark, tmp_path):
     st = TrafficStore(spark, str(tmp_path / "empty")).ensure()
     assert tuple(st.date_bounds().first()) == (None, None)
+
+
+def test_open_view_flow(spark, store):
+    import datetime as dt
+
+    from roadpulse.plans.dashboard import data_bounds, open_view
+
+    t = store.table()
+    lo, hi = data_bounds(t)
+    page = open_view(t, (dt.date(1997, 1, 1),), 20)
+    try:
+        assert page.rng == DateRange(dt.date(1997, 1, 1), hi)
+        assert page.kpis().collect() == reports.kpis(t, page.rng, 20).collect()
+    finally:
+        page.close()
+    with pytest.raises(ValueError):
+        open_view(t, None, 22)
+    with pytest.raises(ValueError):
+        open_view(t, (lo - dt.timedelta(days=1), hi), 20)
