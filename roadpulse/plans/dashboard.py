@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pct, round_half_away, speed_bin
 from ..operators import present, reports
 from ..operators.filters import DateRange, check_range, check_threshold, normalize_range
+from .rollup import cells_from_rollup
 from ..schema import AVERAGE_SPEED, NUMBER_OF_VEHICLES
 
 DEFAULT_RANGE = DateRange.of("1997-01-01", "1999-12-31")
@@ -67,11 +68,21 @@ def _avg_vehicles(digits: int) -> Column:
 
 
 class Page:
-    def __init__(self, traffic: DataFrame, rng: DateRange | None, threshold: int, persist: bool = True):
+    """All figures of one view. With ``rollup`` (the store's rollup), the cell
+    figures read the rollup rows of the range instead of the measurements."""
+
+    def __init__(
+        self,
+        traffic: DataFrame,
+        rng: DateRange | None,
+        threshold: int,
+        persist: bool = True,
+        rollup: DataFrame | None = None,
+    ):
         self.traffic = traffic
         self.rng = rng
         self.threshold = threshold
-        self._cells = cells(traffic, rng)
+        self._cells = cells(traffic, rng) if rollup is None else cells_from_rollup(rollup, rng)
         self._segments = reports.segment_stats(traffic, rng, threshold)
         if persist:
             self._cells = self._cells.persist(StorageLevel.MEMORY_AND_DISK)

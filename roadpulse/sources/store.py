@@ -4,6 +4,7 @@ plus the manifest of loaded file names.
 Layout under ``root``::
 
     traffic/year=YYYY/month=M/part-*.parquet
+    rollup/year=YYYY/month=M/part-*.parquet     (see plans/rollup.py)
     imported_files/part-*.parquet
 
 Appends never shuffle: a monthly file's splits each land in one month folder.
@@ -30,11 +31,15 @@ from ..schema import (
     TRAFFIC_COLUMNS,
     ddl,
 )
+from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, build_rollup
 from ..session import ensure_checkpoint_dir
 
 # Upper bound on rows per written file, so one hot month still becomes many
 # files of bounded size.
 MAX_RECORDS_PER_FILE = 5_000_000
+# The rollup of one load is small (bounded by days x 24 x speeds per month);
+# a few writers keep its files few.
+ROLLUP_WRITE_PARTITIONS = 8
 
 
 class TrafficStore:
@@ -43,7 +48,9 @@ class TrafficStore:
         self.root = root.rstrip("/")
         self.table_path = f"{self.root}/traffic"
         self.manifest_path = f"{self.root}/imported_files"
+        self.rollup_path = f"{self.root}/rollup"
         self._handle = "roadpulse_traffic_" + hashlib.sha1(self.table_path.encode()).hexdigest()[:16]
+        self._rollup_handle = "roadpulse_rollup_" + hashlib.sha1(self.rollup_path.encode()).hexdigest()[:16]
 
     # -- S3: create if missing ------------------------------------------------
     def ensure(self) -> "TrafficStore":
@@ -54,11 +61,18 @@ class TrafficStore:
             self.spark.createDataFrame([], STORED_SCHEMA).write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(
                 self.table_path
             )
+            self.spark.createDataFrame([], ROLLUP_SCHEMA).write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(
+                self.rollup_path
+            )
             self.spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("append").parquet(self.manifest_path)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self._handle} ({ddl(STORED_SCHEMA)}) USING parquet "
-            f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{self.table_path}'"
-        )
+        for handle, schema, path in (
+            (self._handle, STORED_SCHEMA, self.table_path),
+            (self._rollup_handle, ROLLUP_SCHEMA, self.rollup_path),
+        ):
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {handle} ({ddl(schema)}) USING parquet "
+                f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{path}'"
+            )
         return self
 
     def _exists(self, path: str) -> bool:
@@ -96,6 +110,10 @@ class TrafficStore:
             return date_bounds(t.where(F.lit(False)))
         return date_bounds(t.where(ym.isin(edges["lo"], edges["hi"])))
 
+    def rollup(self) -> DataFrame:
+        """The rollup of all stored rows (plans/rollup.py)."""
+        return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path)
+
     def manifest(self) -> DataFrame:
         """Loaded file names, one row each."""
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path).dropDuplicates(["filename"])
@@ -110,24 +128,55 @@ class TrafficStore:
             .parquet(self.table_path)
         )
 
+    def append_rollup_of_files(self, filenames: list[str]) -> None:
+        """Roll up the stored rows of the given files and append the result.
+
+        Reads only what the rollup needs, and the ``source_file`` predicate is
+        pushed to the Parquet reader, so row groups of other files are skipped
+        on their statistics."""
+        if not filenames:
+            return
+        rows = self.stored().where(F.col(SOURCE_FILE).isin(filenames))
+        self._write_rollup(build_rollup(rows), mode="append")
+
+    def _write_rollup(self, rolled: DataFrame, mode: str) -> None:
+        w = rolled.select(*ROLLUP_COLUMNS).coalesce(ROLLUP_WRITE_PARTITIONS).write.mode(mode)
+        if mode == "overwrite":
+            w = w.option("partitionOverwriteMode", "dynamic")
+        w.partitionBy(*PARTITION_COLUMNS).parquet(self.rollup_path)
+
+    def rebuild_rollup(self, months: list[tuple[int, int]]) -> None:
+        """Recompute the rollup of the given months from the store."""
+        if not months:
+            return
+        in_months = (F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months])
+        rolled = build_rollup(self.stored().where(in_months))
+        have = {(r["year"], r["month"]) for r in rolled.select(*PARTITION_COLUMNS).distinct().collect()}
+        if have:
+            self._write_rollup(rolled, mode="overwrite")
+        self._drop(self._rollup_handle, ROLLUP_SCHEMA, [m for m in months if m not in have])
+
     def append_manifest(self, names: DataFrame) -> None:
         names.select(F.col("filename").cast("string")).coalesce(1).write.mode("append").parquet(self.manifest_path)
 
     # -- S7 / S8: removals -----------------------------------------------------
     def drop_months(self, months: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Delete all rows of the given (year, month) partitions."""
-        done = []
+        """Delete all rows of the given (year, month) partitions, and their rollup."""
+        months = sorted({(int(y), int(m)) for y, m in months})
+        self._drop(self._handle, STORED_SCHEMA, months)
+        self._drop(self._rollup_handle, ROLLUP_SCHEMA, months)
+        return months
+
+    def _drop(self, handle: str, schema, months: Iterable[tuple[int, int]]) -> None:
         nulls = ", ".join(
             f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`"
-            for f in STORED_SCHEMA.fields
+            for f in schema.fields
             if f.name not in PARTITION_COLUMNS
         )
         for y, m in sorted(set(months)):
             self.spark.sql(
-                f"INSERT OVERWRITE {self._handle} PARTITION (year = {int(y)}, month = {int(m)}) SELECT {nulls} WHERE false"
+                f"INSERT OVERWRITE {handle} PARTITION (year = {int(y)}, month = {int(m)}) SELECT {nulls} WHERE false"
             )
-            done.append((int(y), int(m)))
-        return done
 
     def remove_files_rows(self, filenames: list[str]) -> list[tuple[int, int]]:
         """Delete the rows that came from the given files, wherever they are.
@@ -164,7 +213,8 @@ class TrafficStore:
                 .partitionBy(*PARTITION_COLUMNS)
                 .parquet(self.table_path)
             )
-        self.drop_months([m for m in months if m not in kept])
+        self._drop(self._handle, STORED_SCHEMA, [m for m in months if m not in kept])
+        self.rebuild_rollup(months)
         return sorted(months)
 
     def remove_manifest_entries(self, filenames: list[str]) -> None:

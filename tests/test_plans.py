@@ -19,6 +19,7 @@ RNG = DateRange.of("1997-01-01", "1999-12-31")
 def store(spark, tmp_path_factory):
     st = TrafficStore(spark, str(tmp_path_factory.mktemp("store"))).ensure()
     st.append_rows(traffic_fixture(spark, SF_SMALL).withColumn("source_file", F.lit("fixture.csv")))
+    st.append_rollup_of_files(["fixture.csv"])
     return st
 
 
@@ -55,10 +56,14 @@ def test_store_reports_equal_fixture_reports(spark, store):
         assert rows(f(store.table(), RNG, 20)) == rows(f(fx, RNG, 20))
 
 
-@pytest.mark.parametrize("rng,thr", [(RNG, 20), (None, 35), (DateRange.of("1980-01-01", "1980-02-01"), 20)])
-def test_page_equals_direct_reports(spark, store, rng, thr):
+@pytest.mark.parametrize("use_rollup", [False, True])
+@pytest.mark.parametrize(
+    "rng,thr",
+    [(RNG, 20), (None, 35), (DateRange.of("1980-01-01", "1980-02-01"), 20), (DateRange.of("1996-03-05", "1996-03-05"), 40)],
+)
+def test_page_equals_direct_reports(spark, store, rng, thr, use_rollup):
     t = store.table()
-    page = Page(t, rng, thr)
+    page = Page(t, rng, thr, rollup=store.rollup() if use_rollup else None)
     try:
         direct = {
             "kpis": reports.kpis(t, rng, thr),
@@ -109,3 +114,25 @@ def test_open_view_flow(spark, store):
         open_view(t, None, 22)
     with pytest.raises(ValueError):
         open_view(t, (lo - dt.timedelta(days=1), hi), 20)
+
+
+def test_rollup_bounds_and_last_second(spark, tmp_path):
+    import datetime as dt
+
+    from roadpulse.functions.calendar import with_calendar
+    from roadpulse.plans.rollup import bounds_from_rollup, build_rollup
+    from roadpulse.schema import RAW_SCHEMA
+
+    rows = [
+        (dt.datetime(2024, 1, 31, 23, 59, 59), 41.0, 29.0, "a", 0, 9, 10, 1),
+        (dt.datetime(2024, 1, 31, 23, 59, 59, 500000), 41.0, 29.0, "a", 0, 9, 30, 1),
+        (dt.datetime(2024, 1, 1, 0, 0, 0), 41.0, 29.0, "a", 0, 9, 50, 1),
+        (None, 41.0, 29.0, "a", 0, 9, 70, 1),
+    ]
+    t = with_calendar(spark.createDataFrame(rows, RAW_SCHEMA))
+    ru = build_rollup(t)
+    for rng in (DateRange.of("2024-01-01", "2024-01-31"), DateRange.of("2024-01-31", "2024-02-01"), None):
+        page = Page(t, rng, 20, persist=False, rollup=ru)
+        assert page.kpis().collect() == reports.kpis(t, rng, 20).collect()
+        assert page.speed_histogram().collect() == reports.speed_histogram(t, rng).collect()
+    assert bounds_from_rollup(ru).collect() == reports.date_bounds(t).collect()
