@@ -78,6 +78,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_display": _q(lambda t: present.kpi_display(t, RANGE, THRESHOLD)),
     }
     q.update(scenarios.registered())
+    q.update(
+        {
+            "rollup_date_bounds": _q(lambda t: scenarios.via_rollup(t, None, THRESHOLD, "date_bounds")),
+            "rollup_kpis": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "kpis")),
+            "rollup_monthly_trend": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "monthly_trend")),
+            "rollup_weekday_hour": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "weekday_hour")),
+            "rollup_hour_of_day": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "hour_of_day")),
+            "rollup_speed_histogram": _q(lambda t: scenarios.via_rollup(t, None, THRESHOLD, "speed_histogram")),
+            "rollup_monthly_vehicles": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "monthly_vehicles")),
+        }
+    )
     return q
 
 
@@ -230,4 +241,15 @@ SELECT format('{{:,}}', total_rows) AS total_rows_text,
 FROM ({_kpis(rng, t)}) k""",
     }
     sql.update(scenarios.oracle())
+    # Rollup-backed figures must equal the direct reports exactly.
+    for name in (
+        "date_bounds",
+        "kpis",
+        "monthly_trend",
+        "weekday_hour",
+        "hour_of_day",
+        "speed_histogram",
+        "monthly_vehicles",
+    ):
+        sql[f"rollup_{name}"] = sql[name]
     return {k: TRAFFIC_CTE + v for k, v in sql.items()}

@@ -87,6 +87,17 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked_up(spark, f"{base}/sink")
 
 
+def via_rollup(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFrame:
+    """A dashboard figure computed from the rollup of the measurements."""
+    from .dashboard import Page
+    from .rollup import bounds_from_rollup, build_rollup
+
+    rollup = build_rollup(traffic)
+    if figure == "date_bounds":
+        return bounds_from_rollup(rollup)
+    return getattr(Page(traffic, rng, threshold, persist=False, rollup=rollup), figure)()
+
+
 def _on_fixture(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)

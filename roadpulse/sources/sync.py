@@ -61,7 +61,8 @@ def without_months(traffic: DataFrame, months: DataFrame) -> DataFrame:
     data, so its size is bounded by the time span, not by the row count; it is
     broadcast and the large side is never shuffled.
     """
-    return traffic.join(F.broadcast(months.select("year", "month")), ["year", "month"], "left_anti")
+    kept = traffic.join(F.broadcast(months.select("year", "month")), ["year", "month"], "left_anti")
+    return kept.select(*traffic.columns)
 
 
 @dataclass
