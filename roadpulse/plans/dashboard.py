@@ -187,17 +187,31 @@ def data_bounds(traffic: DataFrame) -> tuple:
     return row["d_min"], row["d_max"]
 
 
-def open_view(traffic: DataFrame, date_value=None, threshold: int = DEFAULT_THRESHOLD, bounds: tuple | None = None) -> Page:
+def open_view(
+    traffic: DataFrame,
+    date_value=None,
+    threshold: int = DEFAULT_THRESHOLD,
+    bounds: tuple | None = None,
+    rollup: DataFrame | None = None,
+) -> Page:
     """The page flow: data bounds, the picked dates normalised to a closed
     range (two dates, one date until the end of the data, or one day), the
     threshold and range checked against their domains, then the page."""
-    b = bounds if bounds is not None else data_bounds(traffic)
+    if bounds is None:
+        if rollup is not None:
+            from .rollup import bounds_from_rollup
+
+            row = bounds_from_rollup(rollup).first()
+            bounds = (row["d_min"], row["d_max"])
+        else:
+            bounds = data_bounds(traffic)
+    b = bounds
     if b[0] is None:
         raise ValueError("the table holds no measurements")
     rng = normalize_range(b if date_value is None else date_value, b)
     check_threshold(threshold)
     check_range(rng, b)
-    return Page(traffic, rng, threshold)
+    return Page(traffic, rng, threshold, rollup=rollup)
 
 
 def store_reports(

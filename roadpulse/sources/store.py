@@ -114,6 +114,13 @@ class TrafficStore:
         """The rollup of all stored rows (plans/rollup.py)."""
         return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path)
 
+    def view(self, date_value=None, threshold: int = 20):
+        """A dashboard view on the store: bounds and cell figures from the
+        rollup, hotspots and map from the measurements in range."""
+        from ..plans.dashboard import open_view
+
+        return open_view(self.table(), date_value, threshold, rollup=self.rollup())
+
     def manifest(self) -> DataFrame:
         """Loaded file names, one row each."""
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path).dropDuplicates(["filename"])

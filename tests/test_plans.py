@@ -110,6 +110,13 @@ def test_open_view_flow(spark, store):
         assert page.kpis().collect() == reports.kpis(t, page.rng, 20).collect()
     finally:
         page.close()
+    view = store.view((dt.date(1997, 1, 1), dt.date(1998, 6, 30)), 35)
+    try:
+        rng = DateRange.of("1997-01-01", "1998-06-30")
+        assert view.monthly_trend().collect() == reports.monthly_trend(t, rng, 35).collect()
+        assert view.hotspots().collect() == reports.hotspots(t, rng, 35).collect()
+    finally:
+        view.close()
     with pytest.raises(ValueError):
         open_view(t, None, 22)
     with pytest.raises(ValueError):
