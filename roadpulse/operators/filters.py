@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DATE_TIME
+from ..schema import DATE_TIME, is_partitioned
 
 DEFAULT_THRESHOLD = 20
 THRESHOLD_MIN, THRESHOLD_MAX, THRESHOLD_STEP = 5, 60, 5
@@ -66,8 +66,9 @@ class DateRange:
         return cond
 
     def apply(self, df: DataFrame, ts: str = DATE_TIME) -> DataFrame:
-        bound = "year" in df.columns and "month" in df.columns
-        return df.where(self.predicate(ts, partition_bound=bound))
+        """Filter ``df`` to the range; the partition bound is added only when
+        ``year``/``month`` are the store's partition columns (schema mark)."""
+        return df.where(self.predicate(ts, partition_bound=is_partitioned(df.schema)))
 
 
 def normalize_range(value, bounds: tuple) -> DateRange:

@@ -49,6 +49,10 @@ TRAFFIC_COLUMNS = [f.name for f in TRAFFIC_SCHEMA.fields]
 # but not recorded in the manifest be repaired, and allows removal by file.
 SOURCE_FILE = "source_file"
 PARTITION_COLUMNS = ["year", "month"]
+# Column metadata key set on ``year``/``month`` of frames that scan the
+# partitioned store, so a range filter adds the partition bound only where it
+# prunes folders (on derived columns it would only cost per-row work).
+PARTITION_MARK = "roadpulse.partition"
 STORED_SCHEMA = T.StructType(
     RAW_SCHEMA.fields
     + [f for f in CALENDAR_SCHEMA.fields if f.name not in PARTITION_COLUMNS]
@@ -60,6 +64,19 @@ STORED_COLUMNS = [f.name for f in STORED_SCHEMA.fields]
 MANIFEST_SCHEMA = T.StructType([T.StructField("filename", T.StringType(), True)])
 
 
+def mark_partitions(columns: list[str]):
+    """Select ``columns``, tagging the partition columns with ``PARTITION_MARK``."""
+    from pyspark.sql import functions as F
+
+    return [F.col(c).alias(c, metadata={PARTITION_MARK: True}) if c in PARTITION_COLUMNS else F.col(c) for c in columns]
+
+
+def is_partitioned(schema: T.StructType) -> bool:
+    """Whether ``year`` and ``month`` carry the partition mark."""
+    names = set(schema.fieldNames())
+    return all(c in names and schema[c].metadata.get(PARTITION_MARK, False) for c in PARTITION_COLUMNS)
+
+
 def ddl(schema: T.StructType) -> str:
     """Column list for ``CREATE TABLE`` from a ``StructType``."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -30,6 +30,7 @@ from ..schema import (
     STORED_SCHEMA,
     TRAFFIC_COLUMNS,
     ddl,
+    mark_partitions,
 )
 from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, build_rollup
 from ..session import ensure_checkpoint_dir
@@ -37,9 +38,6 @@ from ..session import ensure_checkpoint_dir
 # Upper bound on rows per written file, so one hot month still becomes many
 # files of bounded size.
 MAX_RECORDS_PER_FILE = 5_000_000
-# The rollup of one load is small (bounded by days x 24 x speeds per month);
-# a few writers keep its files few.
-ROLLUP_WRITE_PARTITIONS = 8
 
 
 class TrafficStore:
@@ -90,8 +88,9 @@ class TrafficStore:
         return self.spark.read.schema(STORED_SCHEMA).parquet(self.table_path)
 
     def table(self) -> DataFrame:
-        """The ``traffic`` table the reports read (no ``source_file``)."""
-        return self.stored().select(*TRAFFIC_COLUMNS)
+        """The ``traffic`` table the reports read (no ``source_file``); its
+        ``year``/``month`` carry the partition mark (schema.PARTITION_MARK)."""
+        return self.stored().select(*mark_partitions(TRAFFIC_COLUMNS))
 
     def date_bounds(self) -> DataFrame:
         """Q1 on the store without reading the whole timestamp column.
@@ -147,7 +146,15 @@ class TrafficStore:
         self._write_rollup(build_rollup(rows), mode="append")
 
     def _write_rollup(self, rolled: DataFrame, mode: str) -> None:
-        w = rolled.select(*ROLLUP_COLUMNS).coalesce(ROLLUP_WRITE_PARTITIONS).write.mode(mode)
+        """Write rollup rows, one file per month.
+
+        The rollup of a month is bounded (days x 24 x speeds x 2 rows) however
+        many measurements the month holds, so after the aggregate (which runs
+        at full shuffle parallelism) its rows are shuffled once more by month
+        and each month is written by one task: a hot month costs no more than
+        any other, and the folder holds one small file per load and month.
+        """
+        w = rolled.select(*ROLLUP_COLUMNS).repartition(*PARTITION_COLUMNS).write.mode(mode)
         if mode == "overwrite":
             w = w.option("partitionOverwriteMode", "dynamic")
         w.partitionBy(*PARTITION_COLUMNS).parquet(self.rollup_path)

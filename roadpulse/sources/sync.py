@@ -26,6 +26,10 @@ from .store import TrafficStore
 # year (4) and month (2).
 NAME_MONTH_PATTERN = r"(\d{4})(\d{2})"
 
+# Removed-month keys broadcast to the row side of S7 up to this many (a
+# century of months is 1,200).
+MAX_BROADCAST_MONTHS = 100_000
+
 
 def name_year(name: Column) -> Column:
     return F.regexp_extract(name, NAME_MONTH_PATTERN, 1).try_cast("int")
@@ -57,11 +61,15 @@ def months_of(files: DataFrame) -> DataFrame:
 def without_months(traffic: DataFrame, months: DataFrame) -> DataFrame:
     """S7 as a DataFrame step: rows whose (year, month) is not in ``months``.
 
-    ``months`` holds (year, month) keys, at most one per calendar month of the
-    data, so its size is bounded by the time span, not by the row count; it is
-    broadcast and the large side is never shuffled.
+    ``months`` holds (year, month) keys parsed from file names, at most one per
+    calendar month, so its size is bounded by the time span, not by the row
+    count. Its row count is checked: up to ``MAX_BROADCAST_MONTHS`` keys it is
+    broadcast and the large side is never shuffled; beyond that the anti join
+    is left to the planner.
     """
-    kept = traffic.join(F.broadcast(months.select("year", "month")), ["year", "month"], "left_anti")
+    keys = months.select("year", "month")
+    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_MONTHS else keys
+    kept = traffic.join(side, ["year", "month"], "left_anti")
     return kept.select(*traffic.columns)
 
 
@@ -88,15 +96,17 @@ def sync(spark: SparkSession, src_dir: str, store: TrafficStore, match: str = "m
     store.ensure()
     disk = list_csv_files(spark, src_dir)
     before = store.manifest()
-    # File-name lists: one row per file, collected because each new file is
-    # handed to a read and each removed month to a partition drop.
-    disk_rows = disk.collect()
+    # File-name lists: one row per new or removed file, collected because each
+    # new file is handed to a read and each removed month to a partition drop.
+    # The listing itself is not brought to the driver.
     gone = [r["filename"] for r in removed_files(before, disk).collect()]
     fresh = sorted(
         (r["filename"], r["path"]) for r in new_files(disk, before).collect()
     )
     had_any = bool(before.limit(1).collect())
-    if not disk_rows and not had_any:
+    # With an empty manifest every file on disk is new, so no new file means
+    # no file at all.
+    if not fresh and not had_any:
         raise FileNotFoundError(f"no CSV files in '{src_dir}'")
 
     result = SyncResult(removed=sorted(gone))

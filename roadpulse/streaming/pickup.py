@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import PARTITION_COLUMNS, RAW_SCHEMA, SOURCE_FILE, STORED_SCHEMA, TRAFFIC_COLUMNS
+from ..schema import PARTITION_COLUMNS, RAW_SCHEMA, SOURCE_FILE, STORED_SCHEMA, TRAFFIC_COLUMNS, mark_partitions
 from ..sources.csv_source import to_stored
 
 # Files per micro-batch: bounds the size of one batch when many files arrive.
@@ -55,4 +55,4 @@ def pick_up(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: st
 
 def picked_up(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The loaded rows (read through the sink's commit log)."""
-    return spark.read.schema(STORED_SCHEMA).parquet(sink_dir).select(*TRAFFIC_COLUMNS)
+    return spark.read.schema(STORED_SCHEMA).parquet(sink_dir).select(*mark_partitions(TRAFFIC_COLUMNS))

@@ -36,6 +36,19 @@ def test_range_reaches_partition_and_parquet_filters(store):
     assert "GEOHASH" not in schema and "LATITUDE" not in schema and "AVERAGE_SPEED" in schema
 
 
+def test_partition_bound_only_on_partition_columns(spark, store):
+    from roadpulse.schema import is_partitioned
+
+    assert is_partitioned(store.table().schema)
+    fx = traffic_fixture(spark, SF_SMALL)
+    assert not is_partitioned(fx.schema)
+    # On the fixture year/month are derived per row: the range stays a pure
+    # timestamp predicate, with no per-row year/month bound.
+    text = plan_text(reports.kpis(fx, RNG, 20), "simple")
+    assert "199701" not in text and "199912" not in text
+    assert "199701" in plan_text(reports.kpis(store.table(), RNG, 20), "simple")
+
+
 def test_hotspots_plan_is_top_k_with_one_shuffle(store):
     df = reports.hotspots(store.table(), RNG, 20)
     text = plan_text(df, "simple")
