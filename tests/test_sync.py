@@ -212,3 +212,26 @@ def test_rollup_after_crash_between_rows_and_rollup(spark, tmp_path):
     assert r.repaired == ["traffic_density_202401.csv"]
     assert months_in(st) == [(2024, 1, 3)]
     assert_rollup_consistent(st)
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_without_months_broadcast_only_below_size_check(spark, monkeypatch, limit):
+    """S7 on a frame: same rows either way; the removed-month keys are
+    broadcast only while their count is within the checked bound."""
+    from roadpulse.plans.inspect import plan_text
+    from roadpulse.sources import sync as sync_mod
+    from roadpulse.sources.sync import without_months
+
+    monkeypatch.setattr(sync_mod, "MAX_BROADCAST_MONTHS", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(
+            [(2024, 1, "a"), (2024, 2, "b"), (2024, 3, "c"), (None, None, "d")], "year int, month int, v string"
+        )
+        months = spark.createDataFrame([(2024, 2), (2023, 12)], "year int, month int")
+        out = without_months(rows, months)
+        assert sorted(r["v"] for r in out.collect()) == ["a", "c", "d"]
+        text = plan_text(out, "simple")
+        assert ("BroadcastHashJoin" in text) == (limit > 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
