@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import day_start, dow0, month_start
 from ..operators.filters import DateRange
-from ..schema import AVERAGE_SPEED, DATE_TIME, NUMBER_OF_VEHICLES, PARTITION_COLUMNS
+from ..schema import AVERAGE_SPEED, DATE_TIME, NUMBER_OF_VEHICLES, PARTITION_COLUMNS, is_partitioned
 
 ROLLUP_SCHEMA = T.StructType(
     [
@@ -78,27 +78,29 @@ def build_rollup(traffic: DataFrame) -> DataFrame:
     )
 
 
-def rollup_range(rng: DateRange | None) -> Column:
+def rollup_range(rng: DateRange | None, partition_bound: bool = True) -> Column:
     """The closed day range on rollup rows (same rows as ``DateRange.predicate``
-    on the measurements), with the implied partition bound."""
+    on the measurements), with the implied partition bound when asked for."""
     day = F.col("day_ts")
     if rng is None:
         return day.isNotNull()
     lo = F.lit(rng.start.isoformat()).cast("date").cast("timestamp_ntz")
     hi = F.lit(rng.end.isoformat()).cast("date").cast("timestamp_ntz")
-    ym = F.col("year") * F.lit(100) + F.col("month")
-    return (
-        (day >= lo)
-        & (day <= hi)
-        & ~((day == hi) & F.col("tail"))
-        & ym.between(F.lit(rng.start.year * 100 + rng.start.month), F.lit(rng.end.year * 100 + rng.end.month))
-    )
+    cond = (day >= lo) & (day <= hi) & ~((day == hi) & F.col("tail"))
+    if partition_bound:
+        ym = F.col("year") * F.lit(100) + F.col("month")
+        cond = cond & ym.between(
+            F.lit(rng.start.year * 100 + rng.start.month), F.lit(rng.end.year * 100 + rng.end.month)
+        )
+    return cond
 
 
 def cells_from_rollup(rollup: DataFrame, rng: DateRange | None) -> DataFrame:
     """The page's cell layout (month, weekday, hour, speed, counts) from the
-    rollup; rows of one cell may repeat, the figures add them up."""
-    return rollup.where(rollup_range(rng)).select(
+    rollup; rows of one cell may repeat, the figures add them up. The month
+    bound is added for the store's rollup, whose ``year``/``month`` are
+    partition columns."""
+    return rollup.where(rollup_range(rng, is_partitioned(rollup.schema))).select(
         month_start("day_ts").alias("month_ts"),
         dow0("day_ts").alias("dow"),
         F.col("hour"),

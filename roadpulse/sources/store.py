@@ -111,7 +111,7 @@ class TrafficStore:
 
     def rollup(self) -> DataFrame:
         """The rollup of all stored rows (plans/rollup.py)."""
-        return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path)
+        return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path).select(*mark_partitions(ROLLUP_COLUMNS))
 
     def view(self, date_value=None, threshold: int = 20):
         """A dashboard view on the store: bounds and cell figures from the
