@@ -125,10 +125,21 @@ class TrafficStore:
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path).dropDuplicates(["filename"])
 
     # -- S5 / S6: appends ------------------------------------------------------
-    def append_rows(self, stored_rows: DataFrame) -> None:
+    def append_rows(self, stored_rows: DataFrame, rebalance: bool = False) -> None:
+        """Append rows under their month folders.
+
+        Monthly source files need no shuffle: every split of a file holds one
+        month, so each task writes into one folder. With ``rebalance`` (for
+        sources whose files mix months) the rows are shuffled once by month
+        with a rebalance hint, so a task does not open a file in every month
+        it meets; AQE cuts a hot month into several tasks of the advisory size
+        and merges small ones.
+        """
+        rows = stored_rows.select(*STORED_COLUMNS)
+        if rebalance:
+            rows = rows.hint("rebalance", *PARTITION_COLUMNS)
         (
-            stored_rows.select(*STORED_COLUMNS)
-            .write.mode("append")
+            rows.write.mode("append")
             .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
             .partitionBy(*PARTITION_COLUMNS)
             .parquet(self.table_path)

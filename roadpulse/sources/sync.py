@@ -81,13 +81,18 @@ class SyncResult:
     repaired: list[str] = field(default_factory=list)
 
 
-def sync(spark: SparkSession, src_dir: str, store: TrafficStore, match: str = "month") -> SyncResult:
+def sync(
+    spark: SparkSession, src_dir: str, store: TrafficStore, match: str = "month", rebalance: bool = False
+) -> SyncResult:
     """Bring ``store`` in line with the ``*.csv`` files directly in ``src_dir``.
 
     ``match="month"`` (default) deletes, for each removed file, every row of the
     month named in the file name, as the reference does; ``match="file"``
     deletes exactly the rows that came from the removed file.
 
+    ``rebalance=True`` shuffles new rows by month before writing, for sources
+    whose files are not one month each (see ``TrafficStore.append_rows``).
+
     Raises ``FileNotFoundError`` when the folder has no CSV file and nothing
     was loaded before.
     """
@@ -131,7 +136,7 @@ def sync(spark: SparkSession, src_dir: str, store: TrafficStore, match: str = "m
         if leftover:
             store.remove_files_rows(leftover)
             result.repaired = sorted(leftover)
-        store.append_rows(to_stored(read_csv_files(spark, [p for _, p in fresh])))
+        store.append_rows(to_stored(read_csv_files(spark, [p for _, p in fresh])), rebalance=rebalance)
         store.append_rollup_of_files(names)
         store.append_manifest(spark.createDataFrame([(n,) for n in names], "filename string"))
         result.loaded = names

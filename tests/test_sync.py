@@ -235,3 +235,18 @@ def test_without_months_broadcast_only_below_size_check(spark, monkeypatch, limi
         assert ("BroadcastHashJoin" in text) == (limit > 0)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rebalanced_load_of_files_mixing_months(spark, tmp_path):
+    """A source file spanning several months, loaded with the rebalance
+    shuffle: same rows per month, one folder per month, rollup consistent."""
+    src = tmp_path / "data"
+    src.mkdir()
+    write_csv(src / "mixed_a.csv", month_rows(2024, 1, 4) + month_rows(2024, 2, 2) + month_rows(2024, 3, 5))
+    write_csv(src / "mixed_b.csv", month_rows(2024, 2, 3) + month_rows(2024, 3, 1))
+    st = store_of(spark, str(tmp_path / "store"))
+    r = sync(spark, str(src), st, rebalance=True)
+    assert r.loaded == ["mixed_a.csv", "mixed_b.csv"]
+    assert months_in(st) == [(2024, 1, 4), (2024, 2, 5), (2024, 3, 6)]
+    assert sorted(os.listdir(tmp_path / "store" / "traffic" / "year=2024")) == ["month=1", "month=2", "month=3"]
+    assert_rollup_consistent(st)
