@@ -170,16 +170,23 @@ class TrafficStore:
             w = w.option("partitionOverwriteMode", "dynamic")
         w.partitionBy(*PARTITION_COLUMNS).parquet(self.rollup_path)
 
-    def rebuild_rollup(self, months: list[tuple[int, int]]) -> None:
-        """Recompute the rollup of the given months from the store."""
+    def rebuild_rollup(self, months: list[tuple[int, int]], with_rows: set[tuple[int, int]] | None = None) -> None:
+        """Recompute the rollup of the given months from the store.
+
+        ``with_rows`` names the months that still hold rows, when the caller
+        knows them; otherwise they are looked up from the partition values.
+        Months with rows get their rollup replaced (dynamic partition
+        overwrite), the others lose it.
+        """
         if not months:
             return
         in_months = (F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months])
-        rolled = build_rollup(self.stored().where(in_months))
-        have = {(r["year"], r["month"]) for r in rolled.select(*PARTITION_COLUMNS).distinct().collect()}
-        if have:
-            self._write_rollup(rolled, mode="overwrite")
-        self._drop(self._rollup_handle, ROLLUP_SCHEMA, [m for m in months if m not in have])
+        rows = self.stored().where(in_months)
+        if with_rows is None:
+            with_rows = {(r["year"], r["month"]) for r in rows.select(*PARTITION_COLUMNS).distinct().collect()}
+        if with_rows:
+            self._write_rollup(build_rollup(rows), mode="overwrite")
+        self._drop(self._rollup_handle, ROLLUP_SCHEMA, [m for m in months if m not in with_rows])
 
     def append_manifest(self, names: DataFrame) -> None:
         names.select(F.col("filename").cast("string")).coalesce(1).write.mode("append").parquet(self.manifest_path)
@@ -239,7 +246,7 @@ class TrafficStore:
                 .parquet(self.table_path)
             )
         self._drop(self._handle, STORED_SCHEMA, [m for m in months if m not in kept])
-        self.rebuild_rollup(months)
+        self.rebuild_rollup(months, with_rows=kept)
         return sorted(months)
 
     def remove_manifest_entries(self, filenames: list[str]) -> None:
