@@ -17,9 +17,30 @@ REQUIRED_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "roadpulse") -> SparkSession:
+# Sizing for the target scale (hundreds of TB on ~1000 executors). Applied by
+# ``build_session(cluster=True)`` only where the cluster sets nothing itself.
+CLUSTER_CONF = {
+    # The segment aggregate (hotspots, map) shuffles one partial row per
+    # segment and map task, hundreds of GB at full scale, while the calendar
+    # reports shuffle a few KB. Start every shuffle wide and let AQE merge
+    # reduce partitions to the advisory size.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Reports read two to five narrow columns of each split; larger splits
+    # mean fewer tasks and more rows per segment in each partial aggregate.
+    "spark.sql.files.maxPartitionBytes": "512m",
+}
+
+
+def build_session(
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    app: str = "roadpulse",
+    cluster: bool = False,
+) -> SparkSession:
     """A session for scripts and tests. On a cluster, the cluster's own
-    settings (master, checkpoint folder, memory) are left as they are."""
+    settings (master, checkpoint folder, memory) are left as they are;
+    ``cluster=True`` adds ``CLUSTER_CONF`` for keys the cluster leaves unset."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -30,6 +51,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     configure(spark)
+    if cluster:
+        for k, v in CLUSTER_CONF.items():
+            if spark.conf.get(k, None) is None:
+                spark.conf.set(k, v)
     return spark
 
 
