@@ -63,6 +63,14 @@ def test_no_python_in_any_registered_query(spark):
         assert not uses_python(fn(spark, SF_SMALL)), name
 
 
+def test_no_cross_or_nested_loop_join_in_any_registered_query(spark):
+    for name, fn in entry.queries().items():
+        if name in ("ingest_roundtrip", "stream_roundtrip"):
+            continue
+        text = plan_text(fn(spark, SF_SMALL), "simple")
+        assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
+
+
 def test_store_reports_equal_fixture_reports(spark, store):
     fx = traffic_fixture(spark, SF_SMALL)
     for f in (reports.monthly_trend, reports.weekday_hour, reports.hotspots):
