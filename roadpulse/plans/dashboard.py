@@ -159,13 +159,15 @@ class Page:
         return top.select("lat", "lon", "stau_pct", "avg_speed", "messungen")
 
     def fetch(self, max_parallel: int = 8) -> dict:
-        """All figures as pandas frames (Arrow transfer; every figure is a small
-        aggregate). The two shared aggregates are computed first, side by side;
-        then the figure jobs, which only re-read them, run concurrently."""
+        """All figures as pandas frames (S12). Each figure is a small aggregate
+        and comes to the driver as Arrow batches (``toArrow``, whatever the
+        session's Arrow setting for ``toPandas``), then becomes a pandas frame.
+        The two shared aggregates are computed first, side by side; then the
+        figure jobs, which only re-read them, run concurrently."""
         with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
             list(pool.map(lambda df: df.count(), [self._cells, self._segments]))
             figs = self.figures()
-            futures = {name: pool.submit(df.toPandas) for name, df in figs.items()}
+            futures = {name: pool.submit(lambda d=df: d.toArrow().to_pandas()) for name, df in figs.items()}
             return {name: f.result() for name, f in futures.items()}
 
     def figures(self) -> dict[str, DataFrame]:

@@ -164,3 +164,22 @@ def test_rollup_bounds_and_last_second(spark, tmp_path):
         assert page.kpis().collect() == reports.kpis(t, rng, 20).collect()
         assert page.speed_histogram().collect() == reports.speed_histogram(t, rng).collect()
     assert bounds_from_rollup(ru).collect() == reports.date_bounds(t).collect()
+
+
+def test_fetch_brings_every_figure_through_arrow(spark, store):
+    import pandas as pd
+
+    def plain(v):
+        if v is None or (not isinstance(v, str) and pd.isna(v)):
+            return None
+        return v.to_pydatetime() if hasattr(v, "to_pydatetime") else v
+
+    page = Page(store.table(), RNG, 20)
+    try:
+        fetched = page.fetch()
+        for name, df in page.figures().items():
+            want = [tuple(r) for r in df.collect()]
+            got = [tuple(plain(v) for v in rec) for rec in fetched[name].itertuples(index=False)]
+            assert got == want, name
+    finally:
+        page.close()
