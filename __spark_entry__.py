@@ -89,9 +89,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "rollup_monthly_vehicles": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "monthly_vehicles")),
         }
     )
+    # The dashboard page: calendar figures from one cell aggregate of the
+    # range, hotspots and map from one per-segment aggregate.
+    q.update(
+        {
+            f"page_{figure}": _q(lambda t, figure=figure, rng=rng: scenarios.via_page(t, rng, THRESHOLD, figure))
+            for figure, rng in PAGE_FIGURES.items()
+        }
+    )
     return q
 
 
+# Page figures registered as queries, with the range each one is asked for
+# (hotspots over the whole table: no segment passes 100 rows in 1997-1999).
+PAGE_FIGURES = {
+    "kpis": RANGE,
+    "monthly_trend": RANGE,
+    "weekday_hour": RANGE,
+    "hour_of_day": RANGE,
+    "speed_histogram": RANGE,
+    "monthly_vehicles": RANGE,
+    "hotspots": None,
+    "map_points": RANGE,
+}
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL (DuckDB dialect).
 
@@ -252,4 +274,16 @@ FROM ({_kpis(rng, t)}) k""",
         "monthly_vehicles",
     ):
         sql[f"rollup_{name}"] = sql[name]
+    # Page figures must equal the direct reports over the same range.
+    page_sql = {
+        "kpis": sql["kpis"],
+        "monthly_trend": sql["monthly_trend"],
+        "weekday_hour": sql["weekday_hour"],
+        "hour_of_day": sql["hour_of_day"],
+        "speed_histogram": _histogram(rng),
+        "monthly_vehicles": sql["monthly_vehicles"],
+        "hotspots": sql["hotspots"],
+        "map_points": sql["map_points_range"],
+    }
+    sql.update({f"page_{k}": v for k, v in page_sql.items()})
     return {k: TRAFFIC_CTE + v for k, v in sql.items()}

@@ -98,6 +98,14 @@ def via_rollup(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFram
     return getattr(Page(traffic, rng, threshold, persist=False, rollup=rollup), figure)()
 
 
+def via_page(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFrame:
+    """A dashboard figure from the page's shared aggregates (cells of the range
+    for the calendar figures, per-segment figures for hotspots and map)."""
+    from .dashboard import Page
+
+    return getattr(Page(traffic, rng, threshold, persist=False), figure)()
+
+
 def _on_fixture(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
