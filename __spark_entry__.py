@@ -32,6 +32,10 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 THRESHOLD = 20
 RANGE = DateRange.of("1997-01-01", "1999-12-31")
 EMPTY_RANGE = DateRange.of("1980-01-01", "1980-12-31")
+# Ranges that start and end inside a month (segment rollup: edge months come
+# from the measurements, whole months from the rollup).
+MID_RANGE = DateRange.of("1995-03-15", "2001-10-20")
+MID_RANGE_SHORT = DateRange.of("1997-03-15", "1999-10-20")
 
 
 def _traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +91,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "rollup_hour_of_day": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "hour_of_day")),
             "rollup_speed_histogram": _q(lambda t: scenarios.via_rollup(t, None, THRESHOLD, "speed_histogram")),
             "rollup_monthly_vehicles": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "monthly_vehicles")),
+            "rollup_hotspots": _q(lambda t: scenarios.via_rollup(t, None, THRESHOLD, "hotspots")),
+            "rollup_hotspots_mid_range": _q(lambda t: scenarios.via_rollup(t, MID_RANGE, THRESHOLD, "hotspots")),
+            "rollup_map_points": _q(lambda t: scenarios.via_rollup(t, RANGE, THRESHOLD, "map_points")),
+            "rollup_map_points_mid_range": _q(
+                lambda t: scenarios.via_rollup(t, MID_RANGE_SHORT, THRESHOLD, "map_points")
+            ),
         }
     )
     # The dashboard page: calendar figures from one cell aggregate of the
@@ -274,6 +284,12 @@ FROM ({_kpis(rng, t)}) k""",
         "monthly_vehicles",
     ):
         sql[f"rollup_{name}"] = sql[name]
+    sql["rollup_hotspots"] = sql["hotspots"]
+    sql["rollup_hotspots_mid_range"] = _segments(_range(MID_RANGE), t, 100, 50)
+    sql["rollup_map_points"] = sql["map_points_range"]
+    sql["rollup_map_points_mid_range"] = (
+        f"SELECT lat, lon, stau_pct, avg_speed, messungen FROM ({_segments(_range(MID_RANGE_SHORT), t, 50, 500)}) s"
+    )
     # Page figures must equal the direct reports over the same range.
     page_sql = {
         "kpis": sql["kpis"],

@@ -30,6 +30,7 @@ from ..functions.numeric import pct, round_half_away, speed_bin
 from ..operators import present, reports
 from ..operators.filters import DateRange, check_range, check_threshold, normalize_range
 from .rollup import cells_from_rollup
+from .segment_rollup import covers, segment_stats_from_rollup
 from ..schema import AVERAGE_SPEED, NUMBER_OF_VEHICLES
 
 DEFAULT_RANGE = DateRange.of("1997-01-01", "1999-12-31")
@@ -69,7 +70,10 @@ def _avg_vehicles(digits: int) -> Column:
 
 class Page:
     """All figures of one view. With ``rollup`` (the store's rollup), the cell
-    figures read the rollup rows of the range instead of the measurements."""
+    figures read the rollup rows of the range instead of the measurements;
+    with ``segment_rollup``, the hotspot list and the map read the segment
+    rollup for the months wholly inside the range and the measurements only
+    for its edge months (for thresholds of the dashboard's domain)."""
 
     def __init__(
         self,
@@ -78,12 +82,14 @@ class Page:
         threshold: int,
         persist: bool = True,
         rollup: DataFrame | None = None,
+        segment_rollup: DataFrame | None = None,
     ):
         self.traffic = traffic
         self.rng = rng
         self.threshold = threshold
+        self.segment_rollup = segment_rollup
         self._cells = cells(traffic, rng) if rollup is None else cells_from_rollup(rollup, rng)
-        self._segments = reports.segment_stats(traffic, rng, threshold)
+        self._segments = self._segment_stats(threshold)
         if persist:
             self._cells = self._cells.persist(StorageLevel.MEMORY_AND_DISK)
             self._segments = self._segments.persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,12 +98,18 @@ class Page:
         self._cells.unpersist()
         self._segments.unpersist()
 
+    def _segment_stats(self, threshold: int) -> DataFrame:
+        if self.segment_rollup is not None and covers(threshold):
+            return segment_stats_from_rollup(self.segment_rollup, self.traffic, self.rng, threshold)
+        return reports.segment_stats(self.traffic, self.rng, threshold)
+
     def with_threshold(self, threshold: int) -> "Page":
         """Same range, new threshold: the cells are reused as they are."""
         page = Page.__new__(Page)
         page.traffic, page.rng, page.threshold = self.traffic, self.rng, threshold
+        page.segment_rollup = self.segment_rollup
         page._cells = self._cells
-        page._segments = reports.segment_stats(self.traffic, self.rng, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+        page._segments = page._segment_stats(threshold).persist(StorageLevel.MEMORY_AND_DISK)
         return page
 
     # -- figures from the cells ---------------------------------------------------
@@ -195,6 +207,7 @@ def open_view(
     threshold: int = DEFAULT_THRESHOLD,
     bounds: tuple | None = None,
     rollup: DataFrame | None = None,
+    segment_rollup: DataFrame | None = None,
 ) -> Page:
     """The page flow: data bounds, the picked dates normalised to a closed
     range (two dates, one date until the end of the data, or one day), the
@@ -213,7 +226,7 @@ def open_view(
     rng = normalize_range(b if date_value is None else date_value, b)
     check_threshold(threshold)
     check_range(rng, b)
-    return Page(traffic, rng, threshold, rollup=rollup)
+    return Page(traffic, rng, threshold, rollup=rollup, segment_rollup=segment_rollup)
 
 
 def store_reports(

@@ -91,11 +91,14 @@ def via_rollup(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFram
     """A dashboard figure computed from the rollup of the measurements."""
     from .dashboard import Page
     from .rollup import bounds_from_rollup, build_rollup
+    from .segment_rollup import build_segment_rollup
 
     rollup = build_rollup(traffic)
     if figure == "date_bounds":
         return bounds_from_rollup(rollup)
-    return getattr(Page(traffic, rng, threshold, persist=False, rollup=rollup), figure)()
+    segments = build_segment_rollup(traffic) if figure in ("hotspots", "map_points") else None
+    page = Page(traffic, rng, threshold, persist=False, rollup=rollup, segment_rollup=segments)
+    return getattr(page, figure)()
 
 
 def via_page(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFrame:

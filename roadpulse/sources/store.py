@@ -5,6 +5,7 @@ Layout under ``root``::
 
     traffic/year=YYYY/month=M/part-*.parquet
     rollup/year=YYYY/month=M/part-*.parquet     (see plans/rollup.py)
+    segment_rollup/year=YYYY/month=M/part-*.parquet  (see plans/segment_rollup.py)
     imported_files/part-*.parquet
 
 Appends never shuffle: a monthly file's splits each land in one month folder.
@@ -33,6 +34,7 @@ from ..schema import (
     mark_partitions,
 )
 from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, build_rollup
+from ..plans.segment_rollup import SEGMENT_ROLLUP_COLUMNS, SEGMENT_ROLLUP_SCHEMA, build_segment_rollup
 from ..session import ensure_checkpoint_dir
 
 # Upper bound on rows per written file, so one hot month still becomes many
@@ -47,8 +49,10 @@ class TrafficStore:
         self.table_path = f"{self.root}/traffic"
         self.manifest_path = f"{self.root}/imported_files"
         self.rollup_path = f"{self.root}/rollup"
+        self.segment_rollup_path = f"{self.root}/segment_rollup"
         self._handle = "roadpulse_traffic_" + hashlib.sha1(self.table_path.encode()).hexdigest()[:16]
         self._rollup_handle = "roadpulse_rollup_" + hashlib.sha1(self.rollup_path.encode()).hexdigest()[:16]
+        self._segment_handle = "roadpulse_segroll_" + hashlib.sha1(self.segment_rollup_path.encode()).hexdigest()[:16]
 
     # -- S3: create if missing ------------------------------------------------
     def ensure(self) -> "TrafficStore":
@@ -62,10 +66,20 @@ class TrafficStore:
             self.spark.createDataFrame([], ROLLUP_SCHEMA).write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(
                 self.rollup_path
             )
+            self.spark.createDataFrame([], SEGMENT_ROLLUP_SCHEMA).write.mode("append").partitionBy(
+                *PARTITION_COLUMNS
+            ).parquet(self.segment_rollup_path)
             self.spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("append").parquet(self.manifest_path)
+        elif not self._exists(self.segment_rollup_path):
+            # A store from before the segment rollup gets it built once from
+            # its rows.
+            self._write_partitioned(
+                build_segment_rollup(self.stored()), self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, "append"
+            )
         for handle, schema, path in (
             (self._handle, STORED_SCHEMA, self.table_path),
             (self._rollup_handle, ROLLUP_SCHEMA, self.rollup_path),
+            (self._segment_handle, SEGMENT_ROLLUP_SCHEMA, self.segment_rollup_path),
         ):
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {handle} ({ddl(schema)}) USING parquet "
@@ -113,12 +127,23 @@ class TrafficStore:
         """The rollup of all stored rows (plans/rollup.py)."""
         return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path).select(*mark_partitions(ROLLUP_COLUMNS))
 
+    def segment_rollup(self) -> DataFrame:
+        """The per-segment, per-month rollup (plans/segment_rollup.py)."""
+        return (
+            self.spark.read.schema(SEGMENT_ROLLUP_SCHEMA)
+            .parquet(self.segment_rollup_path)
+            .select(*mark_partitions(SEGMENT_ROLLUP_COLUMNS))
+        )
+
     def view(self, date_value=None, threshold: int = 20):
         """A dashboard view on the store: bounds and cell figures from the
-        rollup, hotspots and map from the measurements in range."""
+        rollup, hotspots and map from the segment rollup (plus the rows of the
+        range's edge months)."""
         from ..plans.dashboard import open_view
 
-        return open_view(self.table(), date_value, threshold, rollup=self.rollup())
+        return open_view(
+            self.table(), date_value, threshold, rollup=self.rollup(), segment_rollup=self.segment_rollup()
+        )
 
     def manifest(self) -> DataFrame:
         """Loaded file names, one row each."""
@@ -154,9 +179,16 @@ class TrafficStore:
         if not filenames:
             return
         rows = self.stored().where(F.col(SOURCE_FILE).isin(filenames))
-        self._write_rollup(build_rollup(rows), mode="append")
+        self._write_rollups(rows, mode="append")
+
+    def _write_rollups(self, rows: DataFrame, mode: str) -> None:
+        """Both rollups of the given stored rows. Each is one aggregate over
+        the rows' few needed columns; the Parquet reader is asked twice
+        rather than holding the rows in executor memory."""
+        self._write_partitioned(build_rollup(rows), self.rollup_path, ROLLUP_COLUMNS, mode)
+        self._write_partitioned(build_segment_rollup(rows), self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, mode)
 
-    def _write_rollup(self, rolled: DataFrame, mode: str) -> None:
+    def _write_partitioned(self, rolled: DataFrame, path: str, columns: list[str], mode: str) -> None:
         """Write rollup rows, one file per month.
 
         The rollup of a month is bounded (days x 24 x speeds x 2 rows) however
@@ -165,10 +197,10 @@ class TrafficStore:
         and each month is written by one task: a hot month costs no more than
         any other, and the folder holds one small file per load and month.
         """
-        w = rolled.select(*ROLLUP_COLUMNS).repartition(*PARTITION_COLUMNS).write.mode(mode)
+        w = rolled.select(*columns).repartition(*PARTITION_COLUMNS).write.mode(mode)
         if mode == "overwrite":
             w = w.option("partitionOverwriteMode", "dynamic")
-        w.partitionBy(*PARTITION_COLUMNS).parquet(self.rollup_path)
+        w.partitionBy(*PARTITION_COLUMNS).parquet(path)
 
     def rebuild_rollup(self, months: list[tuple[int, int]], with_rows: set[tuple[int, int]] | None = None) -> None:
         """Recompute the rollup of the given months from the store.
@@ -185,18 +217,21 @@ class TrafficStore:
         if with_rows is None:
             with_rows = {(r["year"], r["month"]) for r in rows.select(*PARTITION_COLUMNS).distinct().collect()}
         if with_rows:
-            self._write_rollup(build_rollup(rows), mode="overwrite")
-        self._drop(self._rollup_handle, ROLLUP_SCHEMA, [m for m in months if m not in with_rows])
+            self._write_rollups(rows, mode="overwrite")
+        gone = [m for m in months if m not in with_rows]
+        self._drop(self._rollup_handle, ROLLUP_SCHEMA, gone)
+        self._drop(self._segment_handle, SEGMENT_ROLLUP_SCHEMA, gone)
 
     def append_manifest(self, names: DataFrame) -> None:
         names.select(F.col("filename").cast("string")).coalesce(1).write.mode("append").parquet(self.manifest_path)
 
     # -- S7 / S8: removals -----------------------------------------------------
     def drop_months(self, months: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Delete all rows of the given (year, month) partitions, and their rollup."""
+        """Delete all rows of the given (year, month) partitions, and their rollups."""
         months = sorted({(int(y), int(m)) for y, m in months})
         self._drop(self._handle, STORED_SCHEMA, months)
         self._drop(self._rollup_handle, ROLLUP_SCHEMA, months)
+        self._drop(self._segment_handle, SEGMENT_ROLLUP_SCHEMA, months)
         return months
 
     def _drop(self, handle: str, schema, months: Iterable[tuple[int, int]]) -> None:

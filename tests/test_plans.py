@@ -183,3 +183,54 @@ def test_fetch_brings_every_figure_through_arrow(spark, store):
             assert got == want, name
     finally:
         page.close()
+
+
+@pytest.mark.parametrize(
+    "rng,thr",
+    [
+        (None, 20),
+        (RNG, 45),
+        (DateRange.of("1995-03-15", "2001-10-20"), 20),
+        (DateRange.of("1996-02-01", "1996-02-29"), 60),
+        (DateRange.of("1996-02-01", "1996-03-01"), 5),
+        (DateRange.of("1996-01-31", "1996-02-01"), 20),
+        (DateRange.of("1980-01-01", "1980-02-01"), 20),
+        (DateRange.of("1995-03-15", "2001-10-20"), 33),
+    ],
+)
+def test_segment_rollup_page_equals_direct_reports(spark, store, rng, thr):
+    """Hotspots and map from the segment rollup (whole months) plus the edge
+    months' rows equal the direct reports; a threshold outside the domain
+    (33) falls back to the measurements."""
+    t = store.table()
+    page = Page(t, rng, thr, persist=False, segment_rollup=store.segment_rollup())
+    assert page.hotspots().collect() == reports.hotspots(t, rng, thr).collect()
+    assert page.map_points().collect() == reports.map_points(t, rng, thr).collect()
+    # Every segment's figures, not only the top of the list.
+    assert rows(page._segments) == rows(reports.segment_stats(t, rng, thr))
+
+
+def test_segment_rollup_last_second_of_month(spark):
+    import datetime as dt
+
+    from roadpulse.functions.calendar import with_calendar
+    from roadpulse.plans.segment_rollup import build_segment_rollup
+    from roadpulse.schema import RAW_SCHEMA
+
+    rows_in = [
+        (dt.datetime(2024, 1, 31, 23, 59, 59), 41.0, 29.0, "a", 0, 9, 10, 1),
+        (dt.datetime(2024, 1, 31, 23, 59, 59, 500000), 41.0, 29.0, "a", 0, 9, 30, 1),
+        (dt.datetime(2024, 1, 1, 0, 0, 0), 41.0, 29.0, "a", 0, 9, 50, 1),
+        (dt.datetime(2024, 2, 10, 5, 0, 0), 41.5, 29.5, "b", 0, 9, None, 1),
+        (None, 41.0, 29.0, "a", 0, 9, 70, 1),
+    ]
+    t = with_calendar(spark.createDataFrame(rows_in, RAW_SCHEMA))
+    sr = build_segment_rollup(t)
+    for rng in (
+        DateRange.of("2024-01-01", "2024-01-31"),
+        DateRange.of("2024-01-01", "2024-02-29"),
+        DateRange.of("2024-01-31", "2024-02-01"),
+        None,
+    ):
+        page = Page(t, rng, 20, persist=False, segment_rollup=sr)
+        assert rows(page._segments) == rows(reports.segment_stats(t, rng, 20)), rng

@@ -30,10 +30,20 @@ def rollup_sums(df):
     return sorted(tuple(r) for r in g.collect())
 
 
+def segment_rollup_sums(df):
+    from roadpulse.plans.segment_rollup import SEGMENT_ROLLUP_COLUMNS
+
+    measures = [c for c in SEGMENT_ROLLUP_COLUMNS if c not in ("GEOHASH", "year", "month")]
+    g = df.groupBy("GEOHASH", "year", "month").agg(*[F.sum(c).alias(c) for c in measures])
+    return sorted(tuple(r) for r in g.collect())
+
+
 def assert_rollup_consistent(store):
     from roadpulse.plans.rollup import build_rollup
+    from roadpulse.plans.segment_rollup import build_segment_rollup
 
     assert rollup_sums(store.rollup()) == rollup_sums(build_rollup(store.stored()))
+    assert segment_rollup_sums(store.segment_rollup()) == segment_rollup_sums(build_segment_rollup(store.stored()))
 
 
 def manifest_of(store):
@@ -250,3 +260,19 @@ def test_rebalanced_load_of_files_mixing_months(spark, tmp_path):
     assert months_in(st) == [(2024, 1, 4), (2024, 2, 5), (2024, 3, 6)]
     assert sorted(os.listdir(tmp_path / "store" / "traffic" / "year=2024")) == ["month=1", "month=2", "month=3"]
     assert_rollup_consistent(st)
+
+
+def test_segment_rollup_backfilled_for_older_store(spark, tmp_path):
+    """A store without a segment rollup folder gets one built from its rows."""
+    src = tmp_path / "data"
+    src.mkdir()
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 4))
+    write_csv(src / "traffic_density_202402.csv", month_rows(2024, 2, 3, geohash="sxk8"))
+    root = str(tmp_path / "store")
+    sync(spark, str(src), store_of(spark, root))
+    older = store_of(spark, root)
+    older.segment_rollup_path = str(tmp_path / "segment_rollup_missing")
+    older._segment_handle = older._segment_handle + "_b"
+    older.ensure()
+    assert_rollup_consistent(older)
+    assert older.segment_rollup().count() == 2
