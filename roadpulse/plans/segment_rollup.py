@@ -77,6 +77,28 @@ def build_segment_rollup(traffic: DataFrame) -> DataFrame:
     )
 
 
+def _row_measures(rows: DataFrame, threshold: int) -> DataFrame:
+    """Each measurement row as a one-row contribution in the rollup's measure
+    shape (for the range's edge months), so the edge rows and the rollup rows
+    are added up by one aggregate."""
+    speed = F.col(AVERAGE_SPEED)
+
+    def flag(cond: Column) -> Column:
+        return F.when(cond, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+    return rows.select(
+        F.col(GEOHASH),
+        F.lit(1).cast("long").alias("n"),
+        flag(speed.isNotNull()).alias("n_speed"),
+        speed.cast("long").alias("sum_speed"),
+        flag(F.col(LATITUDE).isNotNull()).alias("n_lat"),
+        F.col(LATITUDE).alias("sum_lat"),
+        flag(F.col(LONGITUDE).isNotNull()).alias("n_lon"),
+        F.col(LONGITUDE).alias("sum_lon"),
+        flag(speed <= F.lit(int(threshold))).alias(_le(threshold)),
+    )
+
+
 def _ym(d: dt.date) -> int:
     return d.year * 100 + d.month
 
@@ -116,21 +138,23 @@ def segment_stats_from_rollup(
     the months wholly inside the range and the measurements for the edges."""
     if not covers(threshold):
         raise ValueError(f"no rollup count for threshold {threshold!r}")
+    need = [GEOHASH] + BASE_MEASURES + [_le(threshold)]
     ym = F.col("year") * F.lit(100) + F.col("month")
     if rng is None:
-        parts = [segment_rollup.where(F.col("year").isNotNull() & F.col("month").isNotNull())]
+        parts = [segment_rollup.where(F.col("year").isNotNull() & F.col("month").isNotNull()).select(*need)]
     else:
         full, edges = month_split(rng)
         parts = []
         if full is not None:
-            parts.append(segment_rollup.where(ym.between(F.lit(full[0]), F.lit(full[1]))))
+            parts.append(segment_rollup.where(ym.between(F.lit(full[0]), F.lit(full[1]))).select(*need))
         if edges:
             raw = in_range(traffic, rng).where(ym.isin(edges))
-            parts.append(build_segment_rollup(raw))
-    rows = parts[0].select(*SEGMENT_ROLLUP_COLUMNS)
+            parts.append(_row_measures(raw, threshold).select(*need))
+    rows = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p.select(*SEGMENT_ROLLUP_COLUMNS))
-    sums = rows.groupBy(GEOHASH).agg(*[F.sum(c).alias(c) for c in BASE_MEASURES + [_le(threshold)]])
+        rows = rows.unionByName(p)
+    # One aggregate for both parts: partial sums per task before the shuffle.
+    sums = rows.groupBy(GEOHASH).agg(*[F.sum(c).alias(c) for c in need[1:]])
     return sums.select(
         F.col(GEOHASH),
         round_half_away(F.try_divide(F.col("sum_lat"), F.col("n_lat")), 5).alias("lat"),
