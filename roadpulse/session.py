@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,6 +18,10 @@ REQUIRED_CONF = {
 }
 
 
+# Heap of the single JVM of a local session (scripts, tests, bench); takes
+# effect when the session starts the JVM.
+LOCAL_DRIVER_MEMORY = "8g"
+
 # Sizing for the target scale (hundreds of TB on ~1000 executors). Applied by
 # ``build_session(cluster=True)`` only where the cluster sets nothing itself.
 CLUSTER_CONF = {
@@ -44,6 +49,10 @@ def build_session(
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local") and not os.environ.get("SPARK_DRIVER_MEMORY"):
+            # In local mode every task runs in the driver JVM; Spark's 1 GB
+            # default heap leaves eight task threads in constant GC.
+            b = b.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in REQUIRED_CONF.items():
         b = b.config(k, v)
