@@ -220,13 +220,20 @@ def open_view(
             bounds = (row["d_min"], row["d_max"])
         else:
             bounds = data_bounds(traffic)
-    b = bounds
-    if b[0] is None:
+    rng = resolve_range(date_value, threshold, bounds)
+    return Page(traffic, rng, threshold, rollup=rollup, segment_rollup=segment_rollup)
+
+
+def resolve_range(date_value, threshold: int, bounds: tuple) -> DateRange:
+    """The picked dates as a closed range (two dates, one date until the end
+    of the data, or one day; nothing picked is the whole data), with the
+    threshold and the range checked against their domains."""
+    if bounds[0] is None:
         raise ValueError("the table holds no measurements")
-    rng = normalize_range(b if date_value is None else date_value, b)
+    rng = normalize_range(bounds if date_value is None else date_value, bounds)
     check_threshold(threshold)
-    check_range(rng, b)
-    return Page(traffic, rng, threshold, rollup=rollup, segment_rollup=segment_rollup)
+    check_range(rng, bounds)
+    return rng
 
 
 def store_reports(

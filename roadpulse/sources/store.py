@@ -18,8 +18,10 @@ through the folder itself, so partitions written by any session are seen.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from ..schema import (
 )
 from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, build_rollup
 from ..plans.segment_rollup import SEGMENT_ROLLUP_COLUMNS, SEGMENT_ROLLUP_SCHEMA, build_segment_rollup
+from ..operators.filters import DateRange
 from ..session import ensure_checkpoint_dir
 
 # Upper bound on rows per written file, so one hot month still becomes many
@@ -42,6 +45,24 @@ from ..session import ensure_checkpoint_dir
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def month_glob(rng: DateRange) -> str | None:
+    """Glob of the month folders a day range touches, relative to a
+    ``year=/month=`` partitioned folder: ``{year=Y/month={m,...},...}`` (``*``
+    for whole years). ``None`` for a range that touches no month."""
+    by_year: dict[int, list[int]] = defaultdict(list)
+    y, m = rng.start.year, rng.start.month
+    while y * 100 + m <= rng.end.year * 100 + rng.end.month:
+        by_year[y].append(m)
+        y, m = y + (m == 12), m % 12 + 1
+    if not by_year:
+        return None
+    parts = [
+        f"year={y}/month=" + ("*" if len(ms) == 12 else "{" + ",".join(map(str, ms)) + "}")
+        for y, ms in by_year.items()
+    ]
+    return "{" + ",".join(parts) + "}"
+
+
 class TrafficStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -97,14 +118,34 @@ class TrafficStore:
             raise
 
     # -- S11 / S4: scans ---------------------------------------------------------
-    def stored(self) -> DataFrame:
-        """All stored columns, ``source_file`` included."""
-        return self.spark.read.schema(STORED_SCHEMA).parquet(self.table_path)
+    def _read(self, path: str, schema, rng: DateRange | None) -> DataFrame:
+        """Read a ``year=/month=`` partitioned folder. With ``rng``, only the
+        month folders the range touches are listed and read (a path glob with
+        ``basePath``, so the partition columns stay); a store of a million
+        files is then not listed whole to open one view. Partition pruning and
+        the reports' own range filters still apply on top."""
+        if rng is None:
+            return self.spark.read.schema(schema).parquet(path)
+        glob = month_glob(rng)
+        if glob is None:
+            return self.spark.createDataFrame([], schema)
+        try:
+            return self.spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{glob}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], schema)
+            raise
+
+    def stored(self, rng: DateRange | None = None) -> DataFrame:
+        """All stored columns, ``source_file`` included (optionally only the
+        months ``rng`` touches)."""
+        return self._read(self.table_path, STORED_SCHEMA, rng)
 
-    def table(self) -> DataFrame:
+    def table(self, rng: DateRange | None = None) -> DataFrame:
         """The ``traffic`` table the reports read (no ``source_file``); its
-        ``year``/``month`` carry the partition mark (schema.PARTITION_MARK)."""
-        return self.stored().select(*mark_partitions(TRAFFIC_COLUMNS))
+        ``year``/``month`` carry the partition mark (schema.PARTITION_MARK).
+        With ``rng``, only the month folders the range touches are read."""
+        return self.stored(rng).select(*mark_partitions(TRAFFIC_COLUMNS))
 
     def date_bounds(self) -> DataFrame:
         """Q1 on the store without reading the whole timestamp column.
@@ -123,26 +164,29 @@ class TrafficStore:
             return date_bounds(t.where(F.lit(False)))
         return date_bounds(t.where(ym.isin(edges["lo"], edges["hi"])))
 
-    def rollup(self) -> DataFrame:
-        """The rollup of all stored rows (plans/rollup.py)."""
-        return self.spark.read.schema(ROLLUP_SCHEMA).parquet(self.rollup_path).select(*mark_partitions(ROLLUP_COLUMNS))
+    def rollup(self, rng: DateRange | None = None) -> DataFrame:
+        """The rollup of the stored rows (plans/rollup.py)."""
+        return self._read(self.rollup_path, ROLLUP_SCHEMA, rng).select(*mark_partitions(ROLLUP_COLUMNS))
 
-    def segment_rollup(self) -> DataFrame:
+    def segment_rollup(self, rng: DateRange | None = None) -> DataFrame:
         """The per-segment, per-month rollup (plans/segment_rollup.py)."""
-        return (
-            self.spark.read.schema(SEGMENT_ROLLUP_SCHEMA)
-            .parquet(self.segment_rollup_path)
-            .select(*mark_partitions(SEGMENT_ROLLUP_COLUMNS))
+        return self._read(self.segment_rollup_path, SEGMENT_ROLLUP_SCHEMA, rng).select(
+            *mark_partitions(SEGMENT_ROLLUP_COLUMNS)
         )
 
     def view(self, date_value=None, threshold: int = 20):
-        """A dashboard view on the store: bounds and cell figures from the
-        rollup, hotspots and map from the segment rollup (plus the rows of the
-        range's edge months)."""
-        from ..plans.dashboard import open_view
-
-        return open_view(
-            self.table(), date_value, threshold, rollup=self.rollup(), segment_rollup=self.segment_rollup()
+        """A dashboard view on the store, as the page opens it: data bounds
+        from the rollup, the picked dates resolved to a checked range, then
+        the figures over reads of only the month folders in that range: cell
+        figures from the rollup, hotspots and map from the segment rollup plus
+        the rows of the range's edge months."""
+        from ..plans.dashboard import Page, resolve_range
+        from ..plans.rollup import bounds_from_rollup
+
+        row = bounds_from_rollup(self.rollup()).first()
+        rng = resolve_range(date_value, threshold, (row["d_min"], row["d_max"]))
+        return Page(
+            self.table(rng), rng, threshold, rollup=self.rollup(rng), segment_rollup=self.segment_rollup(rng)
         )
 
     def manifest(self) -> DataFrame:

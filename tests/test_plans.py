@@ -234,3 +234,45 @@ def test_segment_rollup_last_second_of_month(spark):
     ):
         page = Page(t, rng, 20, persist=False, segment_rollup=sr)
         assert rows(page._segments) == rows(reports.segment_stats(t, rng, 20)), rng
+
+
+@pytest.mark.parametrize(
+    "rng",
+    [
+        RNG,
+        DateRange.of("1995-03-15", "1995-04-02"),
+        DateRange.of("1999-12-01", "2000-01-31"),
+        DateRange.of("1980-01-01", "1980-03-01"),
+    ],
+)
+def test_range_scoped_reads_equal_full_reads(spark, store, rng):
+    """Reading only the month folders a range touches gives the same figures
+    as reading the whole store, and lists no month outside the range."""
+    full = store.table()
+    scoped = store.table(rng)
+    lo, hi = rng.start.year * 100 + rng.start.month, rng.end.year * 100 + rng.end.month
+    months = {r["year"] * 100 + r["month"] for r in scoped.select("year", "month").distinct().collect()}
+    assert all(lo <= ym <= hi for ym in months)
+    for f in (reports.kpis, reports.monthly_trend, reports.hotspots):
+        assert f(scoped, rng, 20).collect() == f(full, rng, 20).collect(), f.__name__
+    page = Page(scoped, rng, 20, persist=False, rollup=store.rollup(rng), segment_rollup=store.segment_rollup(rng))
+    assert page.kpis().collect() == reports.kpis(full, rng, 20).collect()
+    assert page.hotspots().collect() == reports.hotspots(full, rng, 20).collect()
+    assert page.map_points().collect() == reports.map_points(full, rng, 20).collect()
+
+
+def test_store_view_reads_only_range_months(spark, store):
+    import datetime as dt
+
+    view = store.view((dt.date(1996, 2, 10), dt.date(1997, 3, 5)), 25)
+    try:
+        rng = DateRange.of("1996-02-10", "1997-03-05")
+        months = {(r["year"], r["month"]) for r in view.traffic.select("year", "month").distinct().collect()}
+        assert min(months) >= (1996, 2) and max(months) <= (1997, 3)
+        t = store.table()
+        for name, df in view.figures().items():
+            direct = getattr(reports, name)
+            args = (t, rng) if name in ("speed_histogram", "monthly_vehicles") else (t, rng, 25)
+            assert df.collect() == direct(*args).collect(), name
+    finally:
+        view.close()
