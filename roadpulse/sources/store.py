@@ -21,6 +21,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,22 @@ class TrafficStore:
             .parquet(self.table_path)
         )
 
+    def append_load(self, stored_rows: DataFrame, rebalance: bool = False) -> None:
+        """Append a load: its rows, then both rollups of exactly those rows.
+
+        The load is persisted (memory, spilling to disk) while the rows are
+        written, and the rollups are aggregated from the same persisted rows,
+        so the source is parsed once and the store is not scanned to find the
+        new rows again. A lost cache block is recomputed from the source files,
+        which are still in place during the sync.
+        """
+        rows = stored_rows.select(*STORED_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.append_rows(rows, rebalance=rebalance)
+            self._write_rollups(rows, mode="append")
+        finally:
+            rows.unpersist()
+
     def append_rollup_of_files(self, filenames: list[str]) -> None:
         """Roll up the stored rows of the given files and append the result.
 

@@ -6,7 +6,8 @@ manifest entries (S8), then find new files (S15), load them (S1, S5) and record
 them (S6). Removals come before additions. Only file names are compared;
 size, content and modification time are ignored.
 
-Writes go rows, then rollup, then manifest. A run that stops in between leaves
+Writes go rows, then rollups (aggregated from the same persisted load), then
+manifest. A run that stops in between leaves
 a file with rows but no manifest entry; the next run removes those rows
 (rebuilding the rollup of their months) and loads the file again.
 """
@@ -136,8 +137,7 @@ def sync(
         if leftover:
             store.remove_files_rows(leftover)
             result.repaired = sorted(leftover)
-        store.append_rows(to_stored(read_csv_files(spark, [p for _, p in fresh])), rebalance=rebalance)
-        store.append_rollup_of_files(names)
+        store.append_load(to_stored(read_csv_files(spark, [p for _, p in fresh])), rebalance=rebalance)
         store.append_manifest(spark.createDataFrame([(n,) for n in names], "filename string"))
         result.loaded = names
     return result
