@@ -100,16 +100,21 @@ def sync(
     if match not in ("month", "file"):
         raise ValueError("match must be 'month' or 'file'")
     store.ensure()
-    disk = list_csv_files(spark, src_dir)
-    before = store.manifest()
-    # File-name lists: one row per new or removed file, collected because each
-    # new file is handed to a read and each removed month to a partition drop.
-    # The listing itself is not brought to the driver.
-    gone = [r["filename"] for r in removed_files(before, disk).collect()]
-    fresh = sorted(
-        (r["filename"], r["path"]) for r in new_files(disk, before).collect()
-    )
-    had_any = bool(before.limit(1).collect())
+    # The listing and the manifest (one row per file) are each used by several
+    # actions below; persisted, the folder is listed and the manifest read once.
+    disk = list_csv_files(spark, src_dir).persist()
+    before = store.manifest().persist()
+    try:
+        # File-name lists: one row per new or removed file, collected because
+        # each new file is handed to a read and each removed month to a
+        # partition drop. The listing itself is not brought to the driver.
+        gone = [r["filename"] for r in removed_files(before, disk).collect()]
+        fresh = sorted((r["filename"], r["path"]) for r in new_files(disk, before).collect())
+        had_any = bool(before.limit(1).collect())
+    finally:
+        # Both are fixed now; the manifest folder is rewritten further down.
+        disk.unpersist()
+        before.unpersist()
     # With an empty manifest every file on disk is new, so no new file means
     # no file at all.
     if not fresh and not had_any:
