@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import language, sharding, simhash
+from roadpulse.llm import decontam, language, mixing, sharding, simhash
 from roadpulse.llm.common import prepare, read_table, written
 
 
@@ -21,6 +21,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as the target weights of the domains ask."""
+    return mixing.mixed(docs, read_table(spark, sf_dir, "labels"))
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard and its place in it."""
     prepare(spark)
@@ -30,6 +40,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing_to_targets),
     ("sharding", shards),
 ]
 

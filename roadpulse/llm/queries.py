@@ -3,40 +3,118 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language, sharding, simhash
+from . import chat, decontam, exact_dedup, language, mixing, quality, sharding, simhash, suffix_dedup, url_filter
 from .common import read_table
+from .url_filter import Rule
+
+URL_RULES = [
+    Rule("allow", "com/"),
+    Rule("block", "example.com/en/"),
+    Rule("allow", "www.example.com/en/"),
+    Rule("block", "net/es/"),
+    Rule("block", "net/fr/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).drop("text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
 def registered():
-    return {f.__name__: f for f in (op2_simhash, op5_sharding, op8_exact_dedup, op10_language)}
+    ops = (
+        op1_url_filter,
+        op2_simhash,
+        op3_chat,
+        op4_mixing,
+        op5_sharding,
+        op6_quality,
+        op7_decontam,
+        op8_exact_dedup,
+        op9_suffix_dedup,
+        op10_language,
+    )
+    return {f.__name__: f for f in ops}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def oracle() -> dict[str, str]:
+    turn = f"'{chat.TURN_OPEN}' || coalesce(role, '{chat.NO_ROLE}') || chr(10) || coalesce(text, '') || '{chat.TURN_CLOSE[:-1]}' || chr(10)"
     return {
+        "op3_chat": f"""
+WITH turns AS (
+  SELECT conv_id, {turn} AS said, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
+  FROM conversations),
+prefixes AS (
+  SELECT conv_id, n, pos, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY pos) AS rendered FROM turns),
+whole AS (
+  SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered
+  FROM prefixes WHERE pos = n GROUP BY n, rendered)
+SELECT * FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos < p.n AND p.pos = w.n_turns AND p.rendered = w.rendered)""",
         "op8_exact_dedup": f"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 made AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM low GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM low JOIN made USING (t)""",
+        "op9_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, doc_id, unnest(range(0, length(h) // 2)) AS k FROM d),
+w AS (SELECT rid, k, b.doc_id, substr(h, 2 * k + 1, 100) AS s FROM b JOIN d USING (rid) WHERE 2 * k + 100 <= length(h)),
+least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT rid, k, k AS start FROM w JOIN least USING (s) WHERE m < doc_id),
+seen AS (
+  SELECT b.rid, b.k, max(start) OVER (PARTITION BY b.rid ORDER BY b.k) AS last_start
+  FROM b LEFT JOIN hit ON hit.rid = b.rid AND hit.k = b.k),
+gone AS (SELECT rid, k, coalesce(k - last_start < 50, false) AS g FROM seen),
+runs AS (SELECT rid, k, g, g AND NOT lag(g, 1, false) OVER (PARTITION BY rid ORDER BY k) AS first FROM gone),
+kept AS (
+  SELECT rid, count(*) FILTER (WHERE g) AS n_removed, count(*) FILTER (WHERE first) AS n_spans,
+         string_agg(substr(h, 2 * k + 1, 2), '' ORDER BY k) FILTER (WHERE NOT g) AS rest
+  FROM runs JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""",
     }
