@@ -19,7 +19,6 @@ an executor only recomputes the lost blocks from the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -27,14 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_away, speed_bin
-from ..operators import present, reports
-from ..operators.filters import DateRange, check_range, check_threshold, normalize_range
+from ..operators import reports
+from ..operators.filters import DEFAULT_THRESHOLD, DateRange, check_range, check_threshold, normalize_range
 from .rollup import cells_from_rollup
 from .segment_rollup import covers, segment_stats_from_rollup
 from ..schema import AVERAGE_SPEED, NUMBER_OF_VEHICLES
 
-DEFAULT_RANGE = DateRange.of("1997-01-01", "1999-12-31")
-DEFAULT_THRESHOLD = 20
 
 
 def cells(traffic: DataFrame, rng: DateRange | None) -> DataFrame:
@@ -83,8 +80,12 @@ class Page:
         persist: bool = True,
         rollup: DataFrame | None = None,
         segment_rollup: DataFrame | None = None,
+        spans: dict[int, tuple] | None = None,
     ):
         self.traffic = traffic
+        self.spans = spans
+        self.persist = persist
+        self._owns_cells = True
         self.rng = rng
         self.threshold = threshold
         self.segment_rollup = segment_rollup
@@ -95,21 +96,28 @@ class Page:
             self._segments = self._segments.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
-        self._cells.unpersist()
-        self._segments.unpersist()
+        """Release what this page holds; the cells belong to the page they were
+        made for."""
+        if self.persist:
+            self._segments.unpersist()
+            if self._owns_cells:
+                self._cells.unpersist()
 
     def _segment_stats(self, threshold: int) -> DataFrame:
         if self.segment_rollup is not None and covers(threshold):
-            return segment_stats_from_rollup(self.segment_rollup, self.traffic, self.rng, threshold)
+            return segment_stats_from_rollup(self.segment_rollup, self.traffic, self.rng, threshold, self.spans)
         return reports.segment_stats(self.traffic, self.rng, threshold)
 
     def with_threshold(self, threshold: int) -> "Page":
-        """Same range, new threshold: the cells are reused as they are."""
+        """Same range, new threshold: the cells are reused as they are, and stay
+        until the page they were made for is closed."""
         page = Page.__new__(Page)
         page.traffic, page.rng, page.threshold = self.traffic, self.rng, threshold
-        page.segment_rollup = self.segment_rollup
-        page._cells = self._cells
-        page._segments = page._segment_stats(threshold).persist(StorageLevel.MEMORY_AND_DISK)
+        page.segment_rollup, page.spans, page.persist = self.segment_rollup, self.spans, self.persist
+        page._cells, page._owns_cells = self._cells, False
+        page._segments = page._segment_stats(threshold)
+        if page.persist:
+            page._segments = page._segments.persist(StorageLevel.MEMORY_AND_DISK)
         return page
 
     # -- figures from the cells ---------------------------------------------------
@@ -234,30 +242,3 @@ def resolve_range(date_value, threshold: int, bounds: tuple) -> DateRange:
     check_threshold(threshold)
     check_range(rng, bounds)
     return rng
-
-
-def store_reports(
-    traffic: DataFrame, rng: DateRange = DEFAULT_RANGE, threshold: int = DEFAULT_THRESHOLD
-) -> dict[str, Callable[[], DataFrame]]:
-    """Report builders over one table (used by the benchmark on the store)."""
-
-    def whole_page() -> DataFrame:
-        page = Page(traffic, rng, threshold)
-        try:
-            figs = page.fetch()
-        finally:
-            page.close()
-        return traffic.sparkSession.createDataFrame([(len(figs),)], "figures int")
-
-    return {
-        "date_bounds": lambda: reports.date_bounds(traffic),
-        "kpis": lambda: reports.kpis(traffic, rng, threshold),
-        "monthly_trend": lambda: reports.monthly_trend(traffic, rng, threshold),
-        "weekday_hour_matrix": lambda: present.weekday_hour_matrix(traffic, rng, threshold),
-        "hour_of_day": lambda: reports.hour_of_day(traffic, rng, threshold),
-        "speed_histogram": lambda: reports.speed_histogram(traffic, rng),
-        "hotspots_full": lambda: reports.hotspots(traffic, None, threshold),
-        "map_points": lambda: reports.map_points(traffic, rng, threshold),
-        "monthly_vehicles": lambda: reports.monthly_vehicles(traffic, rng),
-        "page_all_figures": whole_page,
-    }

@@ -12,11 +12,10 @@ hundred thousand rows per month of range instead of the month itself. KPIs,
 monthly trend, weekday x hour, hour of day, histogram, monthly vehicles and the
 date bounds come from it exactly: counts and integer sums add up, and a day
 range is a predicate on (day, tail). Hotspots and map points need per-segment
-figures and still scan the store.
+figures (see segment_rollup.py).
 
-``sync`` keeps it current: loaded rows are rolled up and appended, a dropped
-month is dropped here too, and months whose rows are rewritten are rebuilt
-from the store.
+The store keeps it current: a load's rows are rolled up and appended, a dropped
+month is dropped here too, and months whose rows are rewritten are rebuilt.
 """
 
 from __future__ import annotations
@@ -116,6 +115,15 @@ def bounds_from_rollup(rollup: DataFrame) -> DataFrame:
     return rollup.agg(F.min("t_min").cast("date").alias("d_min"), F.max("t_max").cast("date").alias("d_max"))
 
 
+def month_spans(rollup: DataFrame, rng: DateRange) -> dict[int, tuple]:
+    """First and last timestamp of the range's first and last month, by
+    ``year*100+month``: at most two rows, from those two months' rollup."""
+    ym = F.col("year") * F.lit(100) + F.col("month")
+    ends = sorted({d.year * 100 + d.month for d in (rng.start, rng.end)})
+    found = rollup.where(ym.isin(ends)).groupBy(ym.alias("ym")).agg(F.min("t_min").alias("a"), F.max("t_max").alias("b"))
+    return {r["ym"]: (r["a"], r["b"]) for r in found.collect()}
+
+
 __all__ = [
     "ROLLUP_SCHEMA",
     "ROLLUP_COLUMNS",
@@ -124,4 +132,5 @@ __all__ = [
     "rollup_range",
     "cells_from_rollup",
     "bounds_from_rollup",
+    "month_spans",
 ]

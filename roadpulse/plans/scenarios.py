@@ -12,25 +12,23 @@ from pyspark.sql import functions as F
 
 from ..schema import RAW_COLUMNS
 from ..session import configure, scratch_dir
+from ..sources import files
 from ..sources.fixture import traffic_fixture
 from ..sources.store import TrafficStore
 from ..sources.sync import months_of, name_year, new_files, removed_files, sync, without_months
-from ..streaming.pickup import pick_up, picked_up
+from ..streaming.pickup import pick_up
 
 # Scenario parameters: files of years up to this one count as loaded before
 # (new-file scenario); the files of this year are deleted (removal scenario).
 LOADED_UNTIL_YEAR = 1997
 REMOVED_YEAR = 1996
+VIEW_THRESHOLD = 20
+VIEW_FIGURES = ("kpis", "hotspots", "map_points")
 
 
 def data_months(traffic: DataFrame) -> DataFrame:
-    """One row per calendar month present in the data, cached.
-
-    At most twelve rows per year of data. Caching makes it a leaf of the plans
-    built on it, so the file-name anti joins run on these few rows instead of
-    being pushed back into the scan of every measurement.
-    """
-    return traffic.where(F.col("year").isNotNull()).select("year", "month").distinct().cache()
+    """One row per calendar month present in the data (at most twelve a year)."""
+    return traffic.where(F.col("year").isNotNull()).select("year", "month").distinct()
 
 
 def month_file_names(months: DataFrame) -> DataFrame:
@@ -58,33 +56,75 @@ def removed_files_scenario(traffic: DataFrame) -> DataFrame:
 
 
 def write_source_csv(traffic: DataFrame, folder: str) -> None:
-    """The source columns as headed CSV files, ordered by time like the
-    monthly files of the real source: each file covers a contiguous stretch
-    of time, so a load task touches few months (a range sort on write)."""
-    (
-        traffic.select(*RAW_COLUMNS)
-        .orderBy("DATE_TIME")
-        .write.option("header", True)
-        .mode("overwrite")
-        .csv(folder)
-    )
-
-
-def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source columns as headed CSV files named by their month, like the real
+    source's (``traffic_density_YYYYMM_<k>.csv``): a rebalance shuffle by month
+    (a large month becomes several files), then the files are moved to their
+    names."""
+    spark = traffic.sparkSession
+    staged = f"{folder}-staged"
+    ym = F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0"))
+    rows = traffic.select(*RAW_COLUMNS, ym.alias("ym")).hint("rebalance", "ym")
+    rows.write.option("header", True).partitionBy("ym").csv(staged)
+    for month in files.entries(spark, staged):
+        parts = [e for e in files.entries(spark, month.path) if not files.hidden(e.name)] if month.is_dir else []
+        for k, part in enumerate(parts):
+            files.move(spark, part.path, folder, f"traffic_density_{month.name[3:]}_{k:05d}.csv")
+    files.delete(spark, staged)
+
+
+def delete_source_files(spark: SparkSession, folder: str, year: int) -> int:
+    """Delete the source files of a year; returns their number."""
+    gone = [e for e in files.entries(spark, folder) if e.name.startswith(f"traffic_density_{year:04d}")]
+    for e in gone:
+        files.delete(spark, e.path)
+    return len(gone)
+
+
+def _loaded_store(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, TrafficStore]:
+    """A store loaded by ``sync`` from CSV files of the whole table."""
     configure(spark)
-    base = scratch_dir(spark, "ingest")
+    base = scratch_dir(spark, name)
     write_source_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
     store = TrafficStore(spark, f"{base}/store")
     sync(spark, f"{base}/data", store)
-    return store.table()
+    return f"{base}/data", store
+
+
+def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded_store(spark, sf_dir, "ingest")[1].table()
+
+
+def _store_after_removal(spark: SparkSession, sf_dir: str, match: str) -> TrafficStore:
+    """Load, delete the files of ``REMOVED_YEAR``, sync again."""
+    folder, store = _loaded_store(spark, sf_dir, "removal")
+    delete_source_files(spark, folder, REMOVED_YEAR)
+    sync(spark, folder, store, match=match)
+    return store
+
+
+def removal_store(match: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _store_after_removal(spark, sf_dir, match).table()
+
+    return run
+
+
+def view_after_removal(figure: str):
+    """A figure of the view on the rollups that ``sync`` keeps, after a removal."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(_store_after_removal(spark, sf_dir, "month").view(None, VIEW_THRESHOLD), figure)()
+
+    return run
 
 
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     base = scratch_dir(spark, "stream")
     write_source_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
-    pick_up(spark, f"{base}/data", f"{base}/sink", f"{base}/checkpoint")
-    return picked_up(spark, f"{base}/sink")
+    store = TrafficStore(spark, f"{base}/store")
+    pick_up(spark, f"{base}/data", store, f"{base}/checkpoint")
+    return store.table()
 
 
 def via_rollup(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFrame:
@@ -121,8 +161,18 @@ def registered():
     return {
         "sync_new_files": _on_fixture(new_files_scenario),
         "sync_removed_files": _on_fixture(removed_files_scenario),
+        **loads(),
+    }
+
+
+def loads():
+    """Scenarios that load a store of their own."""
+    return {
         "ingest_roundtrip": ingest_roundtrip,
         "stream_roundtrip": stream_roundtrip,
+        "sync_removal_store": removal_store("month"),
+        "sync_removal_store_by_file": removal_store("file"),
+        **{f"view_{f}_after_removal": view_after_removal(f) for f in VIEW_FIGURES},
     }
 
 
@@ -150,4 +200,6 @@ SELECT * FROM traffic t WHERE NOT EXISTS (SELECT 1 FROM months m WHERE m.year =
         "sync_removed_files": removed_sql,
         "ingest_roundtrip": "SELECT * FROM traffic",
         "stream_roundtrip": "SELECT * FROM traffic",
+        "sync_removal_store": removed_sql,
+        "sync_removal_store_by_file": removed_sql,
     }

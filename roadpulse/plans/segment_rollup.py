@@ -11,7 +11,8 @@ read from the rollup, the at most two months at its edges from the measurement
 rows with the range predicate (partition-pruned to those months), and the two
 parts are added up per segment. A month counts as wholly inside only if its
 last day is before the range's last day, since the range stops at
-``23:59:59`` of that day. Thresholds outside the domain have no count column;
+``23:59:59`` of that day, or if its first and last timestamps (``spans``, from
+the calendar rollup) are known to lie inside. Thresholds outside the domain have no count column;
 for them the per-segment figures are computed from the measurements.
 """
 
@@ -107,10 +108,13 @@ def _next_month(d: dt.date) -> dt.date:
     return dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
 
 
-def month_split(rng: DateRange) -> tuple[tuple[int, int] | None, list[int]]:
-    """Months (as ``year*100+month``) wholly inside the range, as one closed
-    interval or ``None``, and the months at its edges that are only partly
-    inside.
+def month_split(
+    rng: DateRange, spans: dict[int, tuple] | None = None
+) -> tuple[tuple[int, int] | None, list[int], list[int]]:
+    """Months (as ``year*100+month``) wholly inside the range by the calendar, as
+    one closed interval or ``None``; the months at its edges whose rows all lie
+    inside by ``spans`` (first and last timestamp of a month); and the edge
+    months that may reach beyond it.
 
     Month ``m`` is wholly inside when its first day is on or after the range's
     first day and its last day is before the range's last day; the month of
@@ -123,7 +127,9 @@ def month_split(rng: DateRange) -> tuple[tuple[int, int] | None, list[int]]:
         full = (_ym(first_full), _ym(end_month - dt.timedelta(days=1)))
     start_is_full = full is not None and rng.start.day == 1
     edges = sorted({_ym(rng.end)} | (set() if start_is_full else {_ym(rng.start)}))
-    return full, edges
+    lower, upper = dt.datetime.fromisoformat(rng.lower), dt.datetime.fromisoformat(rng.upper)
+    inside = [m for m in edges if m in (spans or {}) and spans[m][0] >= lower and spans[m][1] <= upper]
+    return full, inside, [m for m in edges if m not in inside]
 
 
 def covers(threshold: int) -> bool:
@@ -132,7 +138,11 @@ def covers(threshold: int) -> bool:
 
 
 def segment_stats_from_rollup(
-    segment_rollup: DataFrame, traffic: DataFrame, rng: DateRange | None, threshold: int
+    segment_rollup: DataFrame,
+    traffic: DataFrame,
+    rng: DateRange | None,
+    threshold: int,
+    spans: dict[int, tuple] | None = None,
 ) -> DataFrame:
     """Per-segment figures (as ``reports.segment_stats``) from the rollup for
     the months wholly inside the range and the measurements for the edges."""
@@ -143,10 +153,12 @@ def segment_stats_from_rollup(
     if rng is None:
         parts = [segment_rollup.where(F.col("year").isNotNull() & F.col("month").isNotNull()).select(*need)]
     else:
-        full, edges = month_split(rng)
+        full, inside, edges = month_split(rng, spans)
         parts = []
-        if full is not None:
-            parts.append(segment_rollup.where(ym.between(F.lit(full[0]), F.lit(full[1]))).select(*need))
+        whole = F.lit(False) if full is None else ym.between(F.lit(full[0]), F.lit(full[1]))
+        whole = whole | ym.isin(inside) if inside else whole
+        if full is not None or inside:
+            parts.append(segment_rollup.where(whole).select(*need))
         if edges:
             raw = in_range(traffic, rng).where(ym.isin(edges))
             parts.append(_row_measures(raw, threshold).select(*need))

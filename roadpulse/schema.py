@@ -61,7 +61,15 @@ STORED_SCHEMA = T.StructType(
 )
 STORED_COLUMNS = [f.name for f in STORED_SCHEMA.fields]
 
-MANIFEST_SCHEMA = T.StructType([T.StructField("filename", T.StringType(), True)])
+MONTH_TYPE = T.StructType([T.StructField("year", T.IntegerType(), True), T.StructField("month", T.IntegerType(), True)])
+MANIFEST_SCHEMA = T.StructType(
+    [
+        T.StructField("filename", T.StringType(), True),
+        T.StructField("state", T.StringType(), True),
+        T.StructField("months", T.ArrayType(MONTH_TYPE), True),
+        T.StructField("staged", T.StringType(), True),
+    ]
+)
 
 
 def mark_partitions(columns: list[str]):
@@ -76,7 +84,3 @@ def is_partitioned(schema: T.StructType) -> bool:
     names = set(schema.fieldNames())
     return all(c in names and schema[c].metadata.get(PARTITION_MARK, False) for c in PARTITION_COLUMNS)
 
-
-def ddl(schema: T.StructType) -> str:
-    """Column list for ``CREATE TABLE`` from a ``StructType``."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -77,9 +77,8 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder is read from the session (``spark.checkpoint.dir`` or the
-    context's checkpoint directory). Only when neither is set, as in a bare
-    local test session, a local temporary folder is taken and registered as
-    the checkpoint directory, so ``DataFrame.checkpoint()`` works too.
+    context's checkpoint directory); only a bare local session gets a temporary
+    one (``ensure_checkpoint_dir``).
     """
     base = ensure_checkpoint_dir(spark)
     leaf = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
@@ -87,8 +86,9 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local temporary one is set only when
-    the session names none (bare test sessions)."""
+    """The session's checkpoint folder. A local session that names none (bare
+    tests) gets a temporary one; elsewhere a folder on the driver's machine
+    would be out of the executors' sight, so that is an error."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -99,18 +99,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = sc.getCheckpointDir()
     if d:
         return d
+    if not conf_dir and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="roadpulse-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (for the Python-side helpers in tests)."""
-    if path.startswith("file:"):
-        p = path[len("file:"):]
-        while p.startswith("//"):
-            p = p[1:]
-        return p
-    return path
-
-
-__all__ = ["build_session", "configure", "scratch_dir", "ensure_checkpoint_dir", "local_path"]
+__all__ = ["build_session", "configure", "scratch_dir", "ensure_checkpoint_dir"]

@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
+import csv
+import fnmatch
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import with_calendar
 from ..schema import RAW_SCHEMA, SOURCE_FILE, STORED_COLUMNS
-
-# Concurrent first-line reads when grouping new files by header.
-HEADER_READERS = 16
+from . import files
 
 LISTING_SCHEMA = T.StructType(
     [T.StructField("path", T.StringType(), True), T.StructField("filename", T.StringType(), True)]
 )
+# Delimiters told apart by the header line.
+DELIMITERS = (",", ";", "\t", "|")
 
 
 def list_csv_files(spark: SparkSession, src_dir: str, pattern: str = "*.csv") -> DataFrame:
-    """Files directly in ``src_dir`` matching ``pattern`` (no recursion), as a
-    DataFrame ``path, filename``. Only file metadata is read: the content
-    column of the ``binaryFile`` source is pruned. A folder without matches
-    (or a missing folder) gives no rows."""
-    glob = f"{src_dir.rstrip('/')}/{pattern}"
-    try:
-        listing = spark.read.format("binaryFile").load(glob)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or (hasattr(e, "getCondition") and e.getCondition() == "PATH_NOT_FOUND"):
-            return spark.createDataFrame([], LISTING_SCHEMA)
-        raise
-    return listing.select(F.col("path"), F.col("_metadata.file_name").alias("filename"))
+    """Files directly in ``src_dir`` whose name matches ``pattern`` (no recursion), as
+    a DataFrame ``path, filename`` with the names as they are on disk. Only file
+    metadata is read; a folder without matches, or a missing one, gives no rows.
+
+    Spark's readers pass over names that begin with ``_`` or ``.``; such a file is
+    named in an error instead of being left out.
+    """
+    found = [e for e in files.entries(spark, src_dir) if not e.is_dir and fnmatch.fnmatchcase(e.name, pattern)]
+    unreadable = [e.name for e in found if files.hidden(e.name)]
+    if unreadable:
+        raise ValueError(f"file names that begin with '_' or '.' cannot be read; rename {unreadable}")
+    return spark.createDataFrame([(e.path, e.name) for e in found], LISTING_SCHEMA)
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in the first line of one CSV file (reads that line only)."""
-    return tuple(spark.read.option("header", True).csv(path).columns)
+def file_name() -> Column:
+    """Name of the file a row comes from, as it is on disk: the reader's metadata
+    gives it percent-encoded (a ``+`` stands for itself there)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def parse_header(line: str) -> tuple[str, tuple[str, ...]]:
+    """(delimiter, column names) of a header line: the delimiter that finds most of
+    the source columns, then most columns."""
+    wanted = {f.name.lower() for f in RAW_SCHEMA.fields}
+    best = (-1, -1, ",", ())
+    for d in DELIMITERS:
+        names = tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=d), []))
+        known = sum(n.strip().lower() in wanted for n in names)
+        if (known, len(names)) > best[:2]:
+            best = (known, len(names), d, names)
+    return best[2], best[3]
 
 
 def _coerce(name: str, dtype: T.DataType) -> Column:
@@ -54,31 +68,39 @@ def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Read monthly CSV files into the stored layout (source columns by header
     name, calendar columns, ``source_file``).
 
-    Columns are matched by header name, so their order and any extra columns
-    in a file do not matter. Spark takes the column names of a multi-file CSV
-    read from the first file only, so the files are grouped by header and
-    each group is one distributed read; normally every file has the same
-    header and this is a single scan. Nothing is inferred: every field is read
-    as text and cast to the fixed schema.
+    Columns are matched by header name, so their order and any extra columns in
+    a file do not matter, and the delimiter is taken from the header too. Spark
+    takes the column names of a multi-file CSV read from the first file only, so
+    the files are grouped by header line, read through the file system without a
+    Spark job, and each group is one distributed read; normally every file has
+    the same header and this is a single scan. Nothing is inferred: every field
+    is read as text and cast to the fixed schema.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    # One first-line read per file; a first load may hold many files, so the
-    # small jobs run side by side.
-    with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
-        headers = list(pool.map(lambda p: header_of(spark, p), paths))
-    for p, h in zip(paths, headers):
-        groups[h].append(p)
+    groups: dict[str, list[str]] = defaultdict(list)
+    for p, line in zip(paths, files.first_lines(spark, paths)):
+        groups[line].append(p)
     wanted = {f.name.lower(): f for f in RAW_SCHEMA.fields}
     frames = []
-    for header, members in groups.items():
-        present = {h.lower(): h for h in header}
+    for line, members in groups.items():
+        delimiter, header = parse_header(line)
+        # Named by place, so names that repeat or differ in blanks do no harm.
+        present: dict[str, int] = {}
+        for i, h in enumerate(header):
+            present.setdefault(h.strip().lower(), i)
         missing = [f.name for k, f in wanted.items() if k not in present]
         if missing:
             raise ValueError(f"CSV files {members} lack columns {missing}")
-        text = spark.read.option("header", True).option("mode", "FAILFAST").csv(members)
+        by_place = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        text = (
+            spark.read.schema(by_place)
+            .option("header", True)
+            .option("sep", delimiter)
+            .option("mode", "FAILFAST")
+            .csv([files.literal(p) for p in members])
+        )
         typed = text.select(
-            *[_coerce(present[k], f.dataType).alias(f.name) for k, f in wanted.items()],
-            F.col("_metadata.file_name").alias(SOURCE_FILE),
+            *[_coerce(f"c{present[k]}", f.dataType).alias(f.name) for k, f in wanted.items()],
+            file_name().alias(SOURCE_FILE),
         )
         frames.append(typed)
     if not frames:

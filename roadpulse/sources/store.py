@@ -1,49 +1,60 @@
 """The persistent store: measurements as Parquet partitioned by ``year, month``,
-plus the manifest of loaded file names.
+two rollups partitioned alike, and the manifest of loaded files.
 
 Layout under ``root``::
 
     traffic/year=YYYY/month=M/part-*.parquet
-    rollup/year=YYYY/month=M/part-*.parquet     (see plans/rollup.py)
+    rollup/year=YYYY/month=M/part-*.parquet          (see plans/rollup.py)
     segment_rollup/year=YYYY/month=M/part-*.parquet  (see plans/segment_rollup.py)
-    imported_files/part-*.parquet
-
-Appends never shuffle: a monthly file's splits each land in one month folder.
-A month is removed by overwriting its static partition with no rows, which
-deletes the folder without touching other months. The catalog entry used for
-that statement is a session-local handle on the same folder; reads always go
-through the folder itself, so partitions written by any session are seen.
+    imported_files/v=N/part-*.parquet                (see manifest.py)
+    staging/<step>/year=YYYY/month=M/part-*.parquet  (only while a step runs)
+
+Every step that changes rows is recorded in the manifest before it touches
+them, with the months it touches and the folder of its staged rows, and marked
+done after the rows and both rollups. A run that stops in between leaves the
+record; ``recover``, which every sync begins with, finishes a removal and takes a
+half load back, and rebuilds both rollups of the recorded months whether rows
+are still found there or not. Neither a normal run nor a recovery has to look
+through the whole store for a file's rows.
+
+* A load parses the files once, into the staging folder, where its months are
+  read off; both rollups are aggregated from there, and the staged files are
+  then moved into their month folders.
+* Removing a month deletes its folders.
+* Removing a file's rows stages the rows of its months that stay, then replaces
+  those months from the staged copy, as often as it takes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import (
-    MANIFEST_SCHEMA,
     PARTITION_COLUMNS,
     SOURCE_FILE,
     STORED_COLUMNS,
     STORED_SCHEMA,
     TRAFFIC_COLUMNS,
-    ddl,
     mark_partitions,
 )
-from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, build_rollup
+from ..plans.rollup import ROLLUP_COLUMNS, ROLLUP_SCHEMA, bounds_from_rollup, build_rollup
 from ..plans.segment_rollup import SEGMENT_ROLLUP_COLUMNS, SEGMENT_ROLLUP_SCHEMA, build_segment_rollup
 from ..operators.filters import DateRange
-from ..session import ensure_checkpoint_dir
+from ..operators.reports import date_bounds
+from . import files
+from .csv_source import read_csv_files, to_stored
+from .manifest import LOADED, LOADING, REMOVING_FILE, REMOVING_MONTH, FileEntry, Manifest, Month
 
 # Upper bound on rows per written file, so one hot month still becomes many
 # files of bounded size.
 MAX_RECORDS_PER_FILE = 5_000_000
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def month_glob(rng: DateRange) -> str | None:
@@ -64,59 +75,68 @@ def month_glob(rng: DateRange) -> str | None:
     return "{" + ",".join(parts) + "}"
 
 
+def month_folder(month: Month) -> str:
+    y, m = (NULL_FOLDER if v is None else int(v) for v in month)
+    return f"year={y}/month={m}"
+
+
+def in_months(months: Iterable[Month]) -> Column:
+    """Rows of the given months, rows without a timestamp included when their
+    (null, null) partition is. Partition columns only, so it prunes a scan."""
+    key = F.coalesce(F.col("year") * 100 + F.col("month"), F.lit(-1))
+    return key.isin([-1 if y is None or m is None else y * 100 + m for y, m in months])
+
+
+def _ordered(months: Iterable[Month]) -> list[Month]:
+    return sorted(set(months), key=lambda m: (m[0] is None, m[0] or 0, m[1] or 0))
+
+
 class TrafficStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self.table_path = f"{self.root}/traffic"
-        self.manifest_path = f"{self.root}/imported_files"
         self.rollup_path = f"{self.root}/rollup"
         self.segment_rollup_path = f"{self.root}/segment_rollup"
-        self._handle = "roadpulse_traffic_" + hashlib.sha1(self.table_path.encode()).hexdigest()[:16]
-        self._rollup_handle = "roadpulse_rollup_" + hashlib.sha1(self.rollup_path.encode()).hexdigest()[:16]
-        self._segment_handle = "roadpulse_segroll_" + hashlib.sha1(self.segment_rollup_path.encode()).hexdigest()[:16]
+        self.log = Manifest(spark, f"{self.root}/imported_files")
+
+    def _done(self, step: str) -> None:
+        """Called after each write of a step (tests stop a run here)."""
 
     # -- S3: create if missing ------------------------------------------------
     def ensure(self) -> "TrafficStore":
-        # The manifest folder is small, so its listing is the existence test.
-        # Appending no rows creates a missing folder and leaves a present one
-        # as it is.
-        if not self._exists(self.manifest_path):
-            self.spark.createDataFrame([], STORED_SCHEMA).write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(
-                self.table_path
-            )
-            self.spark.createDataFrame([], ROLLUP_SCHEMA).write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(
-                self.rollup_path
-            )
-            self.spark.createDataFrame([], SEGMENT_ROLLUP_SCHEMA).write.mode("append").partitionBy(
-                *PARTITION_COLUMNS
-            ).parquet(self.segment_rollup_path)
-            self.spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("append").parquet(self.manifest_path)
-        elif not self._exists(self.segment_rollup_path):
-            # A store from before the segment rollup gets it built once from
-            # its rows.
-            self._write_partitioned(
-                build_segment_rollup(self.stored()), self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, "append"
-            )
-        for handle, schema, path in (
-            (self._handle, STORED_SCHEMA, self.table_path),
-            (self._rollup_handle, ROLLUP_SCHEMA, self.rollup_path),
-            (self._segment_handle, SEGMENT_ROLLUP_SCHEMA, self.segment_rollup_path),
-        ):
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {handle} ({ddl(schema)}) USING parquet "
-                f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{path}'"
-            )
+        """Create what is missing. A store whose manifest is gone has the files
+        its rows come from entered as half loaded, so that the next sync takes
+        their rows back and loads them again; a store from before the segment
+        rollup gets it built once from its rows."""
+        fresh = not files.exists(self.spark, self.table_path)
+        for path, schema in ((self.table_path, STORED_SCHEMA), (self.rollup_path, ROLLUP_SCHEMA)):
+            self._create(path, schema)
+        if not files.exists(self.spark, self.segment_rollup_path):
+            self._create(self.segment_rollup_path, SEGMENT_ROLLUP_SCHEMA)
+            if not fresh:
+                rolled = build_segment_rollup(self.stored())
+                self._write_partitioned(rolled, self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, "append")
+        if not self.log.exists():
+            self.log.change(put=[] if fresh else self._entries_from_rows())
         return self
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
-            return True
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
+    def _create(self, path: str, schema) -> None:
+        if not files.exists(self.spark, path):
+            empty = self.spark.createDataFrame([], schema)
+            empty.write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(path)
+
+    def _entries_from_rows(self) -> list[FileEntry]:
+        """One whole read of two narrow columns, only when the manifest is lost."""
+        return [FileEntry(n, LOADING, m) for n, m in self._months_by_file(self.stored()).items() if n is not None]
+
+    @staticmethod
+    def _months_by_file(rows: DataFrame) -> dict[str, tuple[Month, ...]]:
+        """Months of each file: at most one row per file and month."""
+        found: dict[str, list[Month]] = defaultdict(list)
+        for r in rows.select(SOURCE_FILE, *PARTITION_COLUMNS).distinct().collect():
+            found[r[SOURCE_FILE]].append((r["year"], r["month"]))
+        return {n: tuple(_ordered(m)) for n, m in found.items()}
 
     # -- S11 / S4: scans ---------------------------------------------------------
     def _read(self, path: str, schema, rng: DateRange | None) -> DataFrame:
@@ -125,18 +145,43 @@ class TrafficStore:
         ``basePath``, so the partition columns stay); a store of a million
         files is then not listed whole to open one view. Partition pruning and
         the reports' own range filters still apply on top."""
+        base = files.literal(path)
         if rng is None:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(base)
         glob = month_glob(rng)
         if glob is None:
             return self.spark.createDataFrame([], schema)
         try:
-            return self.spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{glob}")
+            return self.spark.read.schema(schema).option("basePath", path).parquet(f"{base}/{glob}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def _month_range(self, path: str) -> DateRange | None:
+        """First and last month that have a folder, from the folder names."""
+        years = sorted(
+            (int(e.name[5:]), e.path)
+            for e in files.entries(self.spark, path)
+            if e.is_dir and e.name.startswith("year=") and e.name[5:].lstrip("-").isdigit()
+        )
+        ends = []
+        for (year, folder), pick in zip((years[:1] + years[-1:]), (min, max)):
+            months = [int(e.name[6:]) for e in files.entries(self.spark, folder) if e.name[6:].isdigit()]
+            if not months:
+                return None
+            ends.append(f"{year:04d}-{pick(months):02d}-01")
+        return DateRange.of(*ends) if ends else None
+
+    def _first_and_last(self, path: str, schema) -> DataFrame:
+        """The rows of the first and the last month."""
+        ends = self._month_range(path)
+        if ends is None:
+            return self.spark.createDataFrame([], schema)
+        base = files.literal(path)
+        paths = [f"{base}/{month_folder((d.year, d.month))}" for d in sorted({ends.start, ends.end})]
+        return self.spark.read.schema(schema).option("basePath", path).parquet(*paths)
+
     def stored(self, rng: DateRange | None = None) -> DataFrame:
         """All stored columns, ``source_file`` included (optionally only the
         months ``rng`` touches)."""
@@ -149,21 +194,10 @@ class TrafficStore:
         return self.stored(rng).select(*mark_partitions(TRAFFIC_COLUMNS))
 
     def date_bounds(self) -> DataFrame:
-        """Q1 on the store without reading the whole timestamp column.
-
-        Every stored row's (year, month) is derived from its timestamp, so the
-        earliest and latest measurements lie in the first and last month
-        partitions. The first step aggregates partition values only (no data
-        column is read); the second reads ``DATE_TIME`` of those two months.
-        """
-        from ..operators.reports import date_bounds
-
-        t = self.table()
-        ym = F.col("year") * 100 + F.col("month")
-        edges = t.where(ym.isNotNull()).agg(F.min(ym).alias("lo"), F.max(ym).alias("hi")).first()
-        if edges["lo"] is None:
-            return date_bounds(t.where(F.lit(False)))
-        return date_bounds(t.where(ym.isin(edges["lo"], edges["hi"])))
+        """Q1 on the store: every row's month is derived from its timestamp, so
+        the earliest and the latest measurement lie in the first and the last
+        month folder, and only those two are read."""
+        return date_bounds(self._first_and_last(self.table_path, STORED_SCHEMA))
 
     def rollup(self, rng: DateRange | None = None) -> DataFrame:
         """The rollup of the stored rows (plans/rollup.py)."""
@@ -177,26 +211,46 @@ class TrafficStore:
 
     def view(self, date_value=None, threshold: int = 20):
         """A dashboard view on the store, as the page opens it: data bounds
-        from the rollup, the picked dates resolved to a checked range, then
-        the figures over reads of only the month folders in that range: cell
-        figures from the rollup, hotspots and map from the segment rollup plus
-        the rows of the range's edge months."""
+        from the first and last month of the rollup, the picked dates resolved
+        to a checked range, then the figures over reads of only the month
+        folders in that range: cell figures from the rollup, hotspots and map
+        from the segment rollup plus the rows of those edge months that reach
+        beyond the range."""
         from ..plans.dashboard import Page, resolve_range
-        from ..plans.rollup import bounds_from_rollup
+        from ..plans.rollup import month_spans
 
-        row = bounds_from_rollup(self.rollup()).first()
+        row = bounds_from_rollup(self._first_and_last(self.rollup_path, ROLLUP_SCHEMA)).first()
         rng = resolve_range(date_value, threshold, (row["d_min"], row["d_max"]))
+        rollup = self.rollup(rng)
         return Page(
-            self.table(rng), rng, threshold, rollup=self.rollup(rng), segment_rollup=self.segment_rollup(rng)
+            self.table(rng),
+            rng,
+            threshold,
+            rollup=rollup,
+            segment_rollup=self.segment_rollup(rng),
+            spans=month_spans(rollup, rng),
         )
 
     def manifest(self) -> DataFrame:
         """Loaded file names, one row each."""
-        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path).dropDuplicates(["filename"])
+        return self.log.table().where(F.col("state") == LOADED).select("filename").dropDuplicates(["filename"])
 
-    # -- S5 / S6: appends ------------------------------------------------------
-    def append_rows(self, stored_rows: DataFrame, rebalance: bool = False) -> None:
-        """Append rows under their month folders.
+    # -- S5 / S6: loads --------------------------------------------------------
+    def _stage(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.root}/staging/{name}-{uuid.uuid4().hex[:12]}"
+        self._write_rows(rows, path, "errorifexists")
+        return path
+
+    def _staged(self, path: str) -> DataFrame:
+        return self.spark.read.schema(STORED_SCHEMA).parquet(files.literal(path))
+
+    @staticmethod
+    def _write_rows(rows: DataFrame, path: str, mode: str) -> None:
+        writer = rows.select(*STORED_COLUMNS).write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLUMNS).parquet(path)
+
+    def load(self, found: list[tuple[str, str]], rebalance: bool = False) -> None:
+        """Load files, given as (name, path), that are not in the manifest.
 
         Monthly source files need no shuffle: every split of a file holds one
         month, so each task writes into one folder. With ``rebalance`` (for
@@ -205,149 +259,141 @@ class TrafficStore:
         it meets; AQE cuts a hot month into several tasks of the advisory size
         and merges small ones.
         """
-        rows = stored_rows.select(*STORED_COLUMNS)
+        rows = to_stored(read_csv_files(self.spark, [p for _, p in found]))
+        self.load_rows(rows, [n for n, _ in found], rebalance)
+
+    def load_rows(self, rows: DataFrame, names: list[str], rebalance: bool = False) -> None:
+        """Load rows in the stored layout that come from the files ``names``."""
         if rebalance:
             rows = rows.hint("rebalance", *PARTITION_COLUMNS)
-        (
-            rows.write.mode("append")
-            .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .partitionBy(*PARTITION_COLUMNS)
-            .parquet(self.table_path)
-        )
-
-    def append_load(self, stored_rows: DataFrame, rebalance: bool = False) -> None:
-        """Append a load: its rows, then both rollups of exactly those rows.
-
-        The load is persisted (memory, spilling to disk) while the rows are
-        written, and the rollups are aggregated from the same persisted rows,
-        so the source is parsed once and the store is not scanned to find the
-        new rows again. A lost cache block is recomputed from the source files,
-        which are still in place during the sync.
-        """
-        rows = stored_rows.select(*STORED_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self.append_rows(rows, rebalance=rebalance)
-            self._write_rollups(rows, mode="append")
-        finally:
-            rows.unpersist()
-
-    def append_rollup_of_files(self, filenames: list[str]) -> None:
-        """Roll up the stored rows of the given files and append the result.
-
-        Reads only what the rollup needs, and the ``source_file`` predicate is
-        pushed to the Parquet reader, so row groups of other files are skipped
-        on their statistics."""
-        if not filenames:
-            return
-        rows = self.stored().where(F.col(SOURCE_FILE).isin(filenames))
-        self._write_rollups(rows, mode="append")
+        path = self._stage(rows, "load")
+        self._done("staged")
+        staged = self._staged(path)
+        months = self._months_by_file(staged)
+        entries = self.log.mark([FileEntry(n, LOADING, months.get(n, ()), path) for n in names])
+        self._done("recorded")
+        self._write_rollups(staged, "append")
+        self._publish(path)
+        self._done("rows")
+        self.log.mark(entries, state=LOADED, staged=None)
+        self._done("loaded")
+        files.delete(self.spark, path)
+
+    def _publish(self, path: str) -> None:
+        """Move staged files into their month folders; their names are unique."""
+        for year in files.entries(self.spark, path):
+            for month in files.entries(self.spark, year.path) if year.is_dir else ():
+                for part in files.entries(self.spark, month.path):
+                    if not files.hidden(part.name):
+                        files.move(self.spark, part.path, f"{self.table_path}/{year.name}/{month.name}")
 
     def _write_rollups(self, rows: DataFrame, mode: str) -> None:
-        """Both rollups of the given stored rows. Each is one aggregate over
-        the rows' few needed columns; the Parquet reader is asked twice
-        rather than holding the rows in executor memory."""
+        """Both rollups of the given stored rows, each one aggregate over the few
+        columns it needs."""
         self._write_partitioned(build_rollup(rows), self.rollup_path, ROLLUP_COLUMNS, mode)
+        self._done("rollup")
         self._write_partitioned(build_segment_rollup(rows), self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, mode)
+        self._done("segment rollup")
 
     def _write_partitioned(self, rolled: DataFrame, path: str, columns: list[str], mode: str) -> None:
-        """Write rollup rows, one file per month.
-
-        The rollup of a month is bounded (days x 24 x speeds x 2 rows) however
-        many measurements the month holds, so after the aggregate (which runs
-        at full shuffle parallelism) its rows are shuffled once more by month
-        and each month is written by one task: a hot month costs no more than
-        any other, and the folder holds one small file per load and month.
-        """
-        w = rolled.select(*columns).repartition(*PARTITION_COLUMNS).write.mode(mode)
-        if mode == "overwrite":
-            w = w.option("partitionOverwriteMode", "dynamic")
-        w.partitionBy(*PARTITION_COLUMNS).parquet(path)
-
-    def rebuild_rollup(self, months: list[tuple[int, int]], with_rows: set[tuple[int, int]] | None = None) -> None:
-        """Recompute the rollup of the given months from the store.
-
-        ``with_rows`` names the months that still hold rows, when the caller
-        knows them; otherwise they are looked up from the partition values.
-        Months with rows get their rollup replaced (dynamic partition
-        overwrite), the others lose it.
-        """
-        if not months:
-            return
-        in_months = (F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months])
-        rows = self.stored().where(in_months)
-        if with_rows is None:
-            with_rows = {(r["year"], r["month"]) for r in rows.select(*PARTITION_COLUMNS).distinct().collect()}
-        if with_rows:
-            self._write_rollups(rows, mode="overwrite")
-        gone = [m for m in months if m not in with_rows]
-        self._drop(self._rollup_handle, ROLLUP_SCHEMA, gone)
-        self._drop(self._segment_handle, SEGMENT_ROLLUP_SCHEMA, gone)
-
-    def append_manifest(self, names: DataFrame) -> None:
-        names.select(F.col("filename").cast("string")).coalesce(1).write.mode("append").parquet(self.manifest_path)
+        """Write rollup rows by month. A month of the calendar rollup is bounded
+        (days x 24 x speeds x 2 rows), one of the segment rollup grows with the
+        segments; the rebalance shuffle gives a small month one task and one
+        file and cuts a large one into tasks of the advisory size."""
+        writer = rolled.select(*columns).hint("rebalance", *PARTITION_COLUMNS).write.mode(mode)
+        writer = writer.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        writer.partitionBy(*PARTITION_COLUMNS).parquet(path)
 
     # -- S7 / S8: removals -----------------------------------------------------
-    def drop_months(self, months: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Delete all rows of the given (year, month) partitions, and their rollups."""
-        months = sorted({(int(y), int(m)) for y, m in months})
-        self._drop(self._handle, STORED_SCHEMA, months)
-        self._drop(self._rollup_handle, ROLLUP_SCHEMA, months)
-        self._drop(self._segment_handle, SEGMENT_ROLLUP_SCHEMA, months)
+    def drop_months(self, months: Iterable[Month]) -> list[Month]:
+        """Delete all rows of the given (year, month) partitions, and their
+        rollups. Other months' files are not touched, nor listed."""
+        months = _ordered(months)
+        for path in (self.table_path, self.rollup_path, self.segment_rollup_path):
+            self._delete_months(path, months)
+            self._done("dropped")
         return months
 
-    def _drop(self, handle: str, schema, months: Iterable[tuple[int, int]]) -> None:
-        nulls = ", ".join(
-            f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`"
-            for f in schema.fields
-            if f.name not in PARTITION_COLUMNS
-        )
-        for y, m in sorted(set(months)):
-            self.spark.sql(
-                f"INSERT OVERWRITE {handle} PARTITION (year = {int(y)}, month = {int(m)}) SELECT {nulls} WHERE false"
-            )
-
-    def remove_files_rows(self, filenames: list[str]) -> list[tuple[int, int]]:
-        """Delete the rows that came from the given files, wherever they are.
-
-        Only the months that hold such rows are rewritten. Their other rows
-        are written to the checkpoint folder first (a reliable checkpoint, which
-        also cuts the plan off the folder being replaced); then the months that
-        keep rows are replaced with a dynamic partition overwrite, which stages
-        the new month folders and swaps them in at commit, so a failure before
-        the commit leaves the old month intact. Months left without rows are
-        dropped afterwards.
+    def _delete_months(self, path: str, months: Iterable[Month]) -> None:
+        for m in months:
+            files.delete(self.spark, f"{path}/{month_folder(m)}")
+
+    def remove_months(self, removed: dict[str, list[Month]]) -> list[Month]:
+        """Removed files, each with the months its name stands for: delete those
+        months, then the manifest entries."""
+        entries = self.log.mark([FileEntry(n, REMOVING_MONTH, tuple(m)) for n, m in removed.items()])
+        self._done("recorded")
+        return self._finish_months(entries)
+
+    def _finish_months(self, entries: list[FileEntry]) -> list[Month]:
+        months = self.drop_months(m for e in entries for m in e.months or ())
+        self.log.change(drop=[e.filename for e in entries])
+        self._done("forgotten")
+        return months
+
+    def remove_files(self, names: list[str]) -> list[Month]:
+        """Delete exactly the rows that came from the given files, then their
+        manifest entries. Only the months the manifest names for them are
+        read and rewritten."""
+        known = self.log.entries(names)
+        lost = [e.filename for e in known if e.months is None]
+        if lost:  # entered by an older layout
+            months = self._months_by_file(self.stored().where(F.col(SOURCE_FILE).isin(lost)))
+            known = [FileEntry(e.filename, e.state, months.get(e.filename, ()) if e.months is None else e.months) for e in known]
+        entries = self.log.mark(known, state=REMOVING_FILE, staged=None)
+        self._done("recorded")
+        return self._finish_files(entries)
+
+    def _finish_files(self, entries: list[FileEntry]) -> list[Month]:
+        """Take the entries' rows out of their months.
+
+        The months' other rows are staged first and the folder recorded; from
+        then on the months can be replaced from it again and again, however
+        often a run stops on the way.
         """
-        if not filenames:
-            return []
-        stored = self.stored()
-        hit = stored.where(F.col(SOURCE_FILE).isin(filenames))
-        # Month keys only: at most one row per stored month.
-        months = [(r["year"], r["month"]) for r in hit.select(*PARTITION_COLUMNS).distinct().collect()]
-        if not months:
-            return []
-        # Partition columns only, so this prunes the scan to those months.
-        in_months = (F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months])
-        ensure_checkpoint_dir(self.spark)
-        keep = stored.where(in_months & ~F.coalesce(F.col(SOURCE_FILE).isin(filenames), F.lit(False))).checkpoint(
-            eager=True
-        )
-        kept = {(r["year"], r["month"]) for r in keep.select(*PARTITION_COLUMNS).distinct().collect()}
-        if kept:
-            (
-                keep.select(*STORED_COLUMNS)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-                .partitionBy(*PARTITION_COLUMNS)
-                .parquet(self.table_path)
-            )
-        self._drop(self._handle, STORED_SCHEMA, [m for m in months if m not in kept])
-        self.rebuild_rollup(months, with_rows=kept)
-        return sorted(months)
-
-    def remove_manifest_entries(self, filenames: list[str]) -> None:
-        if not filenames:
-            return
-        ensure_checkpoint_dir(self.spark)
-        rest = self.manifest().where(~F.col("filename").isin(filenames)).checkpoint(eager=True)
-        rest.coalesce(1).write.mode("overwrite").parquet(self.manifest_path)
+        months = _ordered(m for e in entries for m in e.months or ())
+        path = next((e.staged for e in entries if e.staged), None)
+        if months and path is None:
+            names = self.spark.createDataFrame([(e.filename,) for e in entries], f"{SOURCE_FILE} string")
+            kept = self.stored().where(in_months(months)).join(names, SOURCE_FILE, "left_anti")
+            path = self._stage(kept, "keep")
+            self._done("kept")
+            entries = self.log.mark(entries, state=REMOVING_FILE, staged=path)
+            self._done("kept recorded")
+        if months:
+            staged = self._staged(path)
+            held = {(r["year"], r["month"]) for r in staged.select(*PARTITION_COLUMNS).distinct().collect()}
+            gone = [m for m in months if m not in held]
+            if held:
+                self._write_rows(staged, self.table_path, "overwrite")
+            self._delete_months(self.table_path, gone)
+            self._done("rows")
+            if held:
+                self._write_rollups(staged, "overwrite")
+            for rollup in (self.rollup_path, self.segment_rollup_path):
+                self._delete_months(rollup, gone)
+        self.log.change(drop=[e.filename for e in entries])
+        self._done("forgotten")
+        if path:
+            files.delete(self.spark, path)
+        return months
+
+    def recover(self) -> list[str]:
+        """Finish what an earlier run began: removals are completed, half loads
+        taken back (the files count as new again). Returns those file names."""
+        open_ = self.log.unfinished()
+        by_month = [e for e in open_ if e.state == REMOVING_MONTH]
+        if by_month:
+            self._finish_months(by_month)
+        # Entries that share a staged folder belong to one removal; staged rows
+        # of a load are no copy of rows that stay.
+        removing = [e for e in open_ if e.state == REMOVING_FILE]
+        for path in sorted({e.staged for e in removing}, key=str):
+            self._finish_files([e for e in removing if e.staged == path])
+        loading = [e for e in open_ if e.state == LOADING]
+        if loading:
+            leftovers = {e.staged for e in loading if e.staged}
+            self._finish_files(self.log.mark(loading, state=REMOVING_FILE, staged=None))
+            for path in leftovers:
+                files.delete(self.spark, path)
+        return [e.filename for e in loading]

@@ -1,15 +1,14 @@
 """Keep the store in step with the source folder.
 
-One run: list the CSV files (S2), read the manifest (S4), find removed files
-(S16) and delete their month's rows (S7, by the ``YYYYMM`` in the name) and
-manifest entries (S8), then find new files (S15), load them (S1, S5) and record
-them (S6). Removals come before additions. Only file names are compared;
-size, content and modification time are ignored.
-
-Writes go rows, then rollups (aggregated from the same persisted load), then
-manifest. A run that stops in between leaves
-a file with rows but no manifest entry; the next run removes those rows
-(rebuilding the rollup of their months) and loads the file again.
+One run: finish what an earlier run left half done (``TrafficStore.recover``),
+list the CSV files (S2), read the manifest (S4), find removed files (S16) and
+delete their month's rows (S7, by the ``YYYYMM`` in the name) and manifest
+entries (S8), then find new files (S15), load them (S1, S5) and record them
+(S6). Removals come before additions. Only file names are compared; size,
+content and modification time are ignored.
+
+Every step is recorded in the manifest before it touches rows and marked done
+after its rows and rollups (see store.py).
 """
 
 from __future__ import annotations
@@ -19,18 +18,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SOURCE_FILE
-from .csv_source import list_csv_files, read_csv_files, to_stored
+from .csv_source import list_csv_files
 from .store import TrafficStore
 
 # Fixed value: the first six consecutive digits of a file name are read as
 # year (4) and month (2).
 NAME_MONTH_PATTERN = r"(\d{4})(\d{2})"
 
-# Removed-month keys broadcast to the row side of S7 up to this many (a
-# century of months is 1,200).
-MAX_BROADCAST_MONTHS = 100_000
-
 
 def name_year(name: Column) -> Column:
     return F.regexp_extract(name, NAME_MONTH_PATTERN, 1).try_cast("int")
@@ -50,27 +44,24 @@ def removed_files(manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
     return manifest.join(on_disk.select("filename"), "filename", "left_anti")
 
 
-def months_of(files: DataFrame) -> DataFrame:
-    """P17: ``year, month`` parsed from each name; names without six digits
-    give no row (so they delete nothing)."""
-    parsed = files.select(
-        name_year(F.col("filename")).alias("year"), name_month(F.col("filename")).alias("month")
+def with_name_month(files: DataFrame) -> DataFrame:
+    """P17: ``year, month`` parsed from each name (null without six digits)."""
+    return files.select(
+        "filename", name_year(F.col("filename")).alias("year"), name_month(F.col("filename")).alias("month")
     )
+
+
+def months_of(files: DataFrame) -> DataFrame:
+    """The months named by files; names without six digits give no row (so they
+    delete nothing)."""
+    parsed = with_name_month(files).select("year", "month")
     return parsed.where(F.col("year").isNotNull() & F.col("month").isNotNull()).distinct()
 
 
 def without_months(traffic: DataFrame, months: DataFrame) -> DataFrame:
-    """S7 as a DataFrame step: rows whose (year, month) is not in ``months``.
-
-    ``months`` holds (year, month) keys parsed from file names, at most one per
-    calendar month, so its size is bounded by the time span, not by the row
-    count. Its row count is checked: up to ``MAX_BROADCAST_MONTHS`` keys it is
-    broadcast and the large side is never shuffled; beyond that the anti join
-    is left to the planner.
-    """
-    keys = months.select("year", "month")
-    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_MONTHS else keys
-    kept = traffic.join(side, ["year", "month"], "left_anti")
+    """S7 as a DataFrame step: rows whose (year, month) is not in ``months``. The
+    planner broadcasts the months while they are small by its own measure."""
+    kept = traffic.join(months.select("year", "month"), ["year", "month"], "left_anti")
     return kept.select(*traffic.columns)
 
 
@@ -92,57 +83,35 @@ def sync(
     deletes exactly the rows that came from the removed file.
 
     ``rebalance=True`` shuffles new rows by month before writing, for sources
-    whose files are not one month each (see ``TrafficStore.append_rows``).
+    whose files are not one month each (see ``TrafficStore.load``).
 
     Raises ``FileNotFoundError`` when the folder has no CSV file and nothing
-    was loaded before.
+    was loaded before, and ``ValueError`` for file names that cannot be read.
     """
     if match not in ("month", "file"):
         raise ValueError("match must be 'month' or 'file'")
+    disk = list_csv_files(spark, src_dir)
     store.ensure()
-    # The listing and the manifest (one row per file) are each used by several
-    # actions below; persisted, the folder is listed and the manifest read once.
-    disk = list_csv_files(spark, src_dir).persist()
-    before = store.manifest().persist()
-    try:
-        # File-name lists: one row per new or removed file, collected because
-        # each new file is handed to a read and each removed month to a
-        # partition drop. The listing itself is not brought to the driver.
-        gone = [r["filename"] for r in removed_files(before, disk).collect()]
-        fresh = sorted((r["filename"], r["path"]) for r in new_files(disk, before).collect())
-        had_any = bool(before.limit(1).collect())
-    finally:
-        # Both are fixed now; the manifest folder is rewritten further down.
-        disk.unpersist()
-        before.unpersist()
+    result = SyncResult(repaired=store.recover())
+    before = store.manifest()
+    # File names (one row per new or removed file) come to the driver because
+    # new files are handed to a read and removed months to a folder each.
+    gone = removed_files(before, disk).select("filename")
+    gone = {r["filename"]: (r["year"], r["month"]) for r in with_name_month(gone).collect()}
+    fresh = sorted((r["filename"], r["path"]) for r in new_files(disk, before).collect())
     # With an empty manifest every file on disk is new, so no new file means
     # no file at all.
-    if not fresh and not had_any:
+    if not fresh and not gone and before.isEmpty():
         raise FileNotFoundError(f"no CSV files in '{src_dir}'")
 
-    result = SyncResult(removed=sorted(gone))
     if gone:
+        result.removed = sorted(gone)
         if match == "month":
-            gone_df = spark.createDataFrame([(g,) for g in gone], "filename string")
-            months = [(r["year"], r["month"]) for r in months_of(gone_df).collect()]
-            result.dropped_months = store.drop_months(months)
+            named = {n: [] if None in m else [m] for n, m in gone.items()}
+            result.dropped_months = store.remove_months(named)
         else:
-            result.dropped_months = store.remove_files_rows(gone)
-        store.remove_manifest_entries(gone)
-
+            result.dropped_months = store.remove_files(result.removed)
     if fresh:
-        names = [n for n, _ in fresh]
-        # A file can have rows in the store without a manifest entry when an
-        # earlier run stopped between the two writes: remove those rows first
-        # so the reload does not double them.
-        leftover = [
-            r[SOURCE_FILE]
-            for r in store.stored().where(F.col(SOURCE_FILE).isin(names)).select(SOURCE_FILE).distinct().collect()
-        ]
-        if leftover:
-            store.remove_files_rows(leftover)
-            result.repaired = sorted(leftover)
-        store.append_load(to_stored(read_csv_files(spark, [p for _, p in fresh])), rebalance=rebalance)
-        store.append_manifest(spark.createDataFrame([(n,) for n in names], "filename string"))
-        result.loaded = names
+        store.load(fresh, rebalance=rebalance)
+        result.loaded = [n for n, _ in fresh]
     return result

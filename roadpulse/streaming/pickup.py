@@ -1,14 +1,13 @@
 """Incremental pick-up of new monthly files as a Structured Streaming job.
 
-The file source's checkpoint is the manifest: each run with
-``trigger(availableNow=True)`` processes the files that arrived since the last
-run, then stops. The Parquet file sink writes its own commit log, so a batch
-that is retried after a lost executor or driver is not counted twice.
-
-This path covers additions only; removed files are handled by ``sync``. It is
-stricter than the batch load: the schema is fixed, each file's header must
-match it (``enforceSchema=false``) and a malformed field fails the run
-(``FAILFAST``), e.g. a fractional value in an integer column.
+The stream is one of file names: the file source finds the files that came
+since the last run (its checkpoint remembers them), and each micro-batch is
+loaded into the store the way ``sync`` loads it, with the same reading, manifest
+and rollups. A batch that is tried again after a lost driver finds its files in
+the manifest and passes them over, or takes a half load back first, so no file
+is counted twice. Runs with ``trigger(availableNow=True)`` and stops.
+
+This path covers additions only; removed files are handled by ``sync``.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import PARTITION_COLUMNS, RAW_SCHEMA, SOURCE_FILE, STORED_SCHEMA, TRAFFIC_COLUMNS, mark_partitions
-from ..sources.csv_source import to_stored
+from ..sources.csv_source import file_name, list_csv_files
+from ..sources.store import TrafficStore
+from ..sources.sync import new_files
 
 # Soft cap on the bytes of new files per micro-batch (at least one file is
 # always taken). Monthly files differ in size, so a byte cap bounds a batch,
@@ -26,35 +26,55 @@ MAX_BYTES_PER_TRIGGER = 128 * 1024**3
 
 
 def source_stream(spark: SparkSession, src_dir: str) -> DataFrame:
-    raw = (
-        spark.readStream.schema(RAW_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
+    """``path, filename`` of the CSV files directly in ``src_dir``; their content is
+    not read here."""
+    listing = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.csv")
         .option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
-        .csv(src_dir)
+        .load(src_dir)
     )
-    return to_stored(raw.withColumn(SOURCE_FILE, F.col("_metadata.file_name")))
+    return listing.select(F.col("path"), file_name().alias("filename"))
+
+
+def load_batch(store: TrafficStore, src_dir: str, batch: DataFrame) -> int:
+    """Load the files of a batch (``filename``) that the store does not have yet and
+    that are still on disk; returns their number."""
+    store.recover()
+    names = new_files(batch.select("filename").distinct(), store.manifest())
+    # Paths as they are on disk; the source gives them percent-encoded.
+    on_disk = list_csv_files(store.spark, src_dir)
+    fresh = sorted((r["filename"], r["path"]) for r in names.join(on_disk, "filename").collect())
+    if fresh:
+        store.load(fresh)
+    return len(fresh)
+
 
+def pick_up(
+    spark: SparkSession, src_dir: str, store: TrafficStore, checkpoint_dir: str, timeout_s: float | None = None
+) -> int:
+    """Load the files that are new since the last run into ``store``; returns the
+    number of micro-batches run. Raises ``TimeoutError`` when they are not done
+    within ``timeout_s``; a later run goes on from there."""
+    store.ensure()
+    list_csv_files(spark, src_dir)  # names that cannot be read raise here
+    batches = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        load_batch(store, src_dir, batch)
+        batches.append(number)
 
-def pick_up(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: str, timeout_s: float | None = None) -> int:
-    """Load the files that are new since the last run into ``sink_dir``; returns
-    the number of micro-batches run."""
     q = (
         source_stream(spark, src_dir)
-        .writeStream.format("parquet")
-        .partitionBy(*PARTITION_COLUMNS)
+        .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
-        .start(sink_dir)
+        .start()
     )
-    q.awaitTermination(timeout_s)
+    if q.awaitTermination(timeout_s) is False:
+        q.stop()
+        raise TimeoutError(f"files of '{src_dir}' not picked up within {timeout_s} s")
     if q.exception():
         raise q.exception()
-    return len(q.recentProgress)
-
-
-def picked_up(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The loaded rows (read through the sink's commit log)."""
-    return spark.read.schema(STORED_SCHEMA).parquet(sink_dir).select(*mark_partitions(TRAFFIC_COLUMNS))
+    return len(batches)

@@ -1,13 +1,21 @@
-"""Every registered query against its DuckDB oracle on the sf0.001 tables."""
+"""Every dashboard query against its DuckDB oracle on the sf0.001 tables: the rows,
+and their order where the query has one."""
 
 import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
-from tools.compare import canon, duck
+from tools.compare import canon, duck, in_order
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = entry.dashboard_queries()
+ORACLE = entry.dashboard_oracle()
+# Queries whose row order is part of the answer.
+ORDERED = sorted(
+    n for n in QUERIES
+    if n.removeprefix("rollup_").removeprefix("page_").removeprefix("view_").startswith(
+        ("monthly", "weekday", "hour_of_day", "speed_histogram", "hotspot", "map_points")
+    )
+)
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +32,12 @@ def test_query_matches_oracle(spark, con, name):
     sp = QUERIES[name](spark, SF_SMALL).toPandas()
     dk = con.execute(ORACLE[name]).fetchdf()
     assert canon(sp) == canon(dk)
+    if name in ORDERED:
+        assert in_order(sp) == in_order(dk)
+
+
+def test_ordered_queries_are_named():
+    assert {"hotspots", "map_points", "monthly_trend", "weekday_hour_matrix", "page_hotspots", "view_hotspots_after_removal"} <= set(ORDERED)
 
 
 def test_entry_smoke(spark):

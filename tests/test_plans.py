@@ -10,6 +10,7 @@ from roadpulse.operators.filters import DateRange
 from roadpulse.plans.dashboard import Page
 from roadpulse.plans.inspect import count_exchanges, plan_text, uses_python
 from roadpulse.sources.fixture import traffic_fixture
+from roadpulse.schema import STORED_SCHEMA
 from roadpulse.sources.store import TrafficStore
 
 RNG = DateRange.of("1997-01-01", "1999-12-31")
@@ -18,8 +19,7 @@ RNG = DateRange.of("1997-01-01", "1999-12-31")
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
     st = TrafficStore(spark, str(tmp_path_factory.mktemp("store"))).ensure()
-    st.append_rows(traffic_fixture(spark, SF_SMALL).withColumn("source_file", F.lit("fixture.csv")))
-    st.append_rollup_of_files(["fixture.csv"])
+    st.load_rows(traffic_fixture(spark, SF_SMALL).withColumn("source_file", F.lit("fixture.csv")), ["fixture.csv"])
     return st
 
 
@@ -57,14 +57,14 @@ def test_hotspots_plan_is_top_k_with_one_shuffle(store):
 
 
 def test_no_python_in_any_registered_query(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in entry.dashboard_queries().items():
         if name in ("ingest_roundtrip", "stream_roundtrip"):
             continue
         assert not uses_python(fn(spark, SF_SMALL)), name
 
 
 def test_no_cross_or_nested_loop_join_in_any_registered_query(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in entry.dashboard_queries().items():
         if name in ("ingest_roundtrip", "stream_roundtrip"):
             continue
         text = plan_text(fn(spark, SF_SMALL), "simple")
@@ -100,7 +100,9 @@ def test_page_equals_direct_reports(spark, store, rng, thr, use_rollup):
             assert df.collect() == direct[name].collect(), name
         fetched = page.fetch()
         assert sorted(fetched) == sorted(direct)
-        assert [tuple(r) for r in fetched["kpis"].itertuples(index=False)] == [tuple(direct["kpis"].first())] or rng is not None
+        want = direct["kpis"].first()
+        got = next(fetched["kpis"].itertuples(index=False))
+        assert [None if v is None or v != v else v for v in got] == list(want)
         p2 = page.with_threshold(45)
         assert p2.weekday_hour().collect() == reports.weekday_hour(t, rng, 45).collect()
     finally:
@@ -109,8 +111,9 @@ def test_page_equals_direct_reports(spark, store, rng, thr, use_rollup):
 
 def test_store_date_bounds_reads_two_months(spark, store):
     assert store.date_bounds().collect() == reports.date_bounds(store.table()).collect()
-    text = plan_text(store.date_bounds())
-    assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1].split("]")[0]
+    months = sorted((r["year"], r["month"]) for r in store.table().select("year", "month").distinct().collect())
+    read = {f.split("/traffic/")[1].rsplit("/", 1)[0] for f in store._first_and_last(store.table_path, STORED_SCHEMA).inputFiles()}
+    assert read == {f"year={y}/month={m}" for y, m in (months[0], months[-1])}
 
 
 def test_store_date_bounds_empty(spark, tmp_path):
@@ -276,3 +279,71 @@ def test_store_view_reads_only_range_months(spark, store):
             assert df.collect() == direct(*args).collect(), name
     finally:
         view.close()
+
+
+def scans_of(view, spark):
+    text = plan_text(view._segments)
+    return [line for line in text.splitlines() if line.startswith("Location") and "/traffic/" in line or "/traffic]" in line]
+
+
+def test_default_view_reads_no_measurements(spark, store):
+    """Nothing picked: the edge months' rows all lie inside the data's own
+    bounds, so hotspots and map come from the segment rollup alone."""
+    view = store.view(None, 20)
+    try:
+        assert not scans_of(view, spark)
+        t = store.table()
+        assert view.hotspots().collect() == reports.hotspots(t, view.rng, 20).collect()
+        assert rows(view._segments) == rows(reports.segment_stats(t, view.rng, 20))
+    finally:
+        view.close()
+    import datetime as dt
+
+    part = store.view((dt.date(1996, 2, 10), dt.date(1997, 3, 5)), 20)
+    try:
+        assert scans_of(part, spark)
+    finally:
+        part.close()
+
+
+def test_new_threshold_keeps_the_cells(spark, store):
+    page = Page(store.table(), RNG, 20)
+    other = page.with_threshold(45)
+    other.close()
+    assert page._cells.is_cached and page._segments.is_cached
+    page.close()
+    assert not page._cells.is_cached
+    plain = Page(store.table(), RNG, 20, persist=False).with_threshold(45)
+    assert not plain._segments.is_cached
+
+
+def test_hot_month_of_segments_is_written_by_several_tasks(spark, tmp_path):
+    """One month of many segments: several files, equal figures; a small month
+    keeps one."""
+    from roadpulse.functions.calendar import with_calendar
+
+    n = 40000
+    one = spark.range(n).select(
+        F.expr("timestamp_ntz'2024-01-05 10:00:00'").alias("DATE_TIME"),
+        F.lit(41.0).alias("LATITUDE"),
+        F.lit(29.0).alias("LONGITUDE"),
+        F.concat(F.lit("s"), F.col("id")).alias("GEOHASH"),
+        *[F.lit(30).alias(c) for c in ("MINIMUM_SPEED", "MAXIMUM_SPEED", "AVERAGE_SPEED", "NUMBER_OF_VEHICLES")],
+    )
+    small = one.limit(5).withColumn("DATE_TIME", F.expr("timestamp_ntz'2024-02-05 10:00:00'"))
+    loaded = with_calendar(one.unionByName(small)).withColumn("source_file", F.lit("a.csv"))
+    st = TrafficStore(spark, str(tmp_path / "s")).ensure()
+    # The aggregate's own partitions stay apart, as they would at size.
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        st.load_rows(loaded, ["a.csv"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+    def parts(month):
+        return list((tmp_path / "s" / "segment_rollup" / "year=2024" / f"month={month}").glob("*.parquet"))
+
+    assert len(parts(1)) > 1 and len(parts(2)) == 1
+    assert st.segment_rollup().where("month = 1").count() == n

@@ -1,58 +1,91 @@
-import os
-
 import pytest
-from conftest import month_rows, write_csv
+from conftest import HEADER, month_rows, write_csv
+from test_sync import assert_rollup_consistent, manifest_of, months_in
 
-from roadpulse.streaming.pickup import pick_up, picked_up
+from roadpulse.sources.store import TrafficStore
+from roadpulse.sources.sync import sync
+from roadpulse.streaming import pickup
+from roadpulse.streaming.pickup import pick_up
 
 
-def test_three_runs_add_only_new_files(spark, tmp_path):
-    src, sink, ck = tmp_path / "data", str(tmp_path / "sink"), str(tmp_path / "ck")
+@pytest.fixture()
+def place(spark, tmp_path):
+    src = tmp_path / "data"
     src.mkdir()
-    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
-    pick_up(spark, str(src), sink, ck)
-    assert picked_up(spark, sink).count() == 3
+    return src, TrafficStore(spark, str(tmp_path / "store")), str(tmp_path / "ck")
+
+
+def test_three_runs_add_only_new_files(spark, place):
+    src, st, ck = place
+    write_csv(src / "traffic density+_202401.csv", month_rows(2024, 1, 3))
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 3)]
     write_csv(src / "traffic_density_202402.csv", month_rows(2024, 2, 2))
-    pick_up(spark, str(src), sink, ck)
-    got = sorted((r["month"], r["dow"], r["hour"]) for r in picked_up(spark, sink).collect())
-    assert len(got) == 5 and [m for m, _, _ in got].count(2) == 2
-    pick_up(spark, str(src), sink, ck)
-    assert picked_up(spark, sink).count() == 5
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 3), (2024, 2, 2)]
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 3), (2024, 2, 2)]
+    assert manifest_of(st) == ["traffic density+_202401.csv", "traffic_density_202402.csv"]
+    assert_rollup_consistent(st)
+    # The batch path finds nothing new.
+    assert sync(spark, str(src), st).loaded == []
 
 
-def test_fractional_integer_fails_stream(spark, tmp_path):
-    src = tmp_path / "data"
-    src.mkdir()
-    rows = month_rows(2024, 1, 1)
+def test_same_reading_as_the_batch_load(spark, place):
+    src, st, ck = place
+    rows = month_rows(2024, 1, 2)
     rows[0]["AVERAGE_SPEED"] = 58.7
-    write_csv(src / "traffic_density_202401.csv", rows)
-    with pytest.raises(Exception):
-        pick_up(spark, str(src), str(tmp_path / "sink"), str(tmp_path / "ck"))
+    write_csv(src / "traffic_density_202401.csv", rows, header=list(reversed(HEADER)))
+    pick_up(spark, str(src), st, ck)
+    assert sorted(r["AVERAGE_SPEED"] for r in st.table().collect()) == [31, 59]
 
 
-def test_reordered_header_fails_stream(spark, tmp_path):
-    from conftest import HEADER
+def test_batch_tried_again_counts_once(spark, place, monkeypatch):
+    """A batch that fails after the load is run again from the checkpoint."""
+    src, st, ck = place
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
+    load = pickup.load_batch
 
-    src = tmp_path / "data"
-    src.mkdir()
-    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 1), header=list(reversed(HEADER)))
+    def fails_after(*args):
+        load(*args)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(pickup, "load_batch", fails_after)
     with pytest.raises(Exception):
-        pick_up(spark, str(src), str(tmp_path / "sink"), str(tmp_path / "ck"))
-    assert os.path.exists(src)
+        pick_up(spark, str(src), st, ck)
+    monkeypatch.setattr(pickup, "load_batch", load)
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 3)]
+    assert_rollup_consistent(st)
 
 
-def test_byte_cap_splits_batches(spark, tmp_path, monkeypatch):
+def test_byte_cap_splits_batches(spark, place, monkeypatch):
     """With a byte cap below one file, every new file is its own micro-batch;
     the loaded rows are the same."""
-    from roadpulse.streaming import pickup
-
     monkeypatch.setattr(pickup, "MAX_BYTES_PER_TRIGGER", 1)
-    src, sink, ck = tmp_path / "data", str(tmp_path / "sink"), str(tmp_path / "ck")
-    src.mkdir()
+    src, st, ck = place
     for m in (1, 2, 3):
         write_csv(src / f"traffic_density_2024{m:02d}.csv", month_rows(2024, m, 2))
-    batches = pick_up(spark, str(src), sink, ck)
-    assert batches >= 3
-    assert sorted((r["month"], r["hour"]) for r in picked_up(spark, sink).collect()) == [
-        (m, h) for m in (1, 2, 3) for h in (0, 1)
-    ]
+    assert pick_up(spark, str(src), st, ck) >= 3
+    assert months_in(st) == [(2024, 1, 2), (2024, 2, 2), (2024, 3, 2)]
+
+
+def test_timeout_is_an_error(spark, place, monkeypatch):
+    import time
+
+    src, st, ck = place
+    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 2))
+    load = pickup.load_batch
+    monkeypatch.setattr(pickup, "load_batch", lambda *a: (time.sleep(3), load(*a)))
+    with pytest.raises(TimeoutError):
+        pick_up(spark, str(src), st, ck, timeout_s=0.5)
+    monkeypatch.setattr(pickup, "load_batch", load)
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 2)]
+
+
+def test_names_that_cannot_be_read_are_an_error(spark, place):
+    src, st, ck = place
+    write_csv(src / "_traffic_202401.csv", month_rows(2024, 1, 2))
+    with pytest.raises(ValueError, match="_traffic_202401.csv"):
+        pick_up(spark, str(src), st, ck)

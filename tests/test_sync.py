@@ -27,7 +27,7 @@ def rollup_sums(df):
     g = df.groupBy("day_ts", "hour", "AVERAGE_SPEED", "tail", "year", "month").agg(
         F.sum("n").alias("n"), F.sum("n_veh").alias("v"), F.sum("sum_veh").alias("s"), F.min("t_min").alias("a"), F.max("t_max").alias("b")
     )
-    return sorted(tuple(r) for r in g.collect())
+    return sorted((tuple(r) for r in g.collect()), key=str)
 
 
 def segment_rollup_sums(df):
@@ -35,7 +35,7 @@ def segment_rollup_sums(df):
 
     measures = [c for c in SEGMENT_ROLLUP_COLUMNS if c not in ("GEOHASH", "year", "month")]
     g = df.groupBy("GEOHASH", "year", "month").agg(*[F.sum(c).alias(c) for c in measures])
-    return sorted(tuple(r) for r in g.collect())
+    return sorted((tuple(r) for r in g.collect()), key=str)
 
 
 def assert_rollup_consistent(store):
@@ -148,12 +148,14 @@ def test_empty_folder_errors_only_without_history(spark, tmp_path):
 
 
 def test_manifest_lost_rows_present_once(spark, tmp_path):
+    import shutil
+
     src = tmp_path / "data"
     src.mkdir()
     st = store_of(spark, str(tmp_path / "store"))
     write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
     sync(spark, str(src), st)
-    st.remove_manifest_entries(["traffic_density_202401.csv"])  # rows stored, no manifest row
+    shutil.rmtree(tmp_path / "store" / "imported_files")  # rows stored, no manifest
     r = sync(spark, str(src), st)
     assert r.repaired == ["traffic_density_202401.csv"]
     assert months_in(st) == [(2024, 1, 3)]
@@ -209,42 +211,15 @@ def test_remove_by_file_spanning_months(spark, tmp_path):
     assert_rollup_consistent(st)
 
 
-def test_rollup_after_crash_between_rows_and_rollup(spark, tmp_path):
-    """Rows written, rollup and manifest not: the next run repairs both."""
-    from roadpulse.sources.csv_source import read_csv_files, to_stored
-
-    src = tmp_path / "data"
-    src.mkdir()
-    st = store_of(spark, str(tmp_path / "store")).ensure()
-    write_csv(src / "traffic_density_202401.csv", month_rows(2024, 1, 3))
-    st.append_rows(to_stored(read_csv_files(spark, [str(src / "traffic_density_202401.csv")])))
-    r = sync(spark, str(src), st)
-    assert r.repaired == ["traffic_density_202401.csv"]
-    assert months_in(st) == [(2024, 1, 3)]
-    assert_rollup_consistent(st)
-
-
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_without_months_broadcast_only_below_size_check(spark, monkeypatch, limit):
-    """S7 on a frame: same rows either way; the removed-month keys are
-    broadcast only while their count is within the checked bound."""
-    from roadpulse.plans.inspect import plan_text
-    from roadpulse.sources import sync as sync_mod
+def test_without_months(spark):
+    """S7 on a frame; rows without a month stay."""
     from roadpulse.sources.sync import without_months
 
-    monkeypatch.setattr(sync_mod, "MAX_BROADCAST_MONTHS", limit)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        rows = spark.createDataFrame(
-            [(2024, 1, "a"), (2024, 2, "b"), (2024, 3, "c"), (None, None, "d")], "year int, month int, v string"
-        )
-        months = spark.createDataFrame([(2024, 2), (2023, 12)], "year int, month int")
-        out = without_months(rows, months)
-        assert sorted(r["v"] for r in out.collect()) == ["a", "c", "d"]
-        text = plan_text(out, "simple")
-        assert ("BroadcastHashJoin" in text) == (limit > 0)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.createDataFrame(
+        [(2024, 1, "a"), (2024, 2, "b"), (2024, 3, "c"), (None, None, "d")], "year int, month int, v string"
+    )
+    months = spark.createDataFrame([(2024, 2), (2023, 12)], "year int, month int")
+    assert sorted(r["v"] for r in without_months(rows, months).collect()) == ["a", "c", "d"]
 
 
 def test_rebalanced_load_of_files_mixing_months(spark, tmp_path):
@@ -272,7 +247,111 @@ def test_segment_rollup_backfilled_for_older_store(spark, tmp_path):
     sync(spark, str(src), store_of(spark, root))
     older = store_of(spark, root)
     older.segment_rollup_path = str(tmp_path / "segment_rollup_missing")
-    older._segment_handle = older._segment_handle + "_b"
     older.ensure()
     assert_rollup_consistent(older)
     assert older.segment_rollup().count() == 2
+
+
+def test_file_names_as_they_are_on_disk(spark, tmp_path):
+    """Blanks, a plus, a percent sign and pattern characters: loaded under the
+    real name, removed with the right month or rows."""
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    names = ["traffic 202401.csv", "traffic[1]_202402.csv", "a+b_202403.csv", "100%25_202404.csv", "{x,y}*?_202405.csv"]
+    for m, name in enumerate(names, 1):
+        write_csv(src / name, month_rows(2024, m, m))
+    assert sync(spark, str(src), st).loaded == sorted(names)
+    assert months_in(st) == [(2024, m, m) for m in range(1, 6)]
+    assert {r["source_file"] for r in st.stored().collect()} == set(names)
+    os.remove(src / names[0])
+    os.remove(src / names[1])
+    r = sync(spark, str(src), st)
+    assert r.dropped_months == [(2024, 1), (2024, 2)]
+    for name in names[2:4]:
+        os.remove(src / name)
+    assert sync(spark, str(src), st, match="file").dropped_months == [(2024, 3), (2024, 4)]
+    assert months_in(st) == [(2024, 5, 5)]
+    assert_rollup_consistent(st)
+
+
+@pytest.mark.parametrize("name", ["_a_202401.csv", ".a_202401.csv"])
+def test_names_that_cannot_be_read_are_an_error(spark, tmp_path, name):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    write_csv(src / "traffic_202402.csv", month_rows(2024, 2, 2))
+    write_csv(src / name, month_rows(2024, 1, 2))
+    with pytest.raises(ValueError, match=name):
+        sync(spark, str(src), st)
+    os.remove(src / name)
+    assert sync(spark, str(src), st).loaded == ["traffic_202402.csv"]
+
+
+def test_delimiters_of_one_folder(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    for m, d in enumerate([",", ";", "\t", "|"], 1):
+        path = src / f"traffic_2024{m:02d}.csv"
+        write_csv(path, month_rows(2024, 1, 3))
+        path.write_text(path.read_text().replace(",", d))
+    sync(spark, str(src), st)
+    got = st.stored().groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("DATE_TIME", "LATITUDE", "GEOHASH"))).alias("r"))
+    rows = [r["r"] for r in got.collect()]
+    assert len(rows) == 4 and all(r == rows[0] and len(r) == 3 for r in rows)
+
+
+def test_rows_without_a_timestamp(spark, tmp_path):
+    """They lie in the null partition, and go with their file."""
+    src = tmp_path / "data"
+    src.mkdir()
+    st = store_of(spark, str(tmp_path / "store"))
+    rows = month_rows(2024, 1, 3)
+    rows[1]["DATE_TIME"] = None
+    write_csv(src / "a_202401.csv", rows)
+    write_csv(src / "b_202401.csv", [dict(r, GEOHASH="b") for r in rows])
+    sync(spark, str(src), st)
+    assert st.table().count() == 6 and st.table().where("year is null").count() == 2
+    os.remove(src / "a_202401.csv")
+    r = sync(spark, str(src), st, match="file")
+    assert r.dropped_months == [(2024, 1), (None, None)]
+    assert {x["GEOHASH"] for x in st.table().collect()} == {"b"} and st.table().count() == 3
+    assert_rollup_consistent(st)
+    os.remove(src / "b_202401.csv")
+    sync(spark, str(src), st, match="file")
+    assert st.table().count() == 0
+    assert_rollup_consistent(st)
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    """Spark jobs of a load of 3 and of 50 files; nothing is persisted, and no
+    plan reads the stored table's file names."""
+    from pyspark.sql import DataFrame
+
+    def jobs(n, tag):
+        src = tmp_path / f"data{n}"
+        src.mkdir()
+        for k in range(n):
+            write_csv(src / f"t{k}_2024{k % 12 + 1:02d}.csv", month_rows(2024, k % 12 + 1, 2))
+        st = store_of(spark, str(tmp_path / f"store{n}"))
+        spark.sparkContext.setJobGroup(tag, tag)
+        try:
+            sync(spark, str(src), st)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert st.table().count() == 2 * n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+
+    called = []
+    for name in ("persist", "cache"):
+        assert hasattr(DataFrame, name)
+    original = TrafficStore.stored
+    TrafficStore.stored = lambda self, rng=None: (called.append(1), original(self, rng))[1]
+    try:
+        a, b = jobs(3, "few-files"), jobs(50, "many-files")
+    finally:
+        TrafficStore.stored = original
+    assert abs(a - b) <= 4
+    # Each count() above reads the table once; a load itself never does.
+    assert len(called) == 2
