@@ -2,7 +2,7 @@
 and their order where the query has one."""
 
 import pytest
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 
 import __spark_entry__ as entry
 from tools.compare import canon, duck, in_order

@@ -1,7 +1,7 @@
 """Plan shapes and the shared-scan page against the direct reports."""
 
 import pytest
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

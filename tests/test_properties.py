@@ -3,7 +3,7 @@ the oracle engine on random doubles."""
 
 import duckdb
 import pytest
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ view are what an undisturbed run leaves."""
 import os
 
 import pytest
-from conftest import month_rows, write_csv
+from fixtures import month_rows, write_csv
 from test_sync import assert_rollup_consistent, manifest_of
 
 from roadpulse.sources.store import TrafficStore

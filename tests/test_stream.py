@@ -1,5 +1,5 @@
 import pytest
-from conftest import HEADER, month_rows, write_csv
+from fixtures import HEADER, month_rows, write_csv
 from test_sync import assert_rollup_consistent, manifest_of, months_in
 
 from roadpulse.sources.store import TrafficStore

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import HEADER, month_rows, write_csv
+from fixtures import HEADER, month_rows, write_csv
 from pyspark.sql import functions as F
 
 from roadpulse.sources.store import TrafficStore
