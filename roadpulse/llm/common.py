@@ -20,7 +20,10 @@ BLOCK_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the operators. Their steps end in written tables, so the
+    shuffle files of a finished step are of no further use and go at once."""
     configure(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
