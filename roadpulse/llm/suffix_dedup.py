@@ -38,6 +38,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,8 +168,7 @@ class Entries:
         left = np.arange(REACH) >= REACH - before[:, None]
         right = np.arange(REACH) < (count - 1 + REACH - before)[:, None]
         side = np.where(np.concatenate([left, right], 1), side, 0).astype(np.uint8)
-        context = (side * _MIX).sum(axis=1, dtype=np.uint64) + (before * 64 + count).astype(np.uint64)
-        identity = mix64(mix64(context) + key)
+        identity = identities(side, before, count, key)
         order = np.argsort(identity, kind="stable")
         new = np.append(True, np.diff(identity[order]) != 0) if len(order) else np.empty(0, bool)
         first = np.flatnonzero(new)
@@ -185,6 +185,12 @@ class Entries:
         return by_bucket(self.key, n)
 
 
+def identities(side, before, count, key) -> np.ndarray:
+    """64-bit identity of (key, context)."""
+    context = (side * _MIX).sum(axis=1, dtype=np.uint64) + (before.astype(np.uint64) * 64 + count.astype(np.uint64))
+    return mix64(mix64(context) + key)
+
+
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return (mix64(key >> np.uint64(1)) >> np.uint64(1)).astype(np.int64) % n
 
@@ -197,23 +203,32 @@ def by_bucket(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     return [(int(b[r[0]]), r) for r in np.split(order, cut[1:])] if len(b) else []
 
 
-_FIELDS = (("key", "<u8", 1), ("least", "<i8", 1), ("identity", "<u8", 1), ("many", "u1", 1), ("before", "u1", 1), ("count", "u1", 1), ("side", "u1", 2 * REACH))
+_FIELDS = (("key", "<u8", 1), ("least", "<i8", 1), ("many", "u1", 1), ("before", "u1", 1), ("count", "u1", 1), ("side", "u1", 2 * REACH))
 _RECORD = sum(np.dtype(t).itemsize * n for _, t, n in _FIELDS)
 
 
 def _pack(e: Entries, rows: np.ndarray) -> bytes:
-    return b"".join(getattr(e, f)[rows].astype(t).tobytes() for f, t, _ in _FIELDS)
+    """Entries field by field, compressed; their number goes before."""
+    raw = b"".join(getattr(e, f)[rows].astype(t).tobytes() for f, t, _ in _FIELDS)
+    return len(rows).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _packed(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
 
 
 def _unpack(blobs) -> dict[str, np.ndarray]:
     parts: dict[str, list] = {f: [] for f, _, _ in _FIELDS}
     for blob in blobs:
-        m, at = len(blob) // _RECORD, 0
+        m, at = _packed(blob), 0
+        raw = pa.decompress(blob[8:], decompressed_size=m * _RECORD, codec="zstd", asbytes=True)
         for f, t, n in _FIELDS:
-            v = np.frombuffer(blob, dtype=t, count=m * n, offset=at)
+            v = np.frombuffer(raw, dtype=t, count=m * n, offset=at)
             parts[f].append(v.reshape(m, n) if n > 1 else v)
             at += v.nbytes
-    return {f: np.concatenate(v) for f, v in parts.items()}
+    e = {f: np.concatenate(v) for f, v in parts.items()}
+    e["identity"] = identities(e["side"], e["before"], e["count"], e["key"])
+    return e
 
 
 def _keys_of(n_buckets: int):
@@ -342,7 +357,7 @@ def _owners(pdf: pd.DataFrame) -> pd.DataFrame:
     e = _unpack(pdf["data"])
     owner, at = least_owners(e)
     count = e["count"].astype(np.int64)
-    last = np.cumsum([len(d) // _RECORD for d in pdf["data"]])
+    last = np.cumsum([_packed(d) for d in pdf["data"]])
     rows = []
     for batch, bucket, a, b in zip(pdf["batch"], pdf["bucket"], np.append(0, last[:-1]), last):
         n = count[a:b]

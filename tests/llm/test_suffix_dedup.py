@@ -76,7 +76,7 @@ def test_small_chunks(docs_of, monkeypatch):
     assert one.count.sum() == two.count.sum() and len(one.count) <= len(two.count)
     assert set(one.key.tolist()) == set(two.key.tolist())
     e = two.shared_runs(np.unique(two.key))
-    at = {f: getattr(e, f) for f, _, _ in suffix_dedup._FIELDS}
+    at = {f: getattr(e, f) for f in [*(f for f, _, _ in suffix_dedup._FIELDS), "identity"]}
     owner, begin = suffix_dedup.least_owners(at)
     for k in range(len(e.key)):
         run = int(np.flatnonzero(e.of_run == k)[0])
