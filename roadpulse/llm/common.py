@@ -3,6 +3,9 @@ tables in the shared folder, and blocks of text for array work in tasks."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,11 +22,30 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 BLOCK_BYTES = 2 << 20
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they run, once a session:
+    a zip of its source, which Spark hands to every executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_roadpulse_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="roadpulse-code-"), "roadpulse.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._roadpulse_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the operators. Their steps end in written tables, so the
-    shuffle files of a finished step are of no further use and go at once."""
+    """Session settings of the operators; ships their code to the workers. Steps end
+    in written tables, so the shuffle files of a finished step are of no further
+    use and go at once."""
     configure(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
