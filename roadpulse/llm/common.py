@@ -16,10 +16,10 @@ from ..session import configure, scratch_dir
 
 # Rows and bytes of one Arrow batch handed to a Python worker, so a batch of very
 # long texts stays small beside a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 # Text bytes handled at once by array code in a task; its arrays take up to about
 # thirty times as much.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 
 def _ship(spark: SparkSession) -> None:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES
 
 DIM, CLASSES, SEED = 1024, 64, 20240607
+# Pieces of text, and trigrams, whose counts are multiplied out at once.
+PIECES, COLUMNS = 256, 1024
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 
@@ -102,13 +104,15 @@ def bundles(texts) -> np.ndarray:
         used = np.flatnonzero(np.bincount(ids, minlength=CLASSES**3))
         where = np.zeros(CLASSES**3, dtype=np.int64)
         where[used] = np.arange(len(used))
-        vectors = trigram_vectors(used)
-        first = np.searchsorted(of, np.arange(0, len(run) + 256, 256))
-        for k, (a, b) in enumerate(zip(first, first[1:])):  # 256 pieces at once
-            n = min(256, len(run) - 256 * k)
-            counts = np.bincount((of[a:b] - 256 * k) * np.int64(len(used)) + where[ids[a:b]], minlength=n * len(used))
-            sums = counts.reshape(n, -1).astype(np.float32) @ vectors
-            np.add.at(out, [i for i, _ in run[256 * k : 256 * k + n]], sums)
+        for start in range(0, len(run), PIECES):
+            n = min(PIECES, len(run) - start)
+            a, b = np.searchsorted(of, (start, start + n))
+            counts = np.bincount((of[a:b] - start) * np.int64(len(used)) + where[ids[a:b]], minlength=n * len(used))
+            counts = counts.reshape(n, -1).astype(np.float32)
+            sums = np.zeros((n, DIM), dtype=np.float32)
+            for c in range(0, len(used), COLUMNS):
+                sums += counts[:, c : c + COLUMNS] @ trigram_vectors(used[c : c + COLUMNS])
+            np.add.at(out, [i for i, _ in run[start : start + n]], sums)
     return out
 
 
