@@ -133,7 +133,8 @@ class Batch:
             parts.append((edge + at, anchor[edge] + at, count, h[anchor[edge]] & ~np.uint64(1)))
         empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
         self.start, self.anchor, self.count, self.key = (np.concatenate(p) for p in zip(*(parts or [empty])))
-        self.doc = np.searchsorted(self.end, self.start, side="right")
+        runs = np.diff(np.append(np.searchsorted(self.start, self.end - self.size), len(self.start)))
+        self.doc = np.repeat(np.arange(len(self.end)), runs)
 
     def shared_runs(self, shared: np.ndarray) -> "Entries":
         """The runs whose key is in ``shared`` (lowest bit: crowded)."""
@@ -398,10 +399,9 @@ def _cut_of(n_buckets: int):
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             lost = flat[np.repeat(begin[e.of_run], n) + step] < np.repeat(batch.ids[e.run_doc], n)
             places = (np.repeat(e.start, n) + step)[lost]
-            mark = np.zeros(len(batch.buf) + LENGTH, dtype=np.int32)
-            np.add.at(mark, places, 1)
-            np.add.at(mark, places + LENGTH, -1)
-            gone = np.cumsum(mark)[: len(batch.buf)] > 0
+            hit = np.bincount(places, minlength=len(batch.buf))
+            hit[LENGTH:] -= hit[:-LENGTH].copy()  # places that begin, less those that end
+            gone = np.cumsum(hit) > 0
         out = []
         for i, (text, end) in enumerate(zip(batch.texts, batch.end)):
             own = gone[end - len(text) : end]

@@ -22,11 +22,13 @@ import numpy as np
 
 
 def lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each suffix of ``text`` (non-negative integers): the first place of its
-    group in the suffix array, and its previous smaller suffix (-1: none)."""
+    """For each suffix of ``text``: the first place of its group in the suffix array,
+    and its previous smaller suffix (-1: none). ``text`` holds non-negative integers;
+    its last symbol must be its only 0, so that the last suffix, which is also
+    number -1, is the lowest group and ends every walk to the left."""
     n = len(text)
     first = np.argsort(text, kind="stable")
-    bounds = np.append(0, np.cumsum(np.bincount(text))) if n else np.zeros(1, np.int64)
+    bounds = np.append(0, np.cumsum(np.bincount(text)))
     order = first.tolist()
     place = np.empty(n, dtype=np.int64)
     place[first] = np.arange(n)
@@ -39,51 +41,59 @@ def lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int]]:
     prev = [-1] * n
     end = n
     while end:
-        g = group[order[end - 1]]
-        rows: dict[int, int] = {}
-        # Left to right, so a member finds the one before it in its row done.
-        for i in sorted(order[g:end]) if end - g > 1 else order[g:end]:
+        i = order[end - 1]
+        g = group[i]
+        if end - g == 1:
             j = i - 1
-            while j >= 0 and group[j] > g:
+            while group[j] > g:
                 j = prev[j]
-            if j >= 0:
+            prev[i] = j
+            moves = ((j,),) if j >= 0 else ()
+        else:
+            rows: dict[int, int] = {}
+            longer = False
+            # Left to right, so a member finds the one before it in its row done.
+            for i in sorted(order[g:end]):
+                j = i - 1
+                while group[j] > g:
+                    j = prev[j]
                 if group[j] == g:
                     j = prev[j]
                     if j >= 0:
                         rows[j] += 1
-                else:
+                        longer = True
+                elif j >= 0:
                     rows[j] = 1
-            prev[i] = j
+                prev[i] = j
+            if longer:
+                by: dict[int, list[int]] = {}
+                for j, c in rows.items():
+                    by.setdefault(c, []).append(j)
+                moves = [by[c] for c in sorted(by, reverse=True)]
+            else:
+                moves = (rows,)
         end = g
-        if not rows:
-            continue
-        if len(rows) == 1:
-            moves = [(1, list(rows))]
-        else:
-            by: dict[int, list[int]] = {}
-            for j, c in rows.items():
-                by.setdefault(c, []).append(j)
-            moves = sorted(by.items(), reverse=True) if len(by) > 1 else list(by.items())
-        for _, members in moves:
-            fresh: dict[int, list[int]] = {}
+        for members in moves:
+            leaving: dict[int, list[int]] = {}
             for j in members:
                 old = group[j]
-                left = size[old] - 1
-                size[old] = left
-                at, top = place[j], old + left
-                other = order[top]
-                order[at], order[top] = other, j
-                place[other], place[j] = at, top
-                if old in fresh:
-                    fresh[old].append(j)
+                if old in leaving:
+                    leaving[old].append(j)
                 else:
-                    fresh[old] = [j]
-            for old, moved in fresh.items():
-                start = old + size[old]
+                    leaving[old] = [j]
+            for old, moved in leaving.items():
+                left = size[old] - len(moved)
+                if not left:
+                    continue  # the whole group goes on alike
+                size[old] = left
+                start = top = old + left
                 size[start] = len(moved)
-                if start != old:
-                    for j in moved:
-                        group[j] = start
+                for j in moved:
+                    at, other = place[j], order[top]
+                    order[at], place[other] = other, at
+                    order[top], place[j] = j, top
+                    group[j] = start
+                    top += 1
     return group, prev
 
 
@@ -91,17 +101,18 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffix array of ``text``, whose last symbol must be its only 0."""
     group, prev = lyndon_groups(text)
     n = len(text)
+    free = list(range(n))
     order = [0] * n
     order[0] = n - 1
-    free, done = list(range(n)), [False] * n
-    done[n - 1] = True
-    for k in range(n):
-        i = order[k] - 1
-        while i >= 0 and not done[i]:
-            done[i] = True
-            g = group[i]
+    group[n - 1] = -1  # a suffix that has its place; number -1 is one
+    for suffix in order:
+        i = suffix - 1
+        g = group[i]
+        while g >= 0:
+            group[i] = -1
             at = free[g]
             free[g] = at + 1
             order[at] = i
             i = prev[i]
+            g = group[i]
     return np.array(order, dtype=np.int64)
