@@ -392,8 +392,7 @@ class TrafficStore:
             self._finish_files([e for e in removing if e.staged == path])
         loading = [e for e in open_ if e.state == LOADING]
         if loading:
-            leftovers = {e.staged for e in loading if e.staged}
             self._finish_files(self.log.mark(loading, state=REMOVING_FILE, staged=None))
-            for path in leftovers:
-                files.delete(self.spark, path)
+        # Nothing is under way now (a store has one writer at a time).
+        files.delete(self.spark, f"{self.root}/staging")
         return [e.filename for e in loading]

@@ -2,6 +2,7 @@
 view are what an undisturbed run leaves."""
 
 import os
+import shutil
 
 import pytest
 from fixtures import month_rows, write_csv
@@ -56,18 +57,22 @@ def months_in_all(st):
 
 
 def steps(spark, tmp_path, prepare, run):
-    """Run once undisturbed to count the writes; then, for each of them, from the
-    same start: stop there, and finish with a clean run."""
-    st = Stopping(spark, str(tmp_path / "count"))
-    prepare(st)
-    st.writes = 0
+    """Run once undisturbed to count the writes; then, for each of them, from a copy
+    of the same start: stop there, and hand the store to a clean run."""
+    start = Stopping(spark, str(tmp_path / "start"))
+    prepare(start)
+
+    def copy(name):
+        shutil.copytree(start.root, tmp_path / name)
+        return Stopping(spark, str(tmp_path / name))
+
+    st = copy("count")
     run(st)
     n = st.writes
     assert n > 2
     for k in range(1, n + 1):
-        st = Stopping(spark, str(tmp_path / f"stop{k}"))
-        prepare(st)
-        st.writes, st.stop = 0, k
+        st = copy(f"stop{k}")
+        st.stop = k
         with pytest.raises(Stopped):
             run(st)
         yield Stopping(spark, st.root)
@@ -109,6 +114,6 @@ def test_repair(spark, tmp_path):
         with pytest.raises(Stopped, match="rows"):
             sync(spark, str(src), half)
 
-    for st in steps(spark, tmp_path, prepare, lambda st: sync(spark, str(src), st)):
+    for st in steps(spark, tmp_path, prepare, lambda st: st.recover()):
         sync(spark, str(src), st)
         assert_whole(st, [(2024, 1, 9), (2024, 2, 3), (2024, 3, 2), (None, None, 1)], ["a_202401.csv", "b_202401.csv", "c_202403.csv"])
