@@ -48,7 +48,7 @@ from .suffix_order import suffix_order
 LENGTH, GRAM = 50, 36
 REACH = LENGTH - GRAM  # most bytes of a window on either side of its anchor
 BATCH_TEXT, BUCKET_TEXT = 2 << 20, 8 << 20
-CHUNK = 1 << 20  # positions hashed at once
+CHUNK = 1 << 16  # positions hashed at once; their arrays fit a core's cache
 SORTED = 1 << 18  # symbols sorted at once
 CROWDED = 20000
 LARGEST = (1 << 63) - 1  # a null doc_id
@@ -139,12 +139,16 @@ class Batch:
     def shared_runs(self, shared: np.ndarray) -> "Entries":
         """The runs whose key is in ``shared`` (lowest bit: crowded)."""
         known = np.sort(shared)
-        at = np.searchsorted(known, self.key)
+        top = np.uint64(44)  # a table of the keys' first bits leaves most others out
+        first = np.zeros(1 << 20, dtype=bool)
+        first[known >> top] = True
+        rows = np.flatnonzero(first[self.key >> top])
+        at = np.searchsorted(known, self.key[rows])
         at[at == len(known)] = 0
-        found = (known[at] & ~np.uint64(1)) == self.key if len(known) else np.zeros(len(self.key), bool)
-        rows = np.flatnonzero(found)
+        found = (known[at] & ~np.uint64(1)) == self.key[rows]
+        rows, at = rows[found], at[found]
         start, anchor, count, key, doc = (v[rows] for v in (self.start, self.anchor, self.count, self.key, self.doc))
-        crowded = (known[at[rows]] & np.uint64(1)).astype(bool)
+        crowded = (known[at] & np.uint64(1)).astype(bool)
         if crowded.any():
             n = np.where(crowded, count, 1)
             each = np.repeat(np.arange(len(n)), n)
@@ -170,7 +174,7 @@ class Entries:
         right = np.arange(REACH) < (count - 1 + REACH - before)[:, None]
         side = np.where(np.concatenate([left, right], 1), side, 0).astype(np.uint8)
         identity = identities(side, before, count, key)
-        order = np.argsort(identity, kind="stable")
+        order = np.argsort(identity)
         new = np.append(True, np.diff(identity[order]) != 0) if len(order) else np.empty(0, bool)
         first = np.flatnonzero(new)
         self.of_run = np.empty(len(order), dtype=np.int64)
@@ -188,7 +192,7 @@ class Entries:
 
 def identities(side, before, count, key) -> np.ndarray:
     """64-bit identity of (key, context)."""
-    context = (side * _MIX).sum(axis=1, dtype=np.uint64) + (before.astype(np.uint64) * 64 + count.astype(np.uint64))
+    context = side.astype(np.uint64) @ _MIX + (before.astype(np.uint64) * 64 + count.astype(np.uint64))
     return mix64(mix64(context) + key)
 
 
@@ -199,7 +203,7 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 def by_bucket(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, rows) of the buckets that have rows, rows in order."""
     b = bucket_of(key, n)
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b.astype(np.uint16) if n <= 1 << 16 else b, kind="stable")
     cut = np.flatnonzero(np.append(True, np.diff(b[order]) != 0)) if len(b) else []
     return [(int(b[r[0]]), r) for r in np.split(order, cut[1:])] if len(b) else []
 
@@ -235,7 +239,7 @@ def _unpack(blobs) -> dict[str, np.ndarray]:
 def _keys_of(n_buckets: int):
     def keys(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(pdf)
-        order = np.argsort(batch.key, kind="stable")
+        order = np.argsort(batch.key)
         k, ids = batch.key[order], batch.ids[batch.doc[order]]
         first = np.flatnonzero(np.append(True, np.diff(k) != 0)) if len(k) else np.empty(0, np.int64)
         many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.empty(0, bool)
@@ -251,7 +255,7 @@ def _shared_of(crowded: int):
         data = [np.frombuffer(d, dtype=np.uint64) for d in pdf["data"]]
         k = np.concatenate(data)
         owner = np.repeat(np.arange(len(data)), [len(d) for d in data])
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         k, owner = k[order], owner[order]
         plain = k & ~np.uint64(1)
         first = np.flatnonzero(np.append(True, np.diff(plain) != 0))
