@@ -51,7 +51,7 @@ def test_near_dedup(inputs):
 
 def test_decontamination(llm, inputs):
     items = [r["text"] for r in llm.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = [r for r in inputs["decontamination"] if len(r["text"]) < 6000]  # brute force is slow
+    docs = [r for r in inputs["decontamination"] if len(r["text"]) < 3000]  # brute force is slow
     left = kept(inputs, "decontamination")
     assert docs and all((r["doc_id"] in left) != any(overlaps(r["text"], q) for q in items) for r in docs)
 
