@@ -10,8 +10,9 @@ first, without loss:
   Neighbouring windows with the same anchor form a run, known by its anchor's hash
   (key) and the bytes around the anchor (context).
 * Documents are read in batches, dealt out by a hash of ``doc_id``. Every batch
-  sends its distinct keys to buckets; keys that more than one document has go back
-  to the batches that have them.
+  sends its distinct keys to buckets, with the number of contexts of those that have
+  several; keys that more than one document has go back to the batches that have
+  them.
 * Each batch sends the distinct contexts of those keys, with the smallest
   ``doc_id`` that has them, to the key's bucket. A key with one context has equal
   windows throughout. The contexts of all other keys are joined to one text, the
@@ -20,9 +21,10 @@ first, without loss:
   back to the batches, which mark and cut.
 
 Copies are folded within a batch before anything is sent, so a passage that a
-third of all documents share is sent once by a batch. A key that more than
-``CROWDED`` batches have is split: each of its windows gets a key of its own, made
-from the window's bytes.
+third of all documents share is sent once by a batch. A key with more than
+``CROWDED`` contexts, added up over the batches, is split: each of its windows gets a
+key of its own, made from the window's bytes. So no key has more to sort than fits one
+sort, also not that at the edge of a passage, whose context differs in every document.
 
 Edge cases: null and empty texts have no bytes. Documents shorter than
 ``LENGTH`` bytes lose nothing. Rows that repeat a ``doc_id`` are one document to each
@@ -50,7 +52,7 @@ REACH = LENGTH - GRAM  # most bytes of a window on either side of its anchor
 BATCH_TEXT, BUCKET_TEXT = 2 << 20, 8 << 20
 CHUNK = 1 << 16  # positions hashed at once; their arrays fit a core's cache
 SORTED = 1 << 18  # symbols sorted at once
-CROWDED = 20000
+CROWDED = SORTED // (2 * REACH + 2)  # contexts of a key; each takes so many symbols at most
 LARGEST = (1 << 63) - 1  # a null doc_id
 
 _BASE = 0x9E3779B97F4A7C15
@@ -168,11 +170,7 @@ class Entries:
     def __init__(self, batch: Batch, start, anchor, count, key, doc):
         self.start, self.run_count, self.run_doc = start, count, doc
         before = anchor - start
-        # Bytes on both sides of the anchor that the run's windows cover.
-        side = batch.buf[np.clip(anchor[:, None] + _SIDES, 0, len(batch.buf) - 1)]
-        left = np.arange(REACH) >= REACH - before[:, None]
-        right = np.arange(REACH) < (count - 1 + REACH - before)[:, None]
-        side = np.where(np.concatenate([left, right], 1), side, 0).astype(np.uint8)
+        side = sides(batch.buf, anchor, before, count)
         identity = identities(side, before, count, key)
         order = np.argsort(identity)
         new = np.append(True, np.diff(identity[order]) != 0) if len(order) else np.empty(0, bool)
@@ -190,6 +188,14 @@ class Entries:
         return by_bucket(self.key, n)
 
 
+def sides(buf, anchor, before, count) -> np.ndarray:
+    """Bytes on both sides of the anchor that the run's windows cover."""
+    side = buf[np.clip(anchor[:, None] + _SIDES, 0, len(buf) - 1)]
+    left = np.arange(REACH) >= REACH - before[:, None]
+    right = np.arange(REACH) < (count - 1 + REACH - before)[:, None]
+    return np.where(np.concatenate([left, right], 1), side, 0).astype(np.uint8)
+
+
 def identities(side, before, count, key) -> np.ndarray:
     """64-bit identity of (key, context)."""
     context = side.astype(np.uint64) @ _MIX + (before.astype(np.uint64) * 64 + count.astype(np.uint64))
@@ -244,25 +250,52 @@ def _keys_of(n_buckets: int):
         first = np.flatnonzero(np.append(True, np.diff(k) != 0)) if len(k) else np.empty(0, np.int64)
         many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.empty(0, bool)
         made = k[first] | many.astype(np.uint64)
+        n = contexts_of_keys(batch, order, first)
         rows = by_bucket(k[first], n_buckets)
-        return pd.DataFrame({"bucket": [b for b, _ in rows], "batch": key[0], "data": [made[r].tobytes() for _, r in rows]})
+        data = [made[r].tobytes() for _, r in rows]
+        several = [_several(n[r]) for _, r in rows]
+        return pd.DataFrame({"bucket": [b for b, _ in rows], "batch": key[0], "data": data, "several": several})
 
     return keys
 
 
+def contexts_of_keys(batch: Batch, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct contexts of each key, for the runs by key and where each key begins."""
+    runs = np.diff(np.append(first, len(order)))
+    at = np.repeat(np.arange(len(runs)), runs)
+    more = runs[at] > 1
+    at, rows = at[more], order[more]
+    start, anchor, count, key = (v[rows] for v in (batch.start, batch.anchor, batch.count, batch.key))
+    identity = identities(sides(batch.buf, anchor, anchor - start, count), anchor - start, count, key)
+    _, one = np.unique(identity, return_index=True)
+    return np.maximum(np.bincount(at[one], minlength=len(runs)), 1)
+
+
+def _several(n: np.ndarray) -> bytes:
+    """Places and numbers of the keys that have more than one context."""
+    at = np.flatnonzero(n > 1)
+    return np.concatenate([at, n[at]]).astype("<i4").tobytes()
+
+
 def _shared_of(crowded: int):
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         data = [np.frombuffer(d, dtype=np.uint64) for d in pdf["data"]]
         k = np.concatenate(data)
+        contexts = np.ones(len(k), dtype=np.int64)
+        begin = 0
+        for d, several in zip(data, pdf["several"]):
+            at, number = np.frombuffer(several, dtype="<i4").reshape(2, -1)
+            contexts[begin + at] = number
+            begin += len(d)
         owner = np.repeat(np.arange(len(data)), [len(d) for d in data])
         order = np.argsort(k)
-        k, owner = k[order], owner[order]
+        k, owner, contexts = k[order], owner[order], contexts[order]
         plain = k & ~np.uint64(1)
         first = np.flatnonzero(np.append(True, np.diff(plain) != 0))
         n = np.diff(np.append(first, len(k)))
         many = np.maximum.reduceat(k & np.uint64(1), first) > 0
         keep = np.repeat((n > 1) | many, n)
-        made = (plain | np.repeat(n > crowded, n).astype(np.uint64))[keep]
+        made = (plain | np.repeat(np.add.reduceat(contexts, first) > crowded, n).astype(np.uint64))[keep]
         owner = owner[keep]
         back = np.argsort(owner, kind="stable")
         cut = np.searchsorted(owner[back], np.arange(len(data) + 1))
@@ -426,7 +459,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED, batch_text: int = BA
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
     rows = docs.select("doc_id", "text", F.pmod(key, F.lit(n_batches)).alias("batch"))
     packed = "bucket long, batch long, data binary"
-    keys = rows.groupBy("batch").applyInPandas(_keys_of(n_buckets), packed)
+    keys = rows.groupBy("batch").applyInPandas(_keys_of(n_buckets), packed + ", several binary")
     shared = written(keys.groupBy("bucket").applyInPandas(_shared_of(crowded), "batch long, bucket long, data binary"), "shared-keys")
     sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_contexts_of(n_buckets), packed)
     owners = written(sent.groupBy("bucket").applyInPandas(_owners, "batch long, bucket long, data binary"), "owners")

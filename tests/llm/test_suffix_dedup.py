@@ -87,5 +87,30 @@ def test_small_chunks(docs_of, monkeypatch):
             assert owner[begin[k] + step] == least
 
 
+def test_crowded_key(docs_of):
+    """A phrase shorter than a window, with another context in every document, in
+    few batches: no key has more contexts than fit one sort."""
+    import pandas as pd
+
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = say(42), say(90)
+    rows = [(i, say(60) + phrase + say(60) + passage + say(60)) for i in range(300)]
+    parts = [pd.DataFrame(rows[k::2], columns=["doc_id", "text"]) for k in range(2)]
+    sent = pd.concat([suffix_dedup._keys_of(1)((k,), p) for k, p in enumerate(parts)])
+    shared = suffix_dedup._shared_of(50)(sent)
+    seen, split = {}, 0
+    for k, p in enumerate(parts):
+        known = suffix_dedup._shared_keys(shared[shared["batch"] == k])
+        split += int((known & np.uint64(1)).sum())
+        e = suffix_dedup.Batch(p).shared_runs(known)
+        for key, identity in zip(e.key.tolist(), e.identity.tolist()):
+            seen.setdefault(key, set()).add(identity)
+    assert max(map(len, seen.values())) <= 50
+    assert 0 < split < len(seen) and 30 * suffix_dedup.CROWDED <= suffix_dedup.SORTED
+    got = suffix_dedup.remove_repeats(docs_of(rows), 50, 40000, 80000).collect()
+    assert sorted((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in got) == plain(rows)
+
+
 def test_empty(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
