@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts become words (lower-cased runs of ASCII letters, digits, ``_`` and
-non-ASCII characters). A seed is the hash of the five words under the ones of a
-fixed mask; the zeros are passed over, so a changed word between them does not
-hide a match. The three masks together meet every window of ``WINDOW`` words with
-at most a fifth of its words substituted (tests/llm enumerates them).
+non-ASCII characters). A seed is the hash of the words under the ones of a fixed
+mask; the zeros are passed over, so a changed word between them does not hide a
+match. Each length of item up to ``WINDOW`` words has its masks, of five words from
+six on, of the words that must agree below; together they meet every window of that
+length with at most a fifth of its words substituted (tests/llm enumerates them).
 
 Seeds of the benchmark and of the documents are joined. A fixed-size bit table
 of the benchmark's seeds (``BLOOM_BITS`` bits, whatever the benchmark holds) goes
@@ -14,7 +15,8 @@ overlap is an aligned window of ``WINDOW`` words (the whole item, if shorter) in
 which at least ``SIMILAR`` of the words agree.
 
 Edge cases: null and empty texts on either side match nothing; so do items
-shorter than the longest mask (fewer than ``SPAN`` words). Repeated items and
+without words. An item of fewer than five words has to occur as it is; one of a
+single word is found wherever that word is. Repeated items and
 repeated rows are judged like any other; a null ``item_id`` counts in ``n_items``
 only. Rows with a null ``doc_id`` are judged by their text. Empty tables are fine on
 either side. Other columns are not read (``clean`` returns them).
@@ -29,22 +31,47 @@ from pyspark.sql import functions as F
 
 from .common import blocks, mix64, text_key, tokens, written
 
-MASKS = ("1110101", "1101011", "110111")
-SPAN = max(map(len, MASKS))
 WINDOW, SIMILAR = 15, 0.8
+_LONG = ("1110101", "1101011", "110111")
+# Masks of the items of each length (``WINDOW``: of that length or longer).
+MASKS_OF = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("11111", "101111", "110111", "111011", "111101"),
+    7: (*_LONG, "11111"),
+    8: _LONG,
+    9: _LONG,
+    10: (*_LONG, "11111", "1110011"),
+    11: (*_LONG, "11111"),
+    12: (*_LONG, "11111"),
+    13: _LONG,
+    14: _LONG,
+    15: _LONG,
+}
+MASKS = tuple(dict.fromkeys(m for size in sorted(MASKS_OF, reverse=True) for m in MASKS_OF[size]))
+SPAN = min(MASKS_OF)  # words of the shortest items that are searched
 # Words kept on the left of a seed's first word, and from it on.
-LEFT, RIGHT = WINDOW - min(map(len, MASKS)), WINDOW
+LEFT, RIGHT = max(size - len(m) for size, masks in MASKS_OF.items() for m in masks), WINDOW
 BLOOM_BITS, PROBES = 1 << 22, 3
 
 
-def seeds(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All seeds of tokenised texts: (index of the first word, seed)."""
+def seeds(h: np.ndarray, of: np.ndarray, sizes, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of tokenised texts: (index of the first word, seed), by the masks of
+    items of ``sizes`` words; with ``length`` (words of each text, ``WINDOW`` at most),
+    a text's seeds are by the masks of its own length only."""
     at, out = [], []
     for m, mask in enumerate(MASKS):
         n = len(h) - len(mask) + 1
-        if n <= 0:
+        use = [size for size in sizes if mask in MASKS_OF[size]]
+        if n <= 0 or not use:
             continue
-        ok = np.flatnonzero(of[:n] == of[len(mask) - 1 :])
+        ok = of[:n] == of[len(mask) - 1 :]
+        if length is not None:
+            ok &= np.isin(length, use)[of[:n]]
+        ok = np.flatnonzero(ok)
         seed = np.full(len(ok), m + 1, dtype=np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1":
@@ -91,16 +118,14 @@ def _lower(texts) -> list[str | None]:
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """seed, item_id, length, around: every seed of every long enough item."""
+    """seed, item_id, length, around: every seed of every item."""
 
     def made(batches):
         for pdf in batches:
             for first, run in blocks(_lower(pdf["text"])):
                 h, of = tokens(run)
                 length = np.bincount(of, minlength=len(run))
-                at, seed = seeds(h, of)
-                long_ = length[of[at]] >= SPAN
-                at, seed = at[long_], seed[long_]
+                at, seed = seeds(h, of, MASKS_OF, np.minimum(length, WINDOW))
                 yield pd.DataFrame(
                     {
                         "seed": seed.view(np.int64),
@@ -126,8 +151,14 @@ def bit_table(items: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def document_seeds(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, tkey, seed, around: the documents' seeds that the table holds."""
+def item_sizes(items: DataFrame) -> list[int]:
+    """Lengths of the items, ``WINDOW`` at most: those whose masks are needed."""
+    return sorted(r[0] for r in items.select(F.least("length", F.lit(WINDOW))).distinct().collect())
+
+
+def document_seeds(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+    """doc_id, tkey, seed, around: the documents' seeds, by the masks of items of
+    ``sizes`` words, that the table holds."""
     packed = np.packbits(table).tobytes()
 
     def made(batches):
@@ -135,7 +166,7 @@ def document_seeds(docs: DataFrame, table: np.ndarray) -> DataFrame:
         for pdf in batches:
             for first, run in blocks(_lower(pdf["text"])):
                 h, of = tokens(run)
-                at, seed = seeds(h, of)
+                at, seed = seeds(h, of, sizes)
                 for p in range(PROBES):
                     hit = bits[probes(seed)[p]]
                     at, seed = at[hit], seed[hit]
@@ -164,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tkey (key of the text), n_items, item_ids of the documents that
     overlap an item."""
     items = written(item_seeds(benchmark), "item-seeds")
-    hits = document_seeds(docs, bit_table(items)).join(items, "seed")
+    hits = document_seeds(docs, bit_table(items), item_sizes(items)).join(items, "seed")
     verify = F.pandas_udf(_verify, "boolean")
     pairs = hits.where(verify("doc_around", "around", "length")).select("doc_id", "tkey", "item_id").distinct()
     return pairs.groupBy("doc_id", "tkey").agg(

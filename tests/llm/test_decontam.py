@@ -41,6 +41,37 @@ def test_masks_meet_every_window():
         assert seeded(["o"] * decontam.WINDOW, b)
 
 
+def test_masks_meet_every_length():
+    """All ways to substitute a fifth of an item, for every length up to a window."""
+    for size in range(1, decontam.WINDOW + 1):
+        for n in range(size // 5 + 1):
+            for changed in itertools.combinations(range(size), n):
+                whole = "".join("0" if k in changed else "1" for k in range(size))
+                met = any(
+                    all(m == "0" or w == "1" for m, w in zip(mask, whole[i:]))
+                    for mask in decontam.MASKS_OF[size]
+                    for i in range(size - len(mask) + 1)
+                )
+                assert met, (size, changed)
+
+
+def test_items_of_every_length(llm, docs_of):
+    """Items of 1 to 16 words, each whole and with every allowed substitution, and
+    with one more than is allowed."""
+    items, docs, want = [], [], []
+    for n in range(1, 17):
+        q = [f"i{n}w{k}" for k in range(n)]
+        items.append(" ".join(q))
+        size = min(n, decontam.WINDOW)
+        for less in range(size // 5 + 2):
+            for changed in itertools.islice(itertools.combinations(range(size), less), 100):
+                docs.append(" ".join(["before"] * 3 + ["x" if k in changed else w for k, w in enumerate(q)] + ["after"] * 3))
+                want.append([n - 1] if less <= size // 5 or (n > size and 0 in changed) else [])
+    bench = llm.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: list(r["item_ids"]) for r in decontam.decontaminate(docs_of(list(enumerate(docs))), bench).collect()}
+    assert [got[i] for i in range(len(docs))] == want
+
+
 def fixture(rng):
     vocab = [f"w{i}" for i in range(12)] + ["é1", "The", "of"]
     say = lambda n: [rng.choice(vocab) for _ in range(n)]
