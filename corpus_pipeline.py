@@ -34,7 +34,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard and its place in it."""
     prepare(spark)
-    return sharding.shard(docs)
+    return sharding.shard(docs, map_path=sharding.map_folder(spark, sf_dir, "pipeline"))
 
 
 STAGES = [

@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard(docs).drop("text")
+    return sharding.shard(docs, map_path=sharding.map_folder(spark, sf_dir, "op5_sharding")).drop("text")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ assigns slots to shards; rows never move by themselves, slots do. Version 1
 deals the slots out in turn; ``rebalance`` looks at the bytes of each slot and
 makes the next version by moving single slots from the fullest shard to the
 emptiest until no move helps; ``grow`` adds a shard by moving slots into it only.
+A run over a table whose map is stored starts from the newest version, so a row
+changes its shard only where a slot is moved, and stores a version if it moves any.
 The map has ``SLOTS`` rows whatever the table holds, so it is edited on the
 driver and broadcast.
 
@@ -19,9 +21,14 @@ of the same name.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from ..sources.files import entries
+
 SLOTS, SHARDS = 4096, 24
 ROW_BYTES = 8
 
@@ -86,6 +93,52 @@ def load_map(spark, path: str, version: int) -> SlotMap:
     return {r["vslot"]: r["shard"] for r in spark.read.parquet(f"{path}/version={version}").collect()}
 
 
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the versions begun, newest first."""
+    named = [e.name for e in entries(spark, path) if e.is_dir and e.name.startswith("version=")]
+    return sorted((int(name.split("=")[1]) for name in named), reverse=True)
+
+
+def newest_version(spark, path: str) -> int:
+    """The newest version that has its (one) file, so not one whose writing was cut
+    off; 0: none."""
+    for v in _versions(spark, path):
+        if any(e.name.startswith("part-") for e in entries(spark, f"{path}/version={v}")):
+            return v
+    return 0
+
+
+def map_folder(spark, sf_dir: str, name: str) -> str:
+    """Where the query ``name`` keeps the map of the tables in ``sf_dir``: under the
+    shared checkpoint folder itself, not the session's own folder in it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    table = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{base.rstrip('/')}/slot-maps/{name}-{table}"
+
+
+def next_map(spark, sizes: dict[int, int], shards: int, slots: int, path: str | None) -> SlotMap:
+    """The newest stored map, rebalanced; stored as the next version if it differs."""
+    version = newest_version(spark, path) if path else 0
+    last = max(_versions(spark, path), default=0) if path else 0
+    if version:
+        stored = load_map(spark, path, version)
+        have = max(stored.values()) + 1
+        if len(stored) != slots or have > shards:
+            raise ValueError(f"{path} maps {len(stored)} slots to {have} shards, not {slots} to at most {shards}")
+    else:
+        stored, have = first_map(shards, slots), shards
+        if path:
+            last += 1
+            save_map(spark, stored, last, path)
+    made = stored
+    for k in range(have, shards):
+        made = grow(made, sizes, k)
+    made = rebalance(made, sizes, shards)
+    if path and made != stored:
+        save_map(spark, made, last + 1, path)
+    return made
+
+
 def vslot(slots: int = SLOTS):
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
     return F.pmod(key, F.lit(slots)).cast("int")
@@ -105,16 +158,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: s
     """``docs`` with size, text_crc32, law (``bytes``), shard, slot (its place in
     the shard, gapless from 0) and grown_shard (null under this law).
 
-    With ``map_path``, both versions of the map are stored there.
+    With ``map_path``, the map is kept there: the newest version is where this run
+    starts from, and what it makes of it is stored as the next.
     """
     spark = docs.sparkSession
     stats = slot_sizes(docs, slots)
     sizes = {v: b for v, (b, _) in stats.items()}
-    first = first_map(shards, slots)
-    slot_map = rebalance(first, sizes, shards)
-    if map_path:
-        save_map(spark, first, 1, map_path)
-        save_map(spark, slot_map, 2, map_path)
+    slot_map = next_map(spark, sizes, shards, slots, map_path)
     base, rows = {}, [0] * shards
     for v in range(slots):
         base[v] = rows[slot_map[v]]

@@ -42,6 +42,41 @@ def test_map_versions(llm, docs_of, tmp_path):
     assert max(load) - min(load) <= max(sizes.values())
 
 
+def test_map_is_kept(llm, docs_of, tmp_path):
+    """Runs over grown data start from the newest map: rows leave their shard only
+    with a slot that was moved."""
+    path = f"{tmp_path}/kept"
+    small = [(i, "y" * (i % 90)) for i in range(400)]
+    large = small + [(1000 + i, "z" * (i % 400)) for i in range(300)]
+    shards_of = lambda rows, n=5: {r["doc_id"]: r["shard"] for r in sharding.shard(docs_of(rows), n, 64, path).collect()}
+    before = shards_of(small)
+    assert shards_of(small) == before and sharding.newest_version(llm, path) == 2
+    after = shards_of(large)
+    assert sharding.newest_version(llm, path) == 3
+    two, three = (sharding.load_map(llm, path, v) for v in (2, 3))
+    slot = {r[0]: r[1] for r in docs_of(large).select("doc_id", sharding.vslot(64)).collect()}
+    assert all(before[i] == two[slot[i]] for i in before) and all(after[i] == three[slot[i]] for i in after)
+    moved = sum(two[s] != three[s] for s in two)
+    assert 0 < moved < 32  # made anew, most slots would change
+    (tmp_path / "kept" / "version=4").mkdir()  # a run that was cut off
+    grown = shards_of(large, 6)
+    assert set(grown.values()) == set(range(6)) and sharding.newest_version(llm, path) == 5
+
+
+def test_queries_keep_their_maps(llm, docs_of, tmp_path):
+    import corpus_pipeline
+    from roadpulse.llm import queries
+
+    sf = f"{tmp_path}/sf"
+    docs_of([(i, "y" * i) for i in range(300)]).select("doc_id", "text").write.parquet(f"{sf}/documents.parquet")
+    docs = llm.read.parquet(f"{sf}/documents.parquet")
+    runs = {"op5_sharding": lambda: queries.op5_sharding(llm, sf), "pipeline": lambda: corpus_pipeline.shards(llm, docs, sf)}
+    for name, run in runs.items():
+        one = sorted((r["doc_id"], r["shard"], r["slot"]) for r in run().collect())
+        assert sharding.newest_version(llm, sharding.map_folder(llm, sf, name)) == 2
+        assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in run().collect()) == one
+
+
 def test_clashing_columns(docs_of):
     out = sharding.shard(docs_of([(1, "a")]))
     assert len(out.columns) == len({c.lower() for c in out.columns})
