@@ -10,7 +10,9 @@ length with at most a fifth of its words substituted (tests/llm enumerates them)
 Seeds of the benchmark and of the documents are joined. A fixed-size bit table
 of the benchmark's seeds (``BLOOM_BITS`` bits, whatever the benchmark holds) goes
 to every task first and leaves document seeds out that have no partner; the join
-itself is on the seeds. A joined pair is verified on the words around the hit: an
+itself is on the seeds, of the distinct places (a seed and the words around it) of
+either side, so copied passages and repeated items are paired once; documents and
+items come in after that. A joined pair is verified on the words around the hit: an
 overlap is an aligned window of ``WINDOW`` words (the whole item, if shorter) in
 which at least ``SIMILAR`` of the words agree.
 
@@ -191,16 +193,29 @@ def _verify(doc: pd.Series, item: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(overlaps(*both, length.to_numpy()))
 
 
+def candidates(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """seed, doc_around, around, length: the distinct places of documents, each with
+    the distinct places of items that have its seed."""
+    return hits.select("seed", "doc_around").distinct().join(items.select("seed", "around", "length").distinct(), "seed")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tkey (key of the text), n_items, item_ids of the documents that
     overlap an item."""
-    items = written(item_seeds(benchmark), "item-seeds")
-    hits = document_seeds(docs, bit_table(items), item_sizes(items)).join(items, "seed")
+    made = written(item_seeds(benchmark), "item-seeds")
+    hits = written(document_seeds(docs, bit_table(made), item_sizes(made)), "document-seeds")
+    items = made.withColumn("length", F.least("length", F.lit(WINDOW)))
     verify = F.pandas_udf(_verify, "boolean")
-    pairs = hits.where(verify("doc_around", "around", "length")).select("doc_id", "tkey", "item_id").distinct()
-    return pairs.groupBy("doc_id", "tkey").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids")
+    found = candidates(hits, items).where(verify("doc_around", "around", "length"))
+    nameless = F.col("item_id").isNull()
+    named = found.join(items, ["seed", "around", "length"]).groupBy("seed", "doc_around")
+    named = named.agg(F.collect_set("item_id").alias("ids"), F.max(nameless).alias("nameless"))
+    each = hits.join(named, ["seed", "doc_around"]).groupBy("doc_id", "tkey")
+    each = each.agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort("ids"))))).alias("item_ids"),
+        F.max("nameless").cast("int").alias("nameless"),
     )
+    return each.select("doc_id", "tkey", (F.size("item_ids") + F.col("nameless")).cast("long").alias("n_items"), "item_ids")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -72,6 +72,21 @@ def test_items_of_every_length(llm, docs_of):
     assert [got[i] for i in range(len(docs))] == want
 
 
+def test_repeated_places_are_paired_once(llm, docs_of):
+    """A passage that many items and many documents repeat."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = [(i if i else None, passage) for i in range(40)] + [(None, passage), (99, "other words than those of the passage")]
+    docs = [(i, passage) for i in range(60)] + [(60, passage + " and more"), (61, "nothing")]
+    bench = llm.createDataFrame(items, "item_id long, text string")
+    made = decontam.item_seeds(bench)
+    hits = decontam.document_seeds(docs_of(docs), decontam.bit_table(made), decontam.item_sizes(made))
+    places = len(decontam.MASKS_OF[decontam.WINDOW]) * 30
+    assert hits.join(made, "seed").count() > 40 * 60 * places // 2
+    assert decontam.candidates(hits, made).count() <= 2 * places
+    got = {r["doc_id"]: (r["n_items"], list(r["item_ids"])) for r in decontam.decontaminate(docs_of(docs), bench).collect()}
+    assert all(got[i] == (40, list(range(1, 40))) for i in range(61)) and got[61] == (0, [])
+
+
 def fixture(rng):
     vocab = [f"w{i}" for i in range(12)] + ["é1", "The", "of"]
     say = lambda n: [rng.choice(vocab) for _ in range(n)]
