@@ -8,7 +8,9 @@ surviving identifier and the number of rows. In each round, holders whose
 numbers agree but for ``RADIX_BITS`` bits exchange runs: each keeps the digests
 whose own bits in that place are its number and merges what it gets from all
 partners. After the last round a digest is with one holder, merged from all.
-Copies are folded before every exchange, so a text that fills a third of all
+Each round is a hash aggregation by holder and digest: it folds what the merge of the
+partners' runs would, but no run is sorted, and a holder's entries lie in many
+partitions. Copies are folded before every exchange, so a text that fills a third of all
 rows sends a holder at most one entry from each partner.
 
 Kept: the row with the largest ``doc_id`` (``largest=False``: the smallest).
