@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, language, mixing, quality, sharding, simhash, suffix_dedup, url_filter
+from . import chat, decontam, exact_dedup, language, mixing, packing, quality, sharding, simhash, suffix_dedup, url_filter
 from .common import read_table
 from .url_filter import Rule
 
@@ -60,6 +61,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    made = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer)
+    return made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def registered():
     ops = (
         op1_url_filter,
@@ -72,6 +79,7 @@ def registered():
         op8_exact_dedup,
         op9_suffix_dedup,
         op10_language,
+        op11_packing,
     )
     return {f.__name__: f for f in ops}
 
