@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, language, mixing, packing, quality, sharding, simhash, suffix_dedup, url_filter
+from . import chat, decontam, exact_dedup, language, mixing, packing, prefix_trie, quality, sharding, simhash, suffix_dedup, url_filter
 from .common import read_table
 from .url_filter import Rule
 
@@ -67,6 +67,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), group=20, most=4)
+
+
 def registered():
     ops = (
         op1_url_filter,
@@ -80,6 +84,7 @@ def registered():
         op9_suffix_dedup,
         op10_language,
         op11_packing,
+        op12_prefix_trie,
     )
     return {f.__name__: f for f in ops}
 
@@ -87,6 +92,13 @@ def registered():
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# CRC-32 of the ASCII string ``s`` in DuckDB; 4294967295 and 3988292384 are its fixed values.
+CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda v, step: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
 def oracle() -> dict[str, str]:
     turn = f"'{chat.TURN_OPEN}' || coalesce(role, '{chat.NO_ROLE}') || chr(10) || coalesce(text, '') || '{chat.TURN_CLOSE[:-1]}' || chr(10)"
     return {
@@ -107,6 +119,39 @@ WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}')
 made AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM low GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM low JOIN made USING (t)""",
+        "op12_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS j
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, c::VARCHAR AS s, c - c % 20 AS donor, count(*) AS n FROM t GROUP BY c),
+drawn AS (SELECT c, donor, n, {CRC32} % 4 AS h FROM own),
+convs AS (
+  SELECT a.c, a.donor, a.h, least(a.h, coalesce(b.n, 0)) AS took FROM drawn a LEFT JOIN own b ON b.c = a.donor),
+rebuilt AS (
+  SELECT v.c, j + 1 AS d, r, x FROM convs v JOIN t ON t.c = v.donor AND j < took
+  UNION ALL
+  SELECT v.c, j - h + took + 1, r, x FROM convs v JOIN t ON t.c = v.c AND j >= h),
+paths AS (
+  SELECT c, d, x, string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER (PARTITION BY c ORDER BY d) AS k
+  FROM rebuilt
+  UNION ALL
+  SELECT c, 0, '', '' FROM convs),
+turns AS (SELECT *, max(d) OVER (PARTITION BY c) AS m FROM paths),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(x), '[^\x20\x09-\x0D]+')) AS words,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = m), '') AS ends
+  FROM turns GROUP BY d, k),
+parented AS (SELECT n.*, q.k AS pk FROM nodes n LEFT JOIN paths q ON q.c = n.conv_id AND q.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM parented WHERE d > 0 GROUP BY ALL),
+whole AS (
+  SELECT p.*, coalesce(n_children, 0) AS n_children, u.conv_id AS parent_conv_id
+  FROM parented p LEFT JOIN kids USING (d, k) LEFT JOIN nodes u ON u.d = p.d - 1 AND u.k = p.pk),
+sums AS (
+  SELECT q.d, q.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM whole v JOIN paths q ON q.c = v.conv_id AND q.d <= v.d GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM whole JOIN sums USING (d, k)""",
         "op9_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT rid, doc_id, unnest(range(0, length(h) // 2)) AS k FROM d),
