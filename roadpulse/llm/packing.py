@@ -4,18 +4,18 @@ A document's token ids and one closing id are cut, from the front, into pieces w
 lengths are powers of two: as many of ``SEQUENCE`` ids as fit, then one piece for
 each bit of what is left, the longest first. A piece is a sequence of its own, so no
 sequence crosses documents, and since its length is a power of two it needs no
-padding. Sequences of equal length form a bucket; a bucket's sequences have
-consecutive numbers, so a reader takes batches of one shape from a run of numbers.
+padding. Sequences of equal length form a bucket, and a bucket's numbers
+are in one range, so a reader takes batches of one shape from a range of numbers.
 
 Tokenizing looks up *units*: the text is cut before every space that a character
 other than white space follows. The tokenizer's own first split has a border at each
 of these places, whatever stands around, so a unit has the same ids alone as in its
-text. Each task keeps the ids of the units it met (at most ``UNITS`` of them, none
+text. Each worker keeps the ids of the units it met (at most twice ``UNITS`` of them, none
 longer than ``UNIT_CHARS``) and asks the tokenizer for the others.
 
-Numbers come without a shuffle of the ids: a task numbers its pieces of each length
-from 0, the pieces are written, and one row for each task and length gives where its
-numbers start.
+Numbers need no shuffle and no second pass: a sequence's number is made of its bucket,
+its task and its place among the task's pieces of that length, so the numbers of a
+bucket are in one range and those of a task's pieces of one length follow each other.
 
 Edge cases: a null text counts as empty; an empty text has the closing id alone, one
 piece of length 1. Strings that the tokenizer knows as special tokens are ordinary
@@ -33,35 +33,39 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 SEQUENCE = 2048
 CLOSING_ID = 1
-UNITS, UNIT_CHARS = 400_000, 64
+UNITS, UNIT_CHARS = 700_000, 64
+# Bits of a sequence's number for the task, and for the place within the task.
+TASK_BITS, PLACE_BITS = 24, 33
 # Pieces handed back at once.
 ROWS_OUT = 4096
 
 # U+180E is white space to some regular expression engines only.
 _BORDER = re.compile("[ ](?=[^\\s\u180e])")
-NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "task", "nth"]
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, task long, nth long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Units(dict):
-    """Ids of units as little-endian unsigned 32-bit integers."""
+    """Ids of units as little-endian unsigned 32-bit integers. A full table becomes the
+    old one, from which units that are met again move to the new one."""
 
     def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(unit)
+        if packed is None:
+            ids = self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(unit) <= UNIT_CHARS:
             if len(self) >= UNITS:
+                self.old = dict(self)
                 self.clear()
             self[unit] = packed
         return packed
@@ -120,7 +124,8 @@ def _pieces(path: str, sequence: int, closing: int):
                 for length in lengths(n, sequence):
                     nth = made.get(length, 0)
                     made[length] = nth + 1
-                    rows.append((doc, start, length, ids[4 * start : 4 * (start + length)], n, task, nth))
+                    number = (((length.bit_length() - 1) << TASK_BITS | task) << PLACE_BITS) + nth
+                    rows.append((doc, start, length, ids[4 * start : 4 * (start + length)], n, number, 0))
                     start += length
                     if len(rows) >= ROWS_OUT:
                         yield batch(rows)
@@ -138,25 +143,4 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing: int
     if sequence < 1 or sequence & (sequence - 1):
         raise ValueError("sequence must be a power of two")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cut = written(texts.mapInArrow(_pieces(tokenizer, sequence, closing), SCHEMA), "pieces")
-    counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    return cut.join(starts(counts), ["length", "task"]).select(
-        "doc_id",
-        "start",
-        "length",
-        "ids",
-        "doc_tokens",
-        (F.col("first") + F.col("nth")).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-    )
-
-
-def starts(counts: DataFrame) -> DataFrame:
-    """length, task, first: number of the first sequence of a task's pieces of a
-    length. Buckets follow each other by length, tasks within a bucket; a window
-    sees one bucket's tasks, a row each."""
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    of = counts.groupBy("length").agg(F.sum("n").alias("all"))
-    bucket = of.select("length", F.coalesce(F.sum("all").over(before.orderBy("length")), F.lit(0)).alias("bucket"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("own", own).join(bucket, "length").select("length", "task", (F.col("bucket") + F.col("own")).alias("first"))
+    return texts.mapInArrow(_pieces(tokenizer, sequence, closing), SCHEMA)
