@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, language, mixing, packing, prefix_trie, quality, sharding, simhash, suffix_dedup, url_filter
+from . import chat, decontam, divergence, exact_dedup, language, mixing, packing, prefix_trie, quality, sharding, simhash, suffix_dedup, url_filter
 from .common import read_table
 from .url_filter import Rule
 
@@ -71,6 +71,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), group=20, most=4)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 def registered():
     ops = (
         op1_url_filter,
@@ -85,6 +89,7 @@ def registered():
         op10_language,
         op11_packing,
         op12_prefix_trie,
+        op13_divergence,
     )
     return {f.__name__: f for f in ops}
 
@@ -152,6 +157,39 @@ sums AS (
   FROM whole v JOIN paths q ON q.c = v.conv_id AND q.d <= v.d GROUP BY ALL)
 SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
 FROM whole JOIN sums USING (d, k)""",
+        "op13_divergence": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+met AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+filled AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM groups JOIN kept USING (lang) LEFT JOIN met USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, c,
+         (1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v))::HUGEINT AS p
+  FROM filled JOIN kinds USING (lang)),
+whole AS (SELECT lang, term, sum(c) AS c FROM met GROUP BY ALL),
+q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v))::HUGEINT AS q
+  FROM whole JOIN kinds USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
         "op9_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT rid, doc_id, unnest(range(0, length(h) // 2)) AS k FROM d),
