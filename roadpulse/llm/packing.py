@@ -31,6 +31,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ CLOSING_ID = 1
 UNITS, UNIT_CHARS = 700_000, 64
 # Bits of a sequence's number for the task, and for the place within the task.
 TASK_BITS, PLACE_BITS = 24, 33
+# Characters of a text cut into units at once.
+SLICE = 1 << 20
 # Pieces handed back at once.
 ROWS_OUT = 4096
 
@@ -51,24 +54,34 @@ TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class Units(dict):
+class Units:
     """Ids of units as little-endian unsigned 32-bit integers. A full table becomes the
     old one, from which units that are met again move to the new one."""
 
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        packed = self.old.get(unit)
-        if packed is None:
-            ids = self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(unit) <= UNIT_CHARS:
-            if len(self) >= UNITS:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = packed
-        return packed
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known, self.old = tokenizer, {}, {}
+
+    def of(self, units: list[str]) -> bytes:
+        """Ids of units that each follow a space; unknown ones are tokenized together."""
+        unknown = set(units).difference(self.known)
+        if len(self.known) + len(unknown) > UNITS:
+            self.known, self.old = {}, self.known
+            unknown = set(units)
+        again = [u for u in unknown if u in self.old]
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(unknown.difference(again))
+        if new:
+            # A token begins inside its unit: the space goes with what follows it.
+            made = self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False)
+            begins = np.array([a for a, _ in made.offsets])
+            cuts = np.searchsorted(begins, np.cumsum([0, *[len(u) + 1 for u in new]]))
+            ids, cuts = packed(made.ids), (4 * cuts).tolist()
+            self.known.update(zip(new, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+        out = b"".join(map(self.known.__getitem__, units))
+        for unit in new:
+            if len(unit) > UNIT_CHARS:
+                del self.known[unit]
+        return out
 
 
 def load(path: str):
@@ -82,12 +95,25 @@ def load(path: str):
 
 class Encoder:
     def __init__(self, path: str):
-        tokenizer = load(path)
-        self.first, self.rest = Units(tokenizer, ""), Units(tokenizer, " ")
+        self.tokenizer = load(path)
+        self.units = Units(self.tokenizer)
 
     def ids(self, text: str) -> bytes:
-        units = _BORDER.split(text)
-        return self.first[units[0]] + b"".join(map(self.rest.__getitem__, units[1:]))
+        """Ids of a text, read in slices that end at a border."""
+        out, start = [], 0
+        while True:
+            end = _BORDER.search(text, start + SLICE) if len(text) - start > SLICE else None
+            units = _BORDER.split(text[start : end.start() if end else None])
+            if start == 0:
+                out.append(packed(self.tokenizer.encode(units.pop(0), add_special_tokens=False).ids))
+            out.append(self.units.of(units))
+            if end is None:
+                return b"".join(out)
+            start = end.end()
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _KEPT: dict[str, Encoder] = {}
@@ -108,7 +134,7 @@ def lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
 
 
 def _pieces(path: str, sequence: int, closing: int):
-    end = struct.pack("<I", closing)
+    end = packed([closing])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)

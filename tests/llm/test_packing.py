@@ -78,13 +78,15 @@ def test_units_equal_whole_text(text):
     assert made == WHOLE.encode(text, add_special_tokens=False).ids
 
 
-def test_full_cache(monkeypatch, plain):
-    monkeypatch.setattr(packing, "UNITS", 3)
+def test_full_table_and_slices(monkeypatch, plain):
+    monkeypatch.setattr(packing, "UNITS", 5)
+    monkeypatch.setattr(packing, "SLICE", 20)
     e = packing.Encoder(PATH)
     rng = random.Random(4)
-    text = " ".join(rng.choice(["a", "bc", "def", "g,", "h" * 100, "i\nj"]) for _ in range(400))
-    assert np.frombuffer(e.ids(text), "<u4").tolist() + [1] == plain(text)
-    assert max(len(e.first), len(e.rest)) <= 3
+    for _ in range(30):
+        text = rng.choice(["", " ", "\n"]) + " ".join(rng.choice(["a", "bc", "def", "g,", "h" * 100, "i\nj", "漢字", "🙂"]) for _ in range(40))
+        assert np.frombuffer(e.ids(text), "<u4").tolist() + [1] == plain(text)
+    assert max(map(len, e.units.known)) <= packing.UNIT_CHARS and len(e.units.known) <= 50
 
 
 def test_empty_table_and_bad_size(docs_of):
