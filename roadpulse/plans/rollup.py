@@ -14,8 +14,8 @@ date bounds come from it exactly: counts and integer sums add up, and a day
 range is a predicate on (day, tail). Hotspots and map points need per-segment
 figures (see segment_rollup.py).
 
-The store keeps it current: a load's rows are rolled up and appended, a dropped
-month is dropped here too, and months whose rows are rewritten are rebuilt.
+The store keeps it current: a load's rows are rolled up into folders of their own, which
+go with the load's or the month's rows.
 """
 
 from __future__ import annotations
@@ -50,11 +50,12 @@ def _last_second() -> Column:
     return F.expr("INTERVAL '0 23:59:59' DAY TO SECOND")
 
 
-def build_rollup(traffic: DataFrame) -> DataFrame:
-    """Roll measurements (store layout or fixture) up to the rollup key.
+def build_rollup(traffic: DataFrame, partitions: list[str] = PARTITION_COLUMNS) -> DataFrame:
+    """Roll measurements (store layout or fixture) up to the rollup key within their
+    ``partitions`` (the store keeps each load's rows apart).
 
     One partial aggregate per task before the shuffle; the output has at most
-    one row per key and month.
+    one row per key and partition.
     """
     day = day_start(DATE_TIME)
     return (
@@ -63,8 +64,7 @@ def build_rollup(traffic: DataFrame) -> DataFrame:
             F.col("hour"),
             F.col(AVERAGE_SPEED),
             (F.col(DATE_TIME) > day + _last_second()).alias("tail"),
-            F.col("year"),
-            F.col("month"),
+            *partitions,
         )
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -73,7 +73,7 @@ def build_rollup(traffic: DataFrame) -> DataFrame:
             F.min(DATE_TIME).alias("t_min"),
             F.max(DATE_TIME).alias("t_max"),
         )
-        .select(*ROLLUP_COLUMNS)
+        .select(*[c for c in ROLLUP_COLUMNS if c not in PARTITION_COLUMNS], *partitions)
     )
 
 

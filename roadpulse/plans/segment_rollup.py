@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import pct, round_half_away
 from ..operators.filters import THRESHOLD_MAX, THRESHOLD_MIN, THRESHOLD_STEP, DateRange
 from ..operators.reports import in_range
-from ..schema import AVERAGE_SPEED, GEOHASH, LATITUDE, LONGITUDE
+from ..schema import AVERAGE_SPEED, GEOHASH, LATITUDE, LONGITUDE, PARTITION_COLUMNS
 
 # One count column per threshold of the dashboard's domain.
 THRESHOLDS = list(range(THRESHOLD_MIN, THRESHOLD_MAX + 1, THRESHOLD_STEP))
@@ -70,12 +70,12 @@ def _measures() -> list[Column]:
     ] + [F.count(F.when(speed <= F.lit(t), F.lit(1))).alias(_le(t)) for t in THRESHOLDS]
 
 
-def build_segment_rollup(traffic: DataFrame) -> DataFrame:
-    """Roll measurements up to (segment, year, month). One partial aggregate
-    per task before the shuffle, so a hot segment costs one row per task."""
-    return traffic.groupBy(F.col(GEOHASH), F.col("year"), F.col("month")).agg(*_measures()).select(
-        *SEGMENT_ROLLUP_COLUMNS
-    )
+def build_segment_rollup(traffic: DataFrame, partitions: list[str] = PARTITION_COLUMNS) -> DataFrame:
+    """Roll measurements up to (segment, year, month) or finer ``partitions``. One
+    partial aggregate per task before the shuffle, so a hot segment costs one row per
+    task."""
+    own = [c for c in SEGMENT_ROLLUP_COLUMNS if c not in PARTITION_COLUMNS]
+    return traffic.groupBy(GEOHASH, *partitions).agg(*_measures()).select(*own, *partitions)
 
 
 def _row_measures(rows: DataFrame, threshold: int) -> DataFrame:

@@ -44,30 +44,35 @@ CALENDAR_COLUMNS = [f.name for f in CALENDAR_SCHEMA.fields]
 TRAFFIC_SCHEMA = T.StructType(RAW_SCHEMA.fields + CALENDAR_SCHEMA.fields)
 TRAFFIC_COLUMNS = [f.name for f in TRAFFIC_SCHEMA.fields]
 
-# What the store keeps: the traffic columns plus the name of the file each row
-# came from. No report returns ``source_file``; it lets a load that was written
-# but not recorded in the manifest be repaired, and allows removal by file.
+# What the store keeps: the traffic columns, the name of the file each row came from,
+# and the load of that file, which is a partition column, so the rows of one file lie in
+# folders of their own. No report returns the last two.
 SOURCE_FILE = "source_file"
+LOAD = "load"
 PARTITION_COLUMNS = ["year", "month"]
+STORE_PARTITIONS = PARTITION_COLUMNS + [LOAD]
 # Column metadata key set on ``year``/``month`` of frames that scan the
 # partitioned store, so a range filter adds the partition bound only where it
 # prunes folders (on derived columns it would only cost per-row work).
 PARTITION_MARK = "roadpulse.partition"
+LOAD_FIELD = T.StructField(LOAD, T.StringType(), True)
 STORED_SCHEMA = T.StructType(
     RAW_SCHEMA.fields
     + [f for f in CALENDAR_SCHEMA.fields if f.name not in PARTITION_COLUMNS]
     + [T.StructField(SOURCE_FILE, T.StringType(), True)]
     + [f for f in CALENDAR_SCHEMA.fields if f.name in PARTITION_COLUMNS]
+    + [LOAD_FIELD]
 )
 STORED_COLUMNS = [f.name for f in STORED_SCHEMA.fields]
+# What a load is made of: the stored columns before the store names the load.
+LOADED_COLUMNS = [c for c in STORED_COLUMNS if c != LOAD]
 
-MONTH_TYPE = T.StructType([T.StructField("year", T.IntegerType(), True), T.StructField("month", T.IntegerType(), True)])
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("filename", T.StringType(), True),
         T.StructField("state", T.StringType(), True),
-        T.StructField("months", T.ArrayType(MONTH_TYPE), True),
-        T.StructField("staged", T.StringType(), True),
+        T.StructField("load", T.StringType(), True),
+        T.StructField("version", T.LongType(), True),
     ]
 )
 

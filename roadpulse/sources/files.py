@@ -1,15 +1,17 @@
-"""File names, folders and first lines through the Hadoop file system, which is
-what Spark's own readers use, so any path they can read works here.
+"""File names, folders, first lines and small text files through the Hadoop file
+system, which is what Spark's own readers use, so any path they can read works here.
 
-Only metadata and first lines pass through the driver; rows never do.
+Only metadata, first lines and the manifest's changes pass through the driver.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # First lines read side by side.
@@ -47,6 +49,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def make(spark: SparkSession, folder: str) -> None:
+    fs, p = _at(spark, folder)
+    fs.mkdirs(p)
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the folders that match a pattern."""
+    fs, p = _at(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or () if s.isDirectory())
+
+
 def move(spark: SparkSession, path: str, into: str, name: str | None = None) -> None:
     """Move a file into a folder (made if missing), within one file system."""
     fs, p = _at(spark, path)
@@ -57,20 +70,79 @@ def move(spark: SparkSession, path: str, into: str, name: str | None = None) ->
         raise OSError(f"cannot move {path} to {into}")
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """First line of a text file (empty for an empty file); reads no more."""
+def copy(spark: SparkSession, path: str, target: str) -> None:
+    """Copy a file as a stream."""
+    fs, p = _at(spark, path)
+    to, t = _at(spark, target)
+    to.mkdirs(t.getParent())
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, t, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"cannot copy {path}")
+
+
+def write(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Write a small text file. Without ``replace`` the file is made only if there is
+    none yet, which the file system decides between writers; whether it was made."""
+    fs, p = _at(spark, path)
+    try:
+        out = fs.create(p, replace)
+    except Py4JJavaError as e:
+        if not replace and fs.exists(p):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def text(spark: SparkSession, path: str, last: int | None = None) -> str:
+    """A small text file, or its ``last`` bytes; empty if it is gone."""
+    fs, p = _at(spark, path)
+    try:
+        size = fs.getFileStatus(p).getLen()
+        stream = fs.open(p)
+    except Py4JJavaError:
+        if fs.exists(p):
+            raise
+        return ""
+    try:
+        if last is not None:
+            stream.seek(max(0, size - last))
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file was last written or touched (0 if it is gone)."""
+    fs, p = _at(spark, path)
+    return time.time() - fs.getFileStatus(p).getModificationTime() / 1000 if fs.exists(p) else 0.0
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.setTimes(p, int(time.time() * 1000), -1)
+
+
+def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
+    """The first lines of a text file (fewer if it has fewer); reads no more."""
     fs, p = _at(spark, path)
     io = spark._jvm.java.io
     reader = io.BufferedReader(io.InputStreamReader(fs.open(p), "UTF-8"))
     try:
-        return reader.readLine() or ""
+        lines = []
+        while len(lines) < n and (line := reader.readLine()) is not None:
+            lines.append(line)
+        return lines
     finally:
         reader.close()
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
+def heads(spark: SparkSession, paths: list[str], n: int) -> list[list[str]]:
+    """The first lines of each file, read side by side."""
     with ThreadPoolExecutor(max_workers=READERS) as pool:
-        return list(pool.map(lambda p: first_line(spark, p), paths))
+        return list(pool.map(lambda p: first_lines(spark, p, n), paths))
 
 
 def literal(path: str) -> str:

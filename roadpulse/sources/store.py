@@ -1,32 +1,37 @@
-"""The persistent store: measurements as Parquet partitioned by ``year, month``,
+"""The persistent store: measurements as Parquet partitioned by ``year, month, load``,
 two rollups partitioned alike, and the manifest of loaded files.
 
 Layout under ``root``::
 
-    traffic/year=YYYY/month=M/part-*.parquet
-    rollup/year=YYYY/month=M/part-*.parquet          (see plans/rollup.py)
-    segment_rollup/year=YYYY/month=M/part-*.parquet  (see plans/segment_rollup.py)
-    imported_files/v=N/part-*.parquet                (see manifest.py)
-    staging/<step>/year=YYYY/month=M/part-*.parquet  (only while a step runs)
-
-Every step that changes rows is recorded in the manifest before it touches
-them, with the months it touches and the folder of its staged rows, and marked
-done after the rows and both rollups. A run that stops in between leaves the
-record; ``recover``, which every sync begins with, finishes a removal and takes a
-half load back, and rebuilds both rollups of the recorded months whether rows
-are still found there or not. Neither a normal run nor a recovery has to look
-through the whole store for a file's rows.
-
-* A load parses the files once, into the staging folder, where its months are
-  read off; both rollups are aggregated from there, and the staged files are
-  then moved into their month folders.
-* Removing a month deletes its folders.
-* Removing a file's rows stages the rows of its months that stay, then replaces
-  those months from the staged copy, as often as it takes.
+    traffic/year=YYYY/month=M/load=<load>/part-*.parquet
+    rollup/year=YYYY/month=M/load=<load>/part-*.parquet          (see plans/rollup.py)
+    segment_rollup/year=YYYY/month=M/load=<load>/part-*.parquet  (see plans/segment_rollup.py)
+    imported_files/                                              (see manifest.py)
+    staging/                                                     (only while a load runs)
+
+A load is one reading of one source file: ``<run>.<hash of the file's name>``. Its rows lie
+in folders of their own, in all three tables, so
+
+* a load writes its rows where they stay and moves nothing; they count once the
+  manifest has the file as loaded, and reads leave out the loads that are under way;
+* removing a file deletes its load's folders and reads or writes no rows;
+* removing a month deletes the month's folders.
+
+Every step is entered in the manifest before it touches rows and again when it is done.
+``recover``, which every run begins with, compares the folders with the manifest: it ends
+removals, and deletes what belongs to no loaded file, so that those files count as new
+again. Rows that no entry explains and whose file is no longer there to be read again
+(a lost manifest) are kept and entered as loaded.
+
+With ``table_name`` the store is also a table of the session's catalog: its partitions are
+added when a load is published and dropped before a removal, so SQL reads what the
+manifest has as loaded, and prunes months without listing folders.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable
@@ -34,10 +39,15 @@ from collections.abc import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import (
+    LOAD,
+    LOAD_FIELD,
+    LOADED_COLUMNS,
     PARTITION_COLUMNS,
     SOURCE_FILE,
+    STORE_PARTITIONS,
     STORED_COLUMNS,
     STORED_SCHEMA,
     TRAFFIC_COLUMNS,
@@ -49,12 +59,18 @@ from ..operators.filters import DateRange
 from ..operators.reports import date_bounds
 from . import files
 from .csv_source import read_csv_files, to_stored
-from .manifest import LOADED, LOADING, REMOVING_FILE, REMOVING_MONTH, FileEntry, Manifest, Month
+from .manifest import GONE, LOADED, LOADING, REMOVING_FILE, REMOVING_MONTH, FileEntry, Manifest
 
+STORED_ROLLUP = T.StructType(ROLLUP_SCHEMA.fields + [LOAD_FIELD])
+STORED_SEGMENTS = T.StructType(SEGMENT_ROLLUP_SCHEMA.fields + [LOAD_FIELD])
 # Upper bound on rows per written file, so one hot month still becomes many
 # files of bounded size.
 MAX_RECORDS_PER_FILE = 5_000_000
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+# Partitions named in one catalog statement.
+CATALOG_BATCH = 200
+
+Month = tuple[int | None, int | None]
 
 
 def month_glob(rng: DateRange) -> str | None:
@@ -80,11 +96,23 @@ def month_folder(month: Month) -> str:
     return f"year={y}/month={m}"
 
 
-def in_months(months: Iterable[Month]) -> Column:
-    """Rows of the given months, rows without a timestamp included when their
-    (null, null) partition is. Partition columns only, so it prunes a scan."""
-    key = F.coalesce(F.col("year") * 100 + F.col("month"), F.lit(-1))
-    return key.isin([-1 if y is None or m is None else y * 100 + m for y, m in months])
+def load_of(run: str, name: str) -> str:
+    """Load of a file by a run; ``load_column`` is the same on rows."""
+    return f"{run}.{hashlib.md5(name.encode()).hexdigest()[:16]}"
+
+
+def load_column(run: str, name: str = SOURCE_FILE) -> Column:
+    return F.concat(F.lit(f"{run}."), F.substring(F.md5(F.col(name)), 1, 16))
+
+
+def partition_of(folder: str) -> dict[str, str]:
+    """``year``, ``month`` and ``load`` of a folder, as they are in its path."""
+    return dict(re.findall(r"(year|month|load)=([^/]+)", folder))
+
+
+def month_of(folder: str) -> Month:
+    at = partition_of(folder)
+    return tuple(None if at[c] == NULL_FOLDER else int(at[c]) for c in PARTITION_COLUMNS)
 
 
 def _ordered(months: Iterable[Month]) -> list[Month]:
@@ -92,52 +120,46 @@ def _ordered(months: Iterable[Month]) -> list[Month]:
 
 
 class TrafficStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, table_name: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.table_path = f"{self.root}/traffic"
         self.rollup_path = f"{self.root}/rollup"
         self.segment_rollup_path = f"{self.root}/segment_rollup"
         self.log = Manifest(spark, f"{self.root}/imported_files")
+        self.table_name = table_name
+
+    @property
+    def _paths(self) -> tuple[str, str, str]:
+        return self.table_path, self.rollup_path, self.segment_rollup_path
 
     def _done(self, step: str) -> None:
         """Called after each write of a step (tests stop a run here)."""
 
+    def writing(self, take_over: bool = False):
+        """Hold the store for a run that writes (``Manifest.writing``)."""
+        return self.log.writing(take_over)
+
     # -- S3: create if missing ------------------------------------------------
     def ensure(self) -> "TrafficStore":
-        """Create what is missing. A store whose manifest is gone has the files
-        its rows come from entered as half loaded, so that the next sync takes
-        their rows back and loads them again; a store from before the segment
-        rollup gets it built once from its rows."""
-        fresh = not files.exists(self.spark, self.table_path)
-        for path, schema in ((self.table_path, STORED_SCHEMA), (self.rollup_path, ROLLUP_SCHEMA)):
-            self._create(path, schema)
-        if not files.exists(self.spark, self.segment_rollup_path):
-            self._create(self.segment_rollup_path, SEGMENT_ROLLUP_SCHEMA)
-            if not fresh:
-                rolled = build_segment_rollup(self.stored())
-                self._write_partitioned(rolled, self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, "append")
-        if not self.log.exists():
-            self.log.change(put=[] if fresh else self._entries_from_rows())
+        """Create the folders, a rollup that is missing (from the rows), and the catalog
+        table if the store has a name."""
+        lacking = [p for p in self._paths if not files.exists(self.spark, p)]
+        for path in (*self._paths, self.log.path):
+            files.make(self.spark, path)
+        if lacking and self.table_path not in lacking:
+            self._write_rollups(self.stored(), lacking)
+        if self.table_name and not self.spark.catalog.tableExists(self.table_name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_SCHEMA.fields)
+            self.spark.sql(
+                f"CREATE TABLE {self.table_name} ({columns}) USING parquet "
+                f"PARTITIONED BY ({', '.join(STORE_PARTITIONS)}) LOCATION '{self.table_path}'"
+            )
+            found = self._folders(self.table_path)
+            stray = set(self._stray(sorted({partition_of(f)["load"] for f in found})))
+            self._publish([f for f in found if partition_of(f)["load"] not in stray])
         return self
 
-    def _create(self, path: str, schema) -> None:
-        if not files.exists(self.spark, path):
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(path)
-
-    def _entries_from_rows(self) -> list[FileEntry]:
-        """One whole read of two narrow columns, only when the manifest is lost."""
-        return [FileEntry(n, LOADING, m) for n, m in self._months_by_file(self.stored()).items() if n is not None]
-
-    @staticmethod
-    def _months_by_file(rows: DataFrame) -> dict[str, tuple[Month, ...]]:
-        """Months of each file: at most one row per file and month."""
-        found: dict[str, list[Month]] = defaultdict(list)
-        for r in rows.select(SOURCE_FILE, *PARTITION_COLUMNS).distinct().collect():
-            found[r[SOURCE_FILE]].append((r["year"], r["month"]))
-        return {n: tuple(_ordered(m)) for n, m in found.items()}
-
     # -- S11 / S4: scans ---------------------------------------------------------
     def _read(self, path: str, schema, rng: DateRange | None) -> DataFrame:
         """Read a ``year=/month=`` partitioned folder. With ``rng``, only the
@@ -147,12 +169,12 @@ class TrafficStore:
         the reports' own range filters still apply on top."""
         base = files.literal(path)
         if rng is None:
-            return self.spark.read.schema(schema).parquet(base)
+            return self._visible(self.spark.read.schema(schema).parquet(base))
         glob = month_glob(rng)
         if glob is None:
             return self.spark.createDataFrame([], schema)
         try:
-            return self.spark.read.schema(schema).option("basePath", path).parquet(f"{base}/{glob}")
+            return self._visible(self.spark.read.schema(schema).option("basePath", path).parquet(f"{base}/{glob}"))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], schema)
@@ -180,7 +202,16 @@ class TrafficStore:
             return self.spark.createDataFrame([], schema)
         base = files.literal(path)
         paths = [f"{base}/{month_folder((d.year, d.month))}" for d in sorted({ends.start, ends.end})]
-        return self.spark.read.schema(schema).option("basePath", path).parquet(*paths)
+        return self._visible(self.spark.read.schema(schema).option("basePath", path).parquet(*paths))
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        """Without the rows of steps under way: normally none, else those of the one
+        run that loads or removes (a filter on the partition column)."""
+        open_ = self.log.unfinished()
+        for run in sorted({e.load.split(".")[0] for e in open_ if e.state == LOADING}):
+            rows = rows.where(~F.col(LOAD).startswith(f"{run}."))
+        going = [e.load for e in open_ if e.state == REMOVING_FILE]
+        return rows.where(~F.col(LOAD).isin(going)) if going else rows
 
     def stored(self, rng: DateRange | None = None) -> DataFrame:
         """All stored columns, ``source_file`` included (optionally only the
@@ -201,11 +232,11 @@ class TrafficStore:
 
     def rollup(self, rng: DateRange | None = None) -> DataFrame:
         """The rollup of the stored rows (plans/rollup.py)."""
-        return self._read(self.rollup_path, ROLLUP_SCHEMA, rng).select(*mark_partitions(ROLLUP_COLUMNS))
+        return self._read(self.rollup_path, STORED_ROLLUP, rng).select(*mark_partitions(ROLLUP_COLUMNS))
 
     def segment_rollup(self, rng: DateRange | None = None) -> DataFrame:
         """The per-segment, per-month rollup (plans/segment_rollup.py)."""
-        return self._read(self.segment_rollup_path, SEGMENT_ROLLUP_SCHEMA, rng).select(
+        return self._read(self.segment_rollup_path, STORED_SEGMENTS, rng).select(
             *mark_partitions(SEGMENT_ROLLUP_COLUMNS)
         )
 
@@ -219,7 +250,7 @@ class TrafficStore:
         from ..plans.dashboard import Page, resolve_range
         from ..plans.rollup import month_spans
 
-        row = bounds_from_rollup(self._first_and_last(self.rollup_path, ROLLUP_SCHEMA)).first()
+        row = bounds_from_rollup(self._first_and_last(self.rollup_path, STORED_ROLLUP)).first()
         rng = resolve_range(date_value, threshold, (row["d_min"], row["d_max"]))
         rollup = self.rollup(rng)
         return Page(
@@ -235,20 +266,45 @@ class TrafficStore:
         """Loaded file names, one row each."""
         return self.log.table().where(F.col("state") == LOADED).select("filename").dropDuplicates(["filename"])
 
-    # -- S5 / S6: loads --------------------------------------------------------
-    def _stage(self, rows: DataFrame, name: str) -> str:
-        path = f"{self.root}/staging/{name}-{uuid.uuid4().hex[:12]}"
-        self._write_rows(rows, path, "errorifexists")
-        return path
-
-    def _staged(self, path: str) -> DataFrame:
-        return self.spark.read.schema(STORED_SCHEMA).parquet(files.literal(path))
-
-    @staticmethod
-    def _write_rows(rows: DataFrame, path: str, mode: str) -> None:
-        writer = rows.select(*STORED_COLUMNS).write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLUMNS).parquet(path)
+    # -- folders -----------------------------------------------------------------
+    def _folders(self, path: str, loads: str = "*") -> list[str]:
+        return files.folders(self.spark, f"{files.literal(path)}/year=*/month=*/load={loads}")
+
+    def _delete_loads(self, loads: Iterable[str]) -> list[Month]:
+        """Delete the loads' folders in the three tables; the months of their rows."""
+        loads, months = set(loads), []
+        for path in self._paths:
+            gone = [f for f in self._folders(path) if partition_of(f)["load"] in loads]
+            if path == self.table_path:
+                self._withdraw(gone)
+                months = [month_of(f) for f in gone]
+            for f in gone:
+                files.delete(self.spark, f)
+            self._done("deleted")
+        return _ordered(months)
+
+    # -- the catalog table -------------------------------------------------------
+    def _catalog(self, folders: list[str], verb: str) -> None:
+        if not self.table_name or not self.spark.catalog.tableExists(self.table_name):
+            return
+        at = [partition_of(f) for f in folders]
+        specs = [
+            "PARTITION ({})".format(
+                ", ".join([*(f"{c}={'null' if p[c] == NULL_FOLDER else p[c]}" for c in PARTITION_COLUMNS), f"{LOAD}='{p[LOAD]}'"])
+            )
+            for p in at
+        ]
+        between = " " if verb.startswith("ADD") else ", "
+        for i in range(0, len(specs), CATALOG_BATCH):
+            self.spark.sql(f"ALTER TABLE {self.table_name} {verb} {between.join(specs[i : i + CATALOG_BATCH])}")
+
+    def _publish(self, folders: list[str]) -> None:
+        self._catalog(folders, "ADD IF NOT EXISTS")
+
+    def _withdraw(self, folders: list[str]) -> None:
+        self._catalog(folders, "DROP IF EXISTS")
 
+    # -- S5 / S6: loads --------------------------------------------------------
     def load(self, found: list[tuple[str, str]], rebalance: bool = False) -> None:
         """Load files, given as (name, path), that are not in the manifest.
 
@@ -259,140 +315,163 @@ class TrafficStore:
         it meets; AQE cuts a hot month into several tasks of the advisory size
         and merges small ones.
         """
-        rows = to_stored(read_csv_files(self.spark, [p for _, p in found]))
+        staging = f"{self.root}/staging/{uuid.uuid4().hex[:12]}"
+        rows = to_stored(read_csv_files(self.spark, found, staging))
         self.load_rows(rows, [n for n, _ in found], rebalance)
+        files.delete(self.spark, staging)
 
     def load_rows(self, rows: DataFrame, names: list[str], rebalance: bool = False) -> None:
-        """Load rows in the stored layout that come from the files ``names``."""
+        """Load rows (``LOADED_COLUMNS``) that come from the files ``names``."""
         if rebalance:
             rows = rows.hint("rebalance", *PARTITION_COLUMNS)
-        path = self._stage(rows, "load")
-        self._done("staged")
-        staged = self._staged(path)
-        months = self._months_by_file(staged)
-        entries = self.log.mark([FileEntry(n, LOADING, months.get(n, ()), path) for n in names])
-        self._done("recorded")
-        self._write_rollups(staged, "append")
-        self._publish(path)
-        self._done("rows")
-        self.log.mark(entries, state=LOADED, staged=None)
-        self._done("loaded")
-        files.delete(self.spark, path)
-
-    def _publish(self, path: str) -> None:
-        """Move staged files into their month folders; their names are unique."""
-        for year in files.entries(self.spark, path):
-            for month in files.entries(self.spark, year.path) if year.is_dir else ():
-                for part in files.entries(self.spark, month.path):
-                    if not files.hidden(part.name):
-                        files.move(self.spark, part.path, f"{self.table_path}/{year.name}/{month.name}")
-
-    def _write_rollups(self, rows: DataFrame, mode: str) -> None:
-        """Both rollups of the given stored rows, each one aggregate over the few
-        columns it needs."""
-        self._write_partitioned(build_rollup(rows), self.rollup_path, ROLLUP_COLUMNS, mode)
-        self._done("rollup")
-        self._write_partitioned(build_segment_rollup(rows), self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS, mode)
-        self._done("segment rollup")
-
-    def _write_partitioned(self, rolled: DataFrame, path: str, columns: list[str], mode: str) -> None:
-        """Write rollup rows by month. A month of the calendar rollup is bounded
-        (days x 24 x speeds x 2 rows), one of the segment rollup grows with the
-        segments; the rebalance shuffle gives a small month one task and one
-        file and cuts a large one into tasks of the advisory size."""
-        writer = rolled.select(*columns).hint("rebalance", *PARTITION_COLUMNS).write.mode(mode)
-        writer = writer.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        writer.partitionBy(*PARTITION_COLUMNS).parquet(path)
+        with self.writing():
+            run = f"{self.log.next_version:08d}{uuid.uuid4().hex[:6]}"
+            entries = [FileEntry(n, LOADING, load_of(run, n)) for n in names]
+            self.log.change(entries, under_way=True)
+            self._done("recorded")
+            try:
+                self._write(rows.select(*LOADED_COLUMNS, load_column(run).alias(LOAD)), self.table_path, STORED_COLUMNS)
+                self._done("rows")
+                self._write_rollups(self._of_run(run))
+            finally:
+                if not self.log.held():  # taken over meanwhile: nobody else knows of these rows
+                    self._delete_loads(e.load for e in entries)
+                    self.log.check()
+            self.log.change([FileEntry(e.filename, LOADED, e.load) for e in entries], under_way=False)
+            self._done("loaded")
+            if self.table_name:
+                self._publish(self._folders(self.table_path, f"{run}.*"))
+
+    def _of_run(self, run: str) -> DataFrame:
+        """The rows a run has written."""
+        try:
+            read = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.table_path)
+            return read.parquet(f"{files.literal(self.table_path)}/year=*/month=*/load={run}.*")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], STORED_SCHEMA)
+            raise
 
-    # -- S7 / S8: removals -----------------------------------------------------
-    def drop_months(self, months: Iterable[Month]) -> list[Month]:
-        """Delete all rows of the given (year, month) partitions, and their
-        rollups. Other months' files are not touched, nor listed."""
-        months = _ordered(months)
-        for path in (self.table_path, self.rollup_path, self.segment_rollup_path):
-            self._delete_months(path, months)
-            self._done("dropped")
-        return months
+    def _write_rollups(self, rows: DataFrame, only: Iterable[str] | None = None) -> None:
+        """Both rollups (or those of the paths ``only``) of the given stored rows, each
+        one aggregate over the few columns it needs."""
+        for build, path, columns in (
+            (build_rollup, self.rollup_path, ROLLUP_COLUMNS),
+            (build_segment_rollup, self.segment_rollup_path, SEGMENT_ROLLUP_COLUMNS),
+        ):
+            if only is not None and path not in only:
+                continue
+            # A month of the calendar rollup is bounded, one of the segment rollup grows
+            # with the segments: the rebalance shuffle gives a small month one task and
+            # cuts a large one into tasks of the advisory size.
+            rolled = build(rows, STORE_PARTITIONS).hint("rebalance", *PARTITION_COLUMNS)
+            self._write(rolled, path, [*columns, LOAD])
+            self._done("rollup")
 
-    def _delete_months(self, path: str, months: Iterable[Month]) -> None:
-        for m in months:
-            files.delete(self.spark, f"{path}/{month_folder(m)}")
+    @staticmethod
+    def _write(rows: DataFrame, path: str, columns: list[str]) -> None:
+        writer = rows.select(*columns).write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        writer.partitionBy(*STORE_PARTITIONS).parquet(path)
 
+    # -- S7 / S8: removals -----------------------------------------------------
     def remove_months(self, removed: dict[str, list[Month]]) -> list[Month]:
         """Removed files, each with the months its name stands for: delete those
         months, then the manifest entries."""
-        entries = self.log.mark([FileEntry(n, REMOVING_MONTH, tuple(m)) for n, m in removed.items()])
-        self._done("recorded")
-        return self._finish_months(entries)
+        with self.writing():
+            entries = [FileEntry(n, REMOVING_MONTH, ",".join(f"{y}-{m}" for y, m in months)) for n, months in removed.items()]
+            self.log.change(entries, under_way=True)
+            self._done("recorded")
+            months = self._drop_months(entries)
+            self._forget(entries)
+        return months
 
-    def _finish_months(self, entries: list[FileEntry]) -> list[Month]:
-        months = self.drop_months(m for e in entries for m in e.months or ())
-        self.log.change(drop=[e.filename for e in entries])
-        self._done("forgotten")
+    def _drop_months(self, entries: list[FileEntry]) -> list[Month]:
+        named = [m.split("-") for e in entries for m in (e.load or "").split(",") if m]
+        months = _ordered((int(y), int(m)) for y, m in named)
+        for path in self._paths if months else ():
+            for m in months:
+                folder = f"{path}/{month_folder(m)}"
+                if path == self.table_path and self.table_name:
+                    self._withdraw([e.path for e in files.entries(self.spark, folder)])
+                files.delete(self.spark, folder)
+            self._done("deleted")
         return months
 
+    def _forget(self, entries: list[FileEntry]) -> None:
+        self.log.change([FileEntry(e.filename, GONE) for e in entries], under_way=False)
+        self._done("forgotten")
+
     def remove_files(self, names: list[str]) -> list[Month]:
         """Delete exactly the rows that came from the given files, then their
-        manifest entries. Only the months the manifest names for them are
-        read and rewritten."""
-        known = self.log.entries(names)
-        lost = [e.filename for e in known if e.months is None]
-        if lost:  # entered by an older layout
-            months = self._months_by_file(self.stored().where(F.col(SOURCE_FILE).isin(lost)))
-            known = [FileEntry(e.filename, e.state, months.get(e.filename, ()) if e.months is None else e.months) for e in known]
-        entries = self.log.mark(known, state=REMOVING_FILE, staged=None)
-        self._done("recorded")
-        return self._finish_files(entries)
-
-    def _finish_files(self, entries: list[FileEntry]) -> list[Month]:
-        """Take the entries' rows out of their months.
-
-        The months' other rows are staged first and the folder recorded; from
-        then on the months can be replaced from it again and again, however
-        often a run stops on the way.
-        """
-        months = _ordered(m for e in entries for m in e.months or ())
-        path = next((e.staged for e in entries if e.staged), None)
-        if months and path is None:
-            names = self.spark.createDataFrame([(e.filename,) for e in entries], f"{SOURCE_FILE} string")
-            kept = self.stored().where(in_months(months)).join(names, SOURCE_FILE, "left_anti")
-            path = self._stage(kept, "keep")
-            self._done("kept")
-            entries = self.log.mark(entries, state=REMOVING_FILE, staged=path)
-            self._done("kept recorded")
-        if months:
-            staged = self._staged(path)
-            held = {(r["year"], r["month"]) for r in staged.select(*PARTITION_COLUMNS).distinct().collect()}
-            gone = [m for m in months if m not in held]
-            if held:
-                self._write_rows(staged, self.table_path, "overwrite")
-            self._delete_months(self.table_path, gone)
-            self._done("rows")
-            if held:
-                self._write_rollups(staged, "overwrite")
-            for rollup in (self.rollup_path, self.segment_rollup_path):
-                self._delete_months(rollup, gone)
-        self.log.change(drop=[e.filename for e in entries])
-        self._done("forgotten")
-        if path:
-            files.delete(self.spark, path)
+        manifest entries; no other file's rows are read or written. Returns the months
+        that had such rows."""
+        with self.writing():
+            asked = self.spark.createDataFrame([(n,) for n in names], "filename string")
+            known = self.log.table().join(asked, "filename", "left_semi").select("filename", "load").collect()
+            entries = [FileEntry(r["filename"], REMOVING_FILE, r["load"]) for r in known]
+            self.log.change(entries, under_way=True)
+            self._done("recorded")
+            months = self._delete_loads(e.load for e in entries)
+            self._forget(entries)
         return months
 
-    def recover(self) -> list[str]:
-        """Finish what an earlier run began: removals are completed, half loads
-        taken back (the files count as new again). Returns those file names."""
-        open_ = self.log.unfinished()
-        by_month = [e for e in open_ if e.state == REMOVING_MONTH]
-        if by_month:
-            self._finish_months(by_month)
-        # Entries that share a staged folder belong to one removal; staged rows
-        # of a load are no copy of rows that stay.
-        removing = [e for e in open_ if e.state == REMOVING_FILE]
-        for path in sorted({e.staged for e in removing}, key=str):
-            self._finish_files([e for e in removing if e.staged == path])
-        loading = [e for e in open_ if e.state == LOADING]
-        if loading:
-            self._finish_files(self.log.mark(loading, state=REMOVING_FILE, staged=None))
-        # Nothing is under way now (a store has one writer at a time).
-        files.delete(self.spark, f"{self.root}/staging")
-        return [e.filename for e in loading]
+    # -- recovery ----------------------------------------------------------------
+    def recover(self, on_disk: DataFrame) -> list[str]:
+        """Bring rows and manifest in line after whatever an earlier run left; the names
+        of files (of ``on_disk``: filename) that have to be loaded again.
+
+        Half loads are deleted and removals ended. Folders of loads that the manifest
+        does not know (it was lost, or an older one was put back) are deleted if their
+        file is there to be read again; otherwise their rows are kept, their rollups
+        made anew, and the file is entered as loaded.
+        """
+        with self.writing():
+            open_ = self.log.unfinished()
+            self._drop_months([e for e in open_ if e.state == REMOVING_MONTH])
+            again = [e for e in open_ if e.state == LOADING]
+            files.delete(self.spark, f"{self.root}/staging")
+            found = sorted({partition_of(f)["load"] for p in self._paths for f in self._folders(p)})
+            stray = self._stray(found)
+            names = self._names_of(stray, on_disk, [e.load for e in open_ if e.state != REMOVING_MONTH])
+            kept = {n: load for n, load, there in names if not there}
+            back = sorted({n for n, _, there in names if there} | {e.filename for e in again})
+            if stray:
+                self._delete_loads(set(stray) - set(kept.values()))
+            if kept:
+                self._rebuild_rollups(list(kept.values()))
+            ended = [FileEntry(e.filename, GONE) for e in open_ if e.filename not in kept]
+            entered = [FileEntry(n, LOADED, load) for n, load in sorted(kept.items())]
+            if open_ or kept:
+                self.log.change(ended + entered, under_way=False)
+                self._done("recovered")
+        return back
+
+    def _stray(self, found: list[str]) -> list[str]:
+        """Loads that have folders but are not those of loaded files."""
+        if not found:
+            return []
+        loaded = self.log.table().where(F.col("state") == LOADED).select("load")
+        have = self.spark.createDataFrame([(f,) for f in found], "load string")
+        return [r["load"] for r in have.join(loaded, "load", "left_anti").collect()]
+
+    def _names_of(self, stray: list[str], on_disk: DataFrame, known: list[str]) -> list[tuple[str, str, bool]]:
+        """File name, load, and whether the file can be read again, of stray loads that
+        no open step explains. Reads one narrow column of those loads' folders."""
+        asked = set(stray) - set(known)
+        paths = [files.literal(f) for f in self._folders(self.table_path) if partition_of(f)["load"] in asked]
+        if not paths:
+            return []
+        rows = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.table_path).parquet(*paths)
+        loaded = self.log.table().where(F.col("state") == LOADED).select("filename")
+        there = on_disk.select("filename").union(loaded).distinct().withColumn("there", F.lit(True))
+        names = rows.select(F.col(SOURCE_FILE).alias("filename"), LOAD).distinct().join(there, "filename", "left")
+        return [(r["filename"], r[LOAD], bool(r["there"])) for r in names.orderBy(LOAD).collect()]
+
+    def _rebuild_rollups(self, loads: list[str]) -> None:
+        wanted = set(loads)
+        for path in (self.rollup_path, self.segment_rollup_path):
+            for f in self._folders(path):
+                if partition_of(f)["load"] in wanted:
+                    files.delete(self.spark, f)
+        paths = [files.literal(f) for f in self._folders(self.table_path) if partition_of(f)["load"] in wanted]
+        self._write_rollups(self.spark.read.schema(STORED_SCHEMA).option("basePath", self.table_path).parquet(*paths))

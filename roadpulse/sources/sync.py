@@ -1,14 +1,15 @@
 """Keep the store in step with the source folder.
 
-One run: finish what an earlier run left half done (``TrafficStore.recover``),
-list the CSV files (S2), read the manifest (S4), find removed files (S16) and
+One run: hold the store for writing, list the CSV files (S2), bring rows and manifest in
+line after whatever an earlier run left (``TrafficStore.recover``), read the manifest (S4), find removed files (S16) and
 delete their month's rows (S7, by the ``YYYYMM`` in the name) and manifest
 entries (S8), then find new files (S15), load them (S1, S5) and record them
 (S6). Removals come before additions. Only file names are compared; size,
 content and modification time are ignored.
 
 Every step is recorded in the manifest before it touches rows and marked done
-after its rows and rollups (see store.py).
+after its rows and rollups (see store.py). A second run on the same store raises
+``StoreBusy``; ``take_over`` is for the store that a lost run still holds.
 """
 
 from __future__ import annotations
@@ -74,7 +75,12 @@ class SyncResult:
 
 
 def sync(
-    spark: SparkSession, src_dir: str, store: TrafficStore, match: str = "month", rebalance: bool = False
+    spark: SparkSession,
+    src_dir: str,
+    store: TrafficStore,
+    match: str = "month",
+    rebalance: bool = False,
+    take_over: bool = False,
 ) -> SyncResult:
     """Bring ``store`` in line with the ``*.csv`` files directly in ``src_dir``.
 
@@ -86,32 +92,33 @@ def sync(
     whose files are not one month each (see ``TrafficStore.load``).
 
     Raises ``FileNotFoundError`` when the folder has no CSV file and nothing
-    was loaded before, and ``ValueError`` for file names that cannot be read.
+    was loaded before.
     """
     if match not in ("month", "file"):
         raise ValueError("match must be 'month' or 'file'")
-    disk = list_csv_files(spark, src_dir)
-    store.ensure()
-    result = SyncResult(repaired=store.recover())
-    before = store.manifest()
-    # File names (one row per new or removed file) come to the driver because
-    # new files are handed to a read and removed months to a folder each.
-    gone = removed_files(before, disk).select("filename")
-    gone = {r["filename"]: (r["year"], r["month"]) for r in with_name_month(gone).collect()}
-    fresh = sorted((r["filename"], r["path"]) for r in new_files(disk, before).collect())
-    # With an empty manifest every file on disk is new, so no new file means
-    # no file at all.
-    if not fresh and not gone and before.isEmpty():
-        raise FileNotFoundError(f"no CSV files in '{src_dir}'")
-
-    if gone:
-        result.removed = sorted(gone)
-        if match == "month":
-            named = {n: [] if None in m else [m] for n, m in gone.items()}
-            result.dropped_months = store.remove_months(named)
-        else:
-            result.dropped_months = store.remove_files(result.removed)
-    if fresh:
-        store.load(fresh, rebalance=rebalance)
-        result.loaded = [n for n, _ in fresh]
+    with store.writing(take_over):
+        disk = list_csv_files(spark, src_dir)
+        store.ensure()
+        result = SyncResult(repaired=store.recover(disk))
+        before = store.manifest()
+        # File names (one row per new or removed file) come to the driver because
+        # new files are handed to a read and removed months to a folder each.
+        gone = removed_files(before, disk).select("filename")
+        gone = {r["filename"]: (r["year"], r["month"]) for r in with_name_month(gone).collect()}
+        fresh = sorted((r["filename"], r["path"]) for r in new_files(disk, before).collect())
+        # With an empty manifest every file on disk is new, so no new file means
+        # no file at all.
+        if not fresh and not gone and before.isEmpty():
+            raise FileNotFoundError(f"no CSV files in '{src_dir}'")
+
+        if gone:
+            result.removed = sorted(gone)
+            if match == "month":
+                named = {n: [] if None in m else [m] for n, m in gone.items()}
+                result.dropped_months = store.remove_months(named)
+            else:
+                result.dropped_months = store.remove_files(result.removed)
+        if fresh:
+            store.load(fresh, rebalance=rebalance)
+            result.loaded = [n for n, _ in fresh]
     return result

@@ -7,6 +7,13 @@ and rollups. A batch that is tried again after a lost driver finds its files in
 the manifest and passes them over, or takes a half load back first, so no file
 is counted twice. Runs with ``trigger(availableNow=True)`` and stops.
 
+The checkpoint and the manifest are two records of what was picked up, and only the
+manifest says what the store holds. So a run begins by bringing rows and manifest in
+line (``TrafficStore.recover``), and ends by loading every file on disk that the manifest
+still lacks although the checkpoint has it as seen: files of rows that were taken back
+(a lost or older manifest), files that ``sync`` removed and that came back under their
+name, and names the file source passes over.
+
 This path covers additions only; removed files are handled by ``sync``.
 """
 
@@ -38,43 +45,55 @@ def source_stream(spark: SparkSession, src_dir: str) -> DataFrame:
     return listing.select(F.col("path"), file_name().alias("filename"))
 
 
+def missing(store: TrafficStore, names: DataFrame, src_dir: str) -> list[tuple[str, str]]:
+    """Of these files (``filename``), those on disk that the manifest lacks: name and
+    path as they are on disk (the file source gives them percent-encoded)."""
+    lacking = new_files(names.select("filename").distinct(), store.manifest())
+    on_disk = list_csv_files(store.spark, src_dir)
+    return sorted((r["filename"], r["path"]) for r in lacking.join(on_disk, "filename").collect())
+
+
 def load_batch(store: TrafficStore, src_dir: str, batch: DataFrame) -> int:
     """Load the files of a batch (``filename``) that the store does not have yet and
     that are still on disk; returns their number."""
-    store.recover()
-    names = new_files(batch.select("filename").distinct(), store.manifest())
-    # Paths as they are on disk; the source gives them percent-encoded.
-    on_disk = list_csv_files(store.spark, src_dir)
-    fresh = sorted((r["filename"], r["path"]) for r in names.join(on_disk, "filename").collect())
+    fresh = missing(store, batch, src_dir)
     if fresh:
         store.load(fresh)
     return len(fresh)
 
 
 def pick_up(
-    spark: SparkSession, src_dir: str, store: TrafficStore, checkpoint_dir: str, timeout_s: float | None = None
+    spark: SparkSession,
+    src_dir: str,
+    store: TrafficStore,
+    checkpoint_dir: str,
+    timeout_s: float | None = None,
+    take_over: bool = False,
 ) -> int:
-    """Load the files that are new since the last run into ``store``; returns the
-    number of micro-batches run. Raises ``TimeoutError`` when they are not done
-    within ``timeout_s``; a later run goes on from there."""
-    store.ensure()
-    list_csv_files(spark, src_dir)  # names that cannot be read raise here
+    """Load the files that are new since the last run into ``store``, then those on disk
+    that it lacks for another reason; returns the number of micro-batches run. Raises
+    ``TimeoutError`` when they are not done within ``timeout_s`` (a later run goes on from
+    there) and ``StoreBusy`` while another run writes to the store."""
     batches = []
 
     def run(batch: DataFrame, number: int) -> None:
         load_batch(store, src_dir, batch)
         batches.append(number)
 
-    q = (
-        source_stream(spark, src_dir)
-        .writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .start()
-    )
-    if q.awaitTermination(timeout_s) is False:
-        q.stop()
-        raise TimeoutError(f"files of '{src_dir}' not picked up within {timeout_s} s")
-    if q.exception():
-        raise q.exception()
+    with store.writing(take_over):
+        store.ensure()
+        store.recover(list_csv_files(spark, src_dir))
+        q = (
+            source_stream(spark, src_dir)
+            .writeStream.foreachBatch(run)
+            .option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True)
+            .start()
+        )
+        if q.awaitTermination(timeout_s) is False:
+            q.stop()
+            raise TimeoutError(f"files of '{src_dir}' not picked up within {timeout_s} s")
+        if q.exception():
+            raise q.exception()
+        load_batch(store, src_dir, list_csv_files(spark, src_dir))
     return len(batches)

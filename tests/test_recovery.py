@@ -8,6 +8,7 @@ import pytest
 from fixtures import month_rows, write_csv
 from test_sync import assert_rollup_consistent, manifest_of
 
+from roadpulse.sources.csv_source import list_csv_files
 from roadpulse.sources.store import TrafficStore
 from roadpulse.sources.sync import sync
 
@@ -110,10 +111,10 @@ def test_repair(spark, tmp_path):
     def prepare(st):
         st.ensure()
         half = Stopping(spark, st.root)
-        half.stop = 5  # rows moved, not marked loaded
+        half.stop = 2  # rows written, no rollups, not marked loaded
         with pytest.raises(Stopped, match="rows"):
             sync(spark, str(src), half)
 
-    for st in steps(spark, tmp_path, prepare, lambda st: st.recover()):
+    for st in steps(spark, tmp_path, prepare, lambda st: st.recover(list_csv_files(spark, str(src)))):
         sync(spark, str(src), st)
         assert_whole(st, [(2024, 1, 9), (2024, 2, 3), (2024, 3, 2), (None, None, 1)], ["a_202401.csv", "b_202401.csv", "c_202403.csv"])

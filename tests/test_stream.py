@@ -1,3 +1,6 @@
+import os
+import shutil
+
 import pytest
 from fixtures import HEADER, month_rows, write_csv
 from test_sync import assert_rollup_consistent, manifest_of, months_in
@@ -84,8 +87,90 @@ def test_timeout_is_an_error(spark, place, monkeypatch):
     assert months_in(st) == [(2024, 1, 2)]
 
 
-def test_names_that_cannot_be_read_are_an_error(spark, place):
+def test_hidden_names_are_picked_up(spark, place):
     src, st, ck = place
     write_csv(src / "_traffic_202401.csv", month_rows(2024, 1, 2))
-    with pytest.raises(ValueError, match="_traffic_202401.csv"):
-        pick_up(spark, str(src), st, ck)
+    pick_up(spark, str(src), st, ck)
+    write_csv(src / "traffic_202402.csv", month_rows(2024, 2, 3))
+    pick_up(spark, str(src), st, ck)
+    assert months_in(st) == [(2024, 1, 2), (2024, 2, 3)]
+
+
+def three(src, sizes=(4, 5, 3)):
+    for m, n in enumerate(sizes, 1):
+        write_csv(src / f"traffic_2024{m:02d}.csv", month_rows(2024, m, n))
+
+
+def whole(st, sizes=(4, 5, 3)):
+    assert months_in(st) == [(2024, m, n) for m, n in enumerate(sizes, 1)]
+    assert manifest_of(st) == [f"traffic_2024{m:02d}.csv" for m in range(1, len(sizes) + 1)]
+    assert_rollup_consistent(st)
+
+
+def test_lost_manifest(spark, place):
+    """The checkpoint has two files as seen; the manifest is gone; a third comes."""
+    src, st, ck = place
+    three(src, (4, 5))
+    pick_up(spark, str(src), st, ck)
+    shutil.rmtree(st.log.path)
+    three(src)
+    pick_up(spark, str(src), TrafficStore(spark, st.root), ck)
+    whole(st)
+    assert pick_up(spark, str(src), st, ck) == 0
+    whole(st)
+
+
+def test_lost_manifest_and_no_new_file(spark, place):
+    src, st, ck = place
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    shutil.rmtree(st.log.path)
+    pick_up(spark, str(src), TrafficStore(spark, st.root), ck)
+    whole(st)
+
+
+def test_lost_manifest_keeps_rows_without_a_file(spark, place):
+    """Rows that cannot be read again stay, and count as loaded."""
+    src, st, ck = place
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    shutil.rmtree(st.log.path)
+    shutil.rmtree(st.rollup_path)
+    os.remove(src / "traffic_202402.csv")
+    pick_up(spark, str(src), TrafficStore(spark, st.root), ck)
+    whole(st)
+
+
+def test_older_manifest(spark, place):
+    """A manifest put back from before the last load: its rows count once."""
+    src, st, ck = place
+    three(src, (4, 5))
+    pick_up(spark, str(src), st, ck)
+    shutil.copytree(st.log.path, f"{st.root}-old")
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    shutil.rmtree(st.log.path)
+    shutil.copytree(f"{st.root}-old", st.log.path)
+    pick_up(spark, str(src), TrafficStore(spark, st.root), ck)
+    whole(st)
+
+
+@pytest.mark.parametrize("match", ["month", "file"])
+def test_file_removed_and_back(spark, place, match):
+    src, st, ck = place
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    os.remove(src / "traffic_202401.csv")
+    sync(spark, str(src), st, match=match)
+    assert months_in(st) == [(2024, 2, 5), (2024, 3, 3)]
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    whole(st)
+
+
+def test_lost_checkpoint(spark, place, tmp_path):
+    src, st, ck = place
+    three(src)
+    pick_up(spark, str(src), st, ck)
+    pick_up(spark, str(src), st, str(tmp_path / "another"))
+    whole(st)

@@ -275,17 +275,26 @@ def test_file_names_as_they_are_on_disk(spark, tmp_path):
     assert_rollup_consistent(st)
 
 
-@pytest.mark.parametrize("name", ["_a_202401.csv", ".a_202401.csv"])
-def test_names_that_cannot_be_read_are_an_error(spark, tmp_path, name):
+@pytest.mark.parametrize("match", ["month", "file"])
+def test_hidden_names_load_and_go(spark, tmp_path, match):
+    """Names that Spark's readers pass over are files like any other."""
     src = tmp_path / "data"
     src.mkdir()
     st = store_of(spark, str(tmp_path / "store"))
-    write_csv(src / "traffic_202402.csv", month_rows(2024, 2, 2))
-    write_csv(src / name, month_rows(2024, 1, 2))
-    with pytest.raises(ValueError, match=name):
-        sync(spark, str(src), st)
-    os.remove(src / name)
-    assert sync(spark, str(src), st).loaded == ["traffic_202402.csv"]
+    names = [".b_202402.csv", "._x 202404.csv", "_a_202401.csv", "traffic_202403.csv"]
+    for name in names:
+        month = int(name.split(".csv")[0][-2:])
+        write_csv(src / name, month_rows(2024, month, month))
+    assert sync(spark, str(src), st).loaded == sorted(names)
+    assert months_in(st) == [(2024, m, m) for m in range(1, 5)]
+    assert {r["source_file"] for r in st.stored().collect()} == set(names)
+    assert not os.path.exists(tmp_path / "store" / "staging") or not os.listdir(tmp_path / "store" / "staging")
+    os.remove(src / "_a_202401.csv")
+    os.remove(src / ".b_202402.csv")
+    r = sync(spark, str(src), st, match=match)
+    assert r.removed == [".b_202402.csv", "_a_202401.csv"] and r.dropped_months == [(2024, 1), (2024, 2)]
+    assert months_in(st) == [(2024, 3, 3), (2024, 4, 4)]
+    assert_rollup_consistent(st)
 
 
 def test_delimiters_of_one_folder(spark, tmp_path):
