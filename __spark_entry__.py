@@ -308,6 +308,23 @@ SELECT format('{{:,}}', total_rows) AS total_rows_text,
 FROM ({_kpis(rng, t)}) k""",
     }
     sql.update(scenarios.oracle())
+    # The order of a report as a column.
+    full = {
+        "monthly_trend": sql["monthly_trend"].replace(rng, FULL),
+        "weekday_hour": _weekday_hour(FULL, t),
+        "hour_of_day": sql["hour_of_day"].replace(rng, FULL),
+        "speed_histogram": _histogram(FULL),
+        "monthly_vehicles": sql["monthly_vehicles"].replace(rng, FULL),
+        "hotspots": _segments(FULL, t, 100, 50),
+        "map_points": _segments(FULL, t, 50, 500),
+    }
+    for name, order in scenarios.ORDERS.items():
+        columns = "lat, lon, stau_pct, avg_speed, messungen" if name == "map_points" else "*"
+        sql[f"ordered_{name}"] = f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS position FROM ({full[name]}) r"
+    # What a picked date stands for: that day, or (in a sequence) all days from it on.
+    middle = "(SELECT MIN(DATE_TIME)::DATE + ((MAX(DATE_TIME)::DATE - MIN(DATE_TIME)::DATE) // 2)::INT FROM traffic)"
+    sql["kpis_one_day"] = _kpis(f"DATE_TIME::DATE = {middle}", t)
+    sql["kpis_from_a_day"] = _kpis(f"DATE_TIME::DATE >= {middle}", t)
     # The views open on all rows that stay after the removal.
     kept = f"year(DATE_TIME) <> {scenarios.REMOVED_YEAR}"
     sql["view_kpis_after_removal"] = _kpis(kept, scenarios.VIEW_THRESHOLD)

@@ -26,6 +26,30 @@ def round_half_away(col: Column | str, digits: int) -> Column:
     return F.when(scaled < 0, -rounded).otherwise(rounded) / scale
 
 
+# A coordinate in two whole parts: ten-thousandths of a degree, and hundred-billionths
+# of what these leave. Sums of whole numbers do not depend on the order of the rows, and
+# both parts of a third of 10^12 rows fit 64 bits. Values beyond ``WIDEST`` (no degrees) and
+# those that are no numbers are summed as they are.
+COARSE, FINE, WIDEST = 1e4, 1e11, 1e3
+PARTS = ("coarse", "fine", "wide")
+
+
+def whole_parts(col: Column | str) -> list[Column]:
+    """``PARTS`` of a double: two longs, and the double itself if it is not of degrees."""
+    c = F.col(col) if isinstance(col, str) else col
+    inside = F.abs(c) <= F.lit(WIDEST)
+    coarse = F.rint(c * F.lit(COARSE))
+    fine = F.rint((c - coarse / F.lit(COARSE)) * F.lit(FINE))
+    return [F.when(inside, coarse.cast("long")), F.when(inside, fine.cast("long")), F.when(~inside, c)]
+
+
+def mean_of_parts(coarse: Column, fine: Column, wide: Column, n: Column) -> Column:
+    """Mean from the sums of the parts; NULL for no values."""
+    zero = F.lit(0)
+    total = F.coalesce(coarse, zero) / F.lit(COARSE) + F.coalesce(fine, zero) / F.lit(FINE) + F.coalesce(wide, F.lit(0.0))
+    return F.try_divide(total, n)
+
+
 def speed_bin(col: Column | str, width: int = 10) -> Column:
     """Lower bound of the ``width`` km/h bin as a double (``floor(v / w) * w``)."""
     c = F.col(col) if isinstance(col, str) else col

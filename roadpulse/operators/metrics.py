@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pct, round_half_away
+from ..functions.numeric import mean_of_parts, pct, round_half_away, whole_parts
 from ..schema import AVERAGE_SPEED
 
 
@@ -28,5 +28,10 @@ def rounded_avg(col: str, digits: int) -> Column:
     return round_half_away(F.avg(col), digits)
 
 
+def rounded_degrees(col: str, digits: int) -> Column:
+    """Mean of a coordinate, the same for any order and partitioning of the rows."""
+    return round_half_away(mean_of_parts(*[F.sum(p) for p in whole_parts(col)], F.count(col)), digits)
+
+
 def rounded_share(threshold: int, digits: int = 1) -> Column:
     return round_half_away(congested_share(threshold), digits)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import speed_bin
 from ..schema import AVERAGE_SPEED, DATE_TIME, GEOHASH, LATITUDE, LONGITUDE, NUMBER_OF_VEHICLES
 from .filters import DateRange
-from .metrics import rounded_avg, rounded_share, row_count
+from .metrics import rounded_avg, rounded_degrees, rounded_share, row_count
 
 HOTSPOT_MIN_ROWS = 100
 HOTSPOT_LIMIT = 50
@@ -112,8 +112,8 @@ def segment_stats(traffic: DataFrame, rng: DateRange | None, threshold: int) ->
         in_range(traffic, rng)
         .groupBy(GEOHASH)
         .agg(
-            rounded_avg(LATITUDE, 5).alias("lat"),
-            rounded_avg(LONGITUDE, 5).alias("lon"),
+            rounded_degrees(LATITUDE, 5).alias("lat"),
+            rounded_degrees(LONGITUDE, 5).alias("lon"),
             row_count().alias("messungen"),
             rounded_avg(AVERAGE_SPEED, 1).alias("avg_speed"),
             rounded_share(threshold).alias("stau_pct"),

@@ -7,13 +7,17 @@ the data, so they grow with it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import RAW_COLUMNS
+from ..operators import reports
+from ..operators.filters import check_threshold, normalize_range
+from ..schema import AVERAGE_SPEED, DATE_TIME, LATITUDE, LONGITUDE, RAW_COLUMNS
 from ..session import configure, scratch_dir
 from ..sources import files
 from ..sources.fixture import traffic_fixture
+from ..sources.manifest import StoreBusy
 from ..sources.store import TrafficStore
 from ..sources.sync import months_of, name_year, new_files, removed_files, sync, without_months
 from ..streaming.pickup import pick_up
@@ -55,31 +59,55 @@ def removed_files_scenario(traffic: DataFrame) -> DataFrame:
     return without_months(traffic, months_of(gone))
 
 
-def write_source_csv(traffic: DataFrame, folder: str) -> None:
+def write_source_csv(traffic: DataFrame, folder: str, lead: str = "", **options) -> None:
     """The source columns as headed CSV files named by their month, like the real
-    source's (``traffic_density_YYYYMM_<k>.csv``): a rebalance shuffle by month
-    (a large month becomes several files), then the files are moved to their
+    source's (``traffic_density_YYYYMM_<k>.csv``, after ``lead``): a rebalance shuffle by
+    month (a large month becomes several files), then the files are moved to their
     names."""
     spark = traffic.sparkSession
     staged = f"{folder}-staged"
     ym = F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0"))
     rows = traffic.select(*RAW_COLUMNS, ym.alias("ym")).hint("rebalance", "ym")
-    rows.write.option("header", True).partitionBy("ym").csv(staged)
+    rows.write.option("header", True).options(**options).partitionBy("ym").csv(staged)
     for month in files.entries(spark, staged):
         parts = [e for e in files.entries(spark, month.path) if not files.hidden(e.name)] if month.is_dir else []
         for k, part in enumerate(parts):
-            files.move(spark, part.path, folder, f"traffic_density_{month.name[3:]}_{k:05d}.csv")
+            files.move(spark, part.path, folder, f"{lead}traffic_density_{month.name[3:]}_{k:05d}.csv")
     files.delete(spark, staged)
 
 
+def write_mixed_csv(traffic: DataFrame, folder: str) -> None:
+    """The measurements as files of several forms in one folder, by year: ISO dates and
+    commas; day first, semicolons and decimal commas under names that begin with ``_``;
+    year first with slashes and bars under names that begin with ``.``."""
+    third = F.col("year") % 3
+    write_source_csv(traffic.where(third == 0), folder)
+    texts = {c: F.translate(F.col(c).cast("string"), ".", ",") for c in (LATITUDE, LONGITUDE)}
+    day_first = traffic.where(third == 1).withColumns({**texts, DATE_TIME: F.date_format(DATE_TIME, "dd.MM.yyyy HH:mm")})
+    write_source_csv(day_first, folder, "_", sep=";")
+    year_first = traffic.where(third == 2).withColumn(DATE_TIME, F.date_format(DATE_TIME, "yyyy/MM/dd HH:mm:ss"))
+    write_source_csv(year_first, folder, ".", sep="|")
+
+
+def _of_year(spark: SparkSession, folder: str, chosen) -> list[files.Entry]:
+    head = "traffic_density_"
+    return [e for e in files.entries(spark, folder) if e.name.startswith(head) and chosen(int(e.name[len(head) :][:4]))]
+
+
 def delete_source_files(spark: SparkSession, folder: str, year: int) -> int:
     """Delete the source files of a year; returns their number."""
-    gone = [e for e in files.entries(spark, folder) if e.name.startswith(f"traffic_density_{year:04d}")]
+    gone = _of_year(spark, folder, lambda y: y == year)
     for e in gone:
         files.delete(spark, e.path)
     return len(gone)
 
 
+def set_aside(spark: SparkSession, folder: str, other: str, chosen) -> None:
+    """Move the source files of the chosen years to another folder."""
+    for e in _of_year(spark, folder, chosen):
+        files.move(spark, e.path, other)
+
+
 def _loaded_store(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, TrafficStore]:
     """A store loaded by ``sync`` from CSV files of the whole table."""
     configure(spark)
@@ -127,6 +155,136 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table()
 
 
+def _source(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, TrafficStore]:
+    """A scratch folder, the source files of the whole table in it, and a store."""
+    configure(spark)
+    base = scratch_dir(spark, name)
+    write_source_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
+    return base, f"{base}/data", TrafficStore(spark, f"{base}/store")
+
+
+def stream_after_lost_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files up to a year are picked up, the manifest is lost, the others come."""
+    base, folder, store = _source(spark, sf_dir, "lost")
+    set_aside(spark, folder, f"{base}/later", lambda y: y > LOADED_UNTIL_YEAR)
+    pick_up(spark, folder, store, f"{base}/checkpoint")
+    files.delete(spark, store.log.path)
+    set_aside(spark, f"{base}/later", folder, lambda y: True)
+    pick_up(spark, folder, store, f"{base}/checkpoint")
+    return store.table()
+
+
+def stream_after_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files are picked up, those of a year removed by ``sync``, then put back."""
+    base, folder, store = _source(spark, sf_dir, "return")
+    pick_up(spark, folder, store, f"{base}/checkpoint")
+    set_aside(spark, folder, f"{base}/aside", lambda y: y == REMOVED_YEAR)
+    sync(spark, folder, store)
+    set_aside(spark, f"{base}/aside", folder, lambda y: True)
+    pick_up(spark, folder, store, f"{base}/checkpoint")
+    return store.table()
+
+
+def ingest_mixed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    base = scratch_dir(spark, "forms")
+    write_mixed_csv(traffic_fixture(spark, sf_dir), f"{base}/data")
+    store = TrafficStore(spark, f"{base}/store")
+    sync(spark, f"{base}/data", store)
+    return store.table()
+
+
+def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store as a table of the catalog, after a removal, asked in SQL."""
+    base, folder, store = _source(spark, sf_dir, "catalog")
+    store.table_name = "traffic_" + base.rsplit("-", 1)[-1]
+    sync(spark, folder, store)
+    delete_source_files(spark, folder, REMOVED_YEAR)
+    sync(spark, folder, store, match="file")
+    return spark.sql(
+        f"SELECT year, month, count(*) AS n, sum(NUMBER_OF_VEHICLES) AS vehicles, max(AVERAGE_SPEED) AS fastest "
+        f"FROM {store.table_name} WHERE year <= {LOADED_UNTIL_YEAR} GROUP BY year, month"
+    )
+
+
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second sync while the first holds the store raises; the table is whole."""
+    base, folder, store = _source(spark, sf_dir, "writers")
+    with store.writing():
+        try:
+            sync(spark, folder, TrafficStore(spark, store.root))
+        except StoreBusy:
+            sync(spark, folder, store)
+    return store.table()
+
+
+def empty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9: an empty folder is an error only before anything was loaded."""
+    base, folder, store = _source(spark, sf_dir, "empty")
+
+    def outcome(case: str, source: str) -> tuple[str, bool, int]:
+        try:
+            sync(spark, source, store)
+        except FileNotFoundError:
+            return case, True, 0
+        return case, False, store.table().count()
+
+    made = [outcome("nothing loaded yet", f"{base}/none"), outcome("files loaded", folder), outcome("all files removed", f"{base}/none")]
+    return spark.createDataFrame(made, "case string, raised boolean, n long")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows of an ordered result as they come out of it (through Arrow), numbered."""
+    result = df.toArrow()
+    position = pa.array(range(1, len(result) + 1), pa.int64())
+    return df.sparkSession.createDataFrame(result.append_column("position", position))
+
+
+def ordered(name: str):
+    """A report with its order as a column."""
+    reports_of = {
+        "monthly_trend": lambda t: reports.monthly_trend(t, None, VIEW_THRESHOLD),
+        "weekday_hour": lambda t: reports.weekday_hour(t, None, VIEW_THRESHOLD),
+        "hour_of_day": lambda t: reports.hour_of_day(t, None, VIEW_THRESHOLD),
+        "speed_histogram": lambda t: reports.speed_histogram(t, None),
+        "monthly_vehicles": lambda t: reports.monthly_vehicles(t, None),
+        "hotspots": lambda t: reports.hotspots(t, None, VIEW_THRESHOLD),
+        "map_points": lambda t: reports.map_points(t, None, VIEW_THRESHOLD),
+    }
+    return lambda t: in_order(reports_of[name](t))
+
+
+def picked(pick):
+    """KPIs of the range that a picked date stands for (F2)."""
+
+    def run(traffic: DataFrame) -> DataFrame:
+        first = reports.date_bounds(traffic).first()
+        bounds = (first["d_min"], first["d_max"])
+        return reports.kpis(traffic, normalize_range(pick(*bounds), bounds), VIEW_THRESHOLD)
+
+    return run
+
+
+PICKS = {
+    "kpis_one_day": lambda lo, hi: lo + (hi - lo) // 2,
+    "kpis_from_a_day": lambda lo, hi: (lo + (hi - lo) // 2,),
+}
+
+
+def threshold_domain(traffic: DataFrame) -> DataFrame:
+    """which of the speeds in the data may be asked for as a threshold."""
+
+    def accepted(speed: int) -> bool:
+        try:
+            return check_threshold(speed) == speed
+        except ValueError:
+            return False
+
+    # Speeds are whole km/h: a few hundred values at most.
+    speeds = [r[0] for r in traffic.select(AVERAGE_SPEED).where(f"{AVERAGE_SPEED} IS NOT NULL").distinct().collect()]
+    return traffic.sparkSession.createDataFrame([(s, accepted(s)) for s in speeds], "threshold int, accepted boolean")
+
+
 def via_rollup(traffic: DataFrame, rng, threshold: int, figure: str) -> DataFrame:
     """A dashboard figure computed from the rollup of the measurements."""
     from .dashboard import Page
@@ -157,10 +315,26 @@ def _on_fixture(fn):
     return run
 
 
+# Orders of the reports (O1 to O4) in SQL.
+ORDERS = {
+    "monthly_trend": "month_ts",
+    "weekday_hour": "dow, hour",
+    "hour_of_day": "hour",
+    "speed_histogram": "speed_bin NULLS LAST",
+    "monthly_vehicles": "month_ts",
+    "hotspots": "stau_pct DESC NULLS LAST, GEOHASH NULLS LAST",
+    "map_points": "stau_pct DESC NULLS LAST, GEOHASH NULLS LAST",
+}
+WHOLE_TABLE = ("ingest_roundtrip", "ingest_mixed_forms", "stream_roundtrip", "stream_after_lost_manifest", "stream_after_return", "sync_two_writers")
+
+
 def registered():
     return {
         "sync_new_files": _on_fixture(new_files_scenario),
         "sync_removed_files": _on_fixture(removed_files_scenario),
+        **{f"ordered_{n}": _on_fixture(ordered(n)) for n in ORDERS},
+        **{n: _on_fixture(picked(p)) for n, p in PICKS.items()},
+        "threshold_domain": _on_fixture(threshold_domain),
         **loads(),
     }
 
@@ -169,7 +343,13 @@ def loads():
     """Scenarios that load a store of their own."""
     return {
         "ingest_roundtrip": ingest_roundtrip,
+        "ingest_mixed_forms": ingest_mixed_forms,
         "stream_roundtrip": stream_roundtrip,
+        "stream_after_lost_manifest": stream_after_lost_manifest,
+        "stream_after_return": stream_after_return,
+        "catalog_table": catalog_table,
+        "sync_two_writers": two_writers,
+        "sync_empty_source": empty_sources,
         "sync_removal_store": removal_store("month"),
         "sync_removal_store_by_file": removal_store("file"),
         **{f"view_{f}_after_removal": view_after_removal(f) for f in VIEW_FIGURES},
@@ -198,8 +378,17 @@ SELECT * FROM traffic t WHERE NOT EXISTS (SELECT 1 FROM months m WHERE m.year =
     return {
         "sync_new_files": new_sql,
         "sync_removed_files": removed_sql,
-        "ingest_roundtrip": "SELECT * FROM traffic",
-        "stream_roundtrip": "SELECT * FROM traffic",
+        **{n: "SELECT * FROM traffic" for n in WHOLE_TABLE},
+        "catalog_table": f"""
+SELECT year, month, COUNT(*) AS n, CAST(SUM(NUMBER_OF_VEHICLES) AS BIGINT) AS vehicles, MAX(AVERAGE_SPEED) AS fastest
+FROM traffic WHERE year <= {LOADED_UNTIL_YEAR} AND year <> {REMOVED_YEAR} GROUP BY year, month""",
+        "sync_empty_source": """
+SELECT 'nothing loaded yet' AS "case", true AS raised, 0::BIGINT AS n
+UNION ALL SELECT 'files loaded', false, COUNT(*) FROM traffic
+UNION ALL SELECT 'all files removed', false, 0""",
+        "threshold_domain": f"""
+SELECT DISTINCT AVERAGE_SPEED AS threshold, AVERAGE_SPEED BETWEEN 5 AND 60 AND AVERAGE_SPEED % 5 = 0 AS accepted
+FROM traffic WHERE AVERAGE_SPEED IS NOT NULL""",
         "sync_removal_store": removed_sql,
         "sync_removal_store_by_file": removed_sql,
     }

@@ -1,7 +1,7 @@
 """A per-segment, per-month rollup behind the hotspot list and the map.
 
 Key: (segment, year, month). Measures: row count, counts and sums of speed,
-latitude and longitude, and for every threshold of the dashboard's domain
+latitude and longitude (in whole parts), and for every threshold of the dashboard's domain
 (5..60 km/h in steps of 5) the number of rows at or below it. A month's rollup
 has one row per segment and load, however many measurements the segment has
 in that month (hourly data: about 720 per segment and month).
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import pct, round_half_away
+from ..functions.numeric import PARTS, mean_of_parts, pct, round_half_away, whole_parts
 from ..operators.filters import THRESHOLD_MAX, THRESHOLD_MIN, THRESHOLD_STEP, DateRange
 from ..operators.reports import in_range
 from ..schema import AVERAGE_SPEED, GEOHASH, LATITUDE, LONGITUDE, PARTITION_COLUMNS
@@ -33,6 +33,15 @@ from ..schema import AVERAGE_SPEED, GEOHASH, LATITUDE, LONGITUDE, PARTITION_COLU
 THRESHOLDS = list(range(THRESHOLD_MIN, THRESHOLD_MAX + 1, THRESHOLD_STEP))
 
 
+# The coordinates, by the name of their measures: a count and the sums of the parts that
+# make a mean independent of the order of rows (``functions.numeric.whole_parts``).
+SIDES = {"lat": LATITUDE, "lon": LONGITUDE}
+
+
+def _parts(side: str) -> list[str]:
+    return [f"{side}_{p}" for p in PARTS]
+
+
 def _le(t: int) -> str:
     return f"le_{t}"
 
@@ -43,17 +52,18 @@ SEGMENT_ROLLUP_SCHEMA = T.StructType(
         T.StructField("n", T.LongType(), True),
         T.StructField("n_speed", T.LongType(), True),
         T.StructField("sum_speed", T.LongType(), True),
-        T.StructField("n_lat", T.LongType(), True),
-        T.StructField("sum_lat", T.DoubleType(), True),
-        T.StructField("n_lon", T.LongType(), True),
-        T.StructField("sum_lon", T.DoubleType(), True),
+    ]
+    + [
+        T.StructField(name, T.DoubleType() if name.endswith("wide") else T.LongType(), True)
+        for side in SIDES
+        for name in (f"n_{side}", *_parts(side))
     ]
     + [T.StructField(_le(t), T.LongType(), True) for t in THRESHOLDS]
     + [T.StructField("year", T.IntegerType(), True), T.StructField("month", T.IntegerType(), True)]
 )
 SEGMENT_ROLLUP_COLUMNS = [f.name for f in SEGMENT_ROLLUP_SCHEMA.fields]
 # Measures every figure needs, whatever the threshold.
-BASE_MEASURES = ["n", "n_speed", "sum_speed", "n_lat", "sum_lat", "n_lon", "sum_lon"]
+BASE_MEASURES = ["n", "n_speed", "sum_speed"] + [c for side in SIDES for c in (f"n_{side}", *_parts(side))]
 
 
 def _measures() -> list[Column]:
@@ -63,10 +73,11 @@ def _measures() -> list[Column]:
         F.count(F.lit(1)).alias("n"),
         F.count(speed).alias("n_speed"),
         F.sum(speed.cast("long")).alias("sum_speed"),
-        F.count(LATITUDE).alias("n_lat"),
-        F.sum(LATITUDE).alias("sum_lat"),
-        F.count(LONGITUDE).alias("n_lon"),
-        F.sum(LONGITUDE).alias("sum_lon"),
+        *[
+            m
+            for side, c in SIDES.items()
+            for m in (F.count(c).alias(f"n_{side}"), *[F.sum(p).alias(k) for p, k in zip(whole_parts(c), _parts(side))])
+        ],
     ] + [F.count(F.when(speed <= F.lit(t), F.lit(1))).alias(_le(t)) for t in THRESHOLDS]
 
 
@@ -92,10 +103,11 @@ def _row_measures(rows: DataFrame, threshold: int) -> DataFrame:
         F.lit(1).cast("long").alias("n"),
         flag(speed.isNotNull()).alias("n_speed"),
         speed.cast("long").alias("sum_speed"),
-        flag(F.col(LATITUDE).isNotNull()).alias("n_lat"),
-        F.col(LATITUDE).alias("sum_lat"),
-        flag(F.col(LONGITUDE).isNotNull()).alias("n_lon"),
-        F.col(LONGITUDE).alias("sum_lon"),
+        *[
+            m
+            for side, c in SIDES.items()
+            for m in (flag(F.col(c).isNotNull()).alias(f"n_{side}"), *[p.alias(k) for p, k in zip(whole_parts(c), _parts(side))])
+        ],
         flag(speed <= F.lit(int(threshold))).alias(_le(threshold)),
     )
 
@@ -169,8 +181,9 @@ def segment_stats_from_rollup(
     sums = rows.groupBy(GEOHASH).agg(*[F.sum(c).alias(c) for c in need[1:]])
     return sums.select(
         F.col(GEOHASH),
-        round_half_away(F.try_divide(F.col("sum_lat"), F.col("n_lat")), 5).alias("lat"),
-        round_half_away(F.try_divide(F.col("sum_lon"), F.col("n_lon")), 5).alias("lon"),
+        *[
+            round_half_away(mean_of_parts(*[F.col(p) for p in _parts(side)], F.col(f"n_{side}")), 5).alias(side) for side in SIDES
+        ],
         F.col("n").alias("messungen"),
         round_half_away(F.try_divide(F.col("sum_speed").cast("double"), F.col("n_speed")), 1).alias("avg_speed"),
         round_half_away(pct(F.col(_le(threshold)), F.col("n")), 1).alias("stau_pct"),

@@ -181,19 +181,23 @@ class TrafficStore:
             raise
 
     def _month_range(self, path: str) -> DateRange | None:
-        """First and last month that have a folder, from the folder names."""
-        years = sorted(
-            (int(e.name[5:]), e.path)
-            for e in files.entries(self.spark, path)
-            if e.is_dir and e.name.startswith("year=") and e.name[5:].lstrip("-").isdigit()
-        )
-        ends = []
-        for (year, folder), pick in zip((years[:1] + years[-1:]), (min, max)):
-            months = [int(e.name[6:]) for e in files.entries(self.spark, folder) if e.name[6:].isdigit()]
-            if not months:
-                return None
-            ends.append(f"{year:04d}-{pick(months):02d}-01")
-        return DateRange.of(*ends) if ends else None
+        """First and last month that have rows to read, from the folder names."""
+        hidden = self._hidden()
+
+        def numbered(folder: str, name: str) -> list[tuple[int, str]]:
+            found = [e for e in files.entries(self.spark, folder) if e.is_dir and e.name.startswith(f"{name}=")]
+            return sorted((int(v), e.path) for e in found if (v := e.name[len(name) + 1 :]).lstrip("-").isdigit())
+
+        def end(backwards: bool) -> str | None:
+            for year, folder in numbered(path, "year")[:: -1 if backwards else 1]:
+                for month, inner in numbered(folder, "month")[:: -1 if backwards else 1]:
+                    loads = [e.name.removeprefix("load=") for e in files.entries(self.spark, inner) if e.is_dir]
+                    if any(not hidden(load) for load in loads):
+                        return f"{year:04d}-{month:02d}-01"
+            return None
+
+        first = end(False)
+        return None if first is None else DateRange.of(first, end(True))
 
     def _first_and_last(self, path: str, schema) -> DataFrame:
         """The rows of the first and the last month."""
@@ -204,13 +208,22 @@ class TrafficStore:
         paths = [f"{base}/{month_folder((d.year, d.month))}" for d in sorted({ends.start, ends.end})]
         return self._visible(self.spark.read.schema(schema).option("basePath", path).parquet(*paths))
 
-    def _visible(self, rows: DataFrame) -> DataFrame:
-        """Without the rows of steps under way: normally none, else those of the one
-        run that loads or removes (a filter on the partition column)."""
+    def _under_way(self) -> tuple[list[str], list[str]]:
+        """Runs that load, and loads that are being removed: normally none, else those
+        of the one run that writes."""
         open_ = self.log.unfinished()
-        for run in sorted({e.load.split(".")[0] for e in open_ if e.state == LOADING}):
+        runs = sorted({e.load.split(".")[0] for e in open_ if e.state == LOADING})
+        return runs, [e.load for e in open_ if e.state == REMOVING_FILE]
+
+    def _hidden(self):
+        runs, going = self._under_way()
+        return lambda load: load in going or load.split(".")[0] in runs
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        """Without the rows of steps under way (filters on the partition column)."""
+        runs, going = self._under_way()
+        for run in runs:
             rows = rows.where(~F.col(LOAD).startswith(f"{run}."))
-        going = [e.load for e in open_ if e.state == REMOVING_FILE]
         return rows.where(~F.col(LOAD).isin(going)) if going else rows
 
     def stored(self, rng: DateRange | None = None) -> DataFrame:

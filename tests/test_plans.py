@@ -111,7 +111,7 @@ def test_page_equals_direct_reports(spark, store, rng, thr, use_rollup):
 def test_store_date_bounds_reads_two_months(spark, store):
     assert store.date_bounds().collect() == reports.date_bounds(store.table()).collect()
     months = sorted((r["year"], r["month"]) for r in store.table().select("year", "month").distinct().collect())
-    read = {f.split("/traffic/")[1].rsplit("/", 1)[0] for f in store._first_and_last(store.table_path, STORED_SCHEMA).inputFiles()}
+    read = {f.split("/traffic/")[1].split("/load=")[0] for f in store._first_and_last(store.table_path, STORED_SCHEMA).inputFiles()}
     assert read == {f"year={y}/month={m}" for y, m in (months[0], months[-1])}
 
 
@@ -342,7 +342,7 @@ def test_hot_month_of_segments_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
 
     def parts(month):
-        return list((tmp_path / "s" / "segment_rollup" / "year=2024" / f"month={month}").glob("*.parquet"))
+        return list((tmp_path / "s" / "segment_rollup" / "year=2024" / f"month={month}").glob("load=*/*.parquet"))
 
     assert len(parts(1)) > 1 and len(parts(2)) == 1
     assert st.segment_rollup().where("month = 1").count() == n

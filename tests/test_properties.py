@@ -62,3 +62,61 @@ def test_rounding_ties(spark, x):
     for digits in (0, 1, 2):
         got = spark.createDataFrame([(x,)], "x double").select(round_half_away("x", digits)).first()[0]
         assert got == _con.execute(f"SELECT ROUND({x!r}::DOUBLE, {digits})").fetchone()[0]
+
+
+TIES = [41.00001, 41.00002, 40.99999, 41.000015, 41.0000149999, 1e-9, -41.00001, 180.0, 0.1, 0.2, 0.3, -0.0]
+
+
+def test_coordinate_means_do_not_depend_on_the_order(spark):
+    """Many segments whose means lie on a tie of the fifth decimal, in any partitioning
+    and through the segment rollup: one result."""
+    import random
+
+    from roadpulse.functions.calendar import with_calendar
+    from roadpulse.operators.filters import DateRange
+    from roadpulse.plans.segment_rollup import build_segment_rollup, segment_stats_from_rollup
+    from roadpulse.schema import RAW_SCHEMA
+
+    import datetime as dt
+
+    rng = random.Random(5)
+    data = [
+        (dt.datetime(2024, 1 + k % 3, 1 + k % 28, k % 24), rng.choice(TIES), rng.choice(TIES), f"s{k % 40}", 1, 2, k % 90, 3)
+        for k in range(6000)
+    ]
+    data += [(dt.datetime(2024, 1, 1), float("nan"), None, "bad", 1, 2, 3, 4), (dt.datetime(2024, 1, 1), 1e300, None, "bad", 1, 2, 3, 4)]
+    seen = []
+    for parts in (1, 7, 64):
+        rng.shuffle(data)
+        t = with_calendar(spark.createDataFrame(data, RAW_SCHEMA).repartition(parts)).cache()
+        whole = DateRange.of("2024-01-02", "2024-03-15")
+        for df in (
+            reports.segment_stats(t, whole, 20),
+            segment_stats_from_rollup(build_segment_rollup(t), t, whole, 20),
+        ):
+            seen.append(sorted(map(str, df.collect())))
+        full = sorted(map(str, reports.segment_stats(t, None, 20).collect()))
+        assert full == sorted(map(str, segment_stats_from_rollup(build_segment_rollup(t), t, None, 20).collect()))
+        bad = [r for r in reports.segment_stats(t, None, 20).collect() if r["GEOHASH"] == "bad"][0]
+        assert bad["lat"] != bad["lat"] and bad["lon"] is None
+        t.unpersist()
+    assert len(seen[0]) == 40 and all(s == seen[0] for s in seen)
+
+
+def test_coordinate_means_equal_exact_ones(spark):
+    """Against exact fractions of the decimal values."""
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from roadpulse.functions.numeric import mean_of_parts, whole_parts
+
+    rng = random.Random(8)
+    values = [round(rng.uniform(-180, 180), 7) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.agg(mean_of_parts(*[F.sum(p) for p in whole_parts("v")], F.count("v")).alias("m")).first()["m"]
+    want = sum(Fraction(repr(v)) for v in values) / len(values)
+    assert abs(Fraction(got) - want) < Fraction(1, 10**13)
+    none = df.where("v is null").agg(mean_of_parts(*[F.sum(p) for p in whole_parts("v")], F.count("v")).alias("m")).first()["m"]
+    assert none is None

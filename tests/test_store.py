@@ -209,6 +209,29 @@ def test_rows_under_way_are_not_read(spark, place):
     assert seen[-1] == ("loaded", 7, 7)
 
 
+def test_bounds_pass_over_months_without_rows(spark, place):
+    """Removed files leave empty month folders, a load under way has rows not to count."""
+    src, st = place
+    for m in (1, 2, 3, 4):
+        write_csv(src / f"f_2024{m:02d}.csv", month_rows(2024, m, 3))
+    sync(spark, str(src), st)
+    os.remove(src / "f_202401.csv")
+    os.remove(src / "f_202404.csv")
+    sync(spark, str(src), st, match="file")
+    want = [tuple(map(str, ("2024-02-01", "2024-03-03")))]
+    assert [tuple(map(str, r)) for r in st.date_bounds().collect()] == want
+    write_csv(src / "e_202312.csv", month_rows(2023, 12, 3))
+    seen = []
+    writer = Between(spark, st.root)
+    writer.then = lambda step: seen.append([tuple(map(str, r)) for r in TrafficStore(spark, st.root).date_bounds().collect()])
+    sync(spark, str(src), writer)
+    assert seen[:-1] == [want] * (len(seen) - 1)
+    assert seen[-1] == [("2023-12-01", "2024-03-03")]
+    view = st.view(None, 20)
+    assert view.kpis().first()["total_rows"] == 9
+    view.close()
+
+
 # -- the catalog table -----------------------------------------------------------------
 def test_catalog_table(spark, tmp_path):
     src = tmp_path / "data"
