@@ -7,16 +7,22 @@ document's lines give each line's marginal, and the document's score is the
 length-weighted mean of its lines' marginals, put on the scale of the labels by a
 logistic fit on the learning documents.
 
-Learning takes documents with a label, at most ``LEARNING`` of them chosen by
-hash; each line carries its document's label. The features are computed on the
-cluster, the fit (a few dozen weights) runs on the driver.
+Labels are known of documents only, and a document can have lines of both kinds. So the
+lines get labels of their own first: a logistic regression on a line's own features, each
+document counting once and both kinds of documents alike, says whether the line is of the
+sort that good or that bad documents are made of. The field is learned from chains
+labelled like this, which change within documents.
+
+Learning takes documents with a label, at most ``LEARNING`` of them chosen by hash, with
+at most ``LEARNING_BYTES`` of text. The features are computed on the cluster, the fit (a
+few dozen weights) runs on the driver.
 
 Edge cases: a null or empty text is one empty line and gets a score like any
 other; a text of line feeds only has empty lines. Documents without any line
 length weigh their lines equally. A null ``doc_id`` is neither held out nor learned
 from. Without labels of both kinds every score is the share of good labels
 (0.5 without labels). Labels that repeat a ``doc_id``, or contradict each other,
-are learned from as they come. Repeated rows get a row each; an empty table gives
+are learned from as they come; rows that repeat document and text are learned from once. Repeated rows get a row each; an empty table gives
 no rows. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -29,9 +35,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, sample
 
-LEARNING = 3000
+LEARNING, LEARNING_BYTES = 3000, 48 << 20
 FOLDS, THRESHOLD = 5, 0.3
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 
@@ -169,6 +175,38 @@ class LineField:
         return _sigmoid(self.scale * _logit(self.mean_marginal(*line_features(run))) + self.shift)
 
 
+def _adam(param: np.ndarray, gradient) -> np.ndarray:
+    mean, square = np.zeros_like(param), np.zeros_like(param)
+    for step in range(1, STEPS + 1):
+        grad = gradient(param) + RIDGE * param
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.99 * square + 0.01 * grad * grad
+        param = param - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return param
+
+
+def line_labels(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """0 or 1 for each line, from its own features: the kind of documents that lines like
+    it are of. A line weighs its share of its document's bytes, a document one over the
+    number of its kind. Empty lines tell nothing and take the label of the line before
+    (the first ones that of the first line that is not empty)."""
+    own = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
+    y = np.repeat(label, lines).astype(float)
+    doc = np.repeat(np.arange(len(lines)), lines)
+    total = np.maximum(np.bincount(doc, weights=size, minlength=len(lines)), 1)
+    weight = size / total[doc] / np.bincount(label, minlength=2)[y.astype(int)]
+    w = _adam(np.zeros(own.shape[1]), lambda w: own.T @ ((_sigmoid(own @ w) - y) * weight))
+    made = (own @ w > 0).astype(np.int64)
+    told = size > 0
+    first = np.cumsum(lines) - lines
+    at = np.where(told, np.arange(len(x)), -1)
+    last = np.maximum.accumulate(at)
+    ahead = np.minimum.accumulate(np.where(told, np.arange(len(x)), len(x))[::-1])[::-1]
+    source = np.where(last >= first[doc], last, ahead)
+    none = (source >= np.append(first[1:], len(x))[doc]) | (source < 0)
+    return np.where(none, y.astype(np.int64), made[np.clip(source, 0, len(x) - 1)])
+
+
 def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -> LineField:
     """Maximum likelihood of the lines' labels (Adam), then the scale of the
     document scores. ``label``: 0 or 1 for each document."""
@@ -177,15 +215,14 @@ def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -
         field.constant = float(label.mean()) if len(label) else 0.5
         return field
     full = with_neighbours(x, lines).astype(np.float64)
-    y = np.repeat(label, lines).astype(float)
+    y = line_labels(x, size, lines, label).astype(float)
     inner = np.ones(len(x), dtype=bool)
     inner[np.cumsum(lines) - lines] = False
     here = np.flatnonzero(inner)
     # A document counts once, however many lines it has.
     share = np.repeat(1 / lines, lines)
-    param = np.zeros(WIDTH + 4)
-    mean, square = np.zeros_like(param), np.zeros_like(param)
-    for step in range(1, STEPS + 1):
+
+    def gradient(param: np.ndarray) -> np.ndarray:
         w, trans = param[:WIDTH], param[WIDTH:].reshape(2, 2)
         evidence = full @ w
         fwd, bwd = messages(evidence, lines, trans)
@@ -196,12 +233,11 @@ def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -
         joint = np.exp(joint - joint.max(axis=1, keepdims=True))
         joint /= joint.sum(axis=1, keepdims=True)
         seen = np.zeros_like(joint)
-        seen[np.arange(len(here)), (3 * y[here]).astype(int)] = 1
+        seen[np.arange(len(here)), (2 * y[here - 1] + y[here]).astype(int)] = 1
         grad[WIDTH:] = ((joint - seen) * share[here][:, None]).sum(axis=0) / len(label)
-        grad += RIDGE * param
-        mean = 0.9 * mean + 0.1 * grad
-        square = 0.99 * square + 0.01 * grad * grad
-        param = param - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        return grad
+
+    param = _adam(np.zeros(WIDTH + 4), gradient)
     field.weights, field.trans = param[:WIDTH].copy(), param[WIDTH:].reshape(2, 2).copy()
     z = _logit(field.mean_marginal(x, size, lines))
     ab = np.array([1.0, 0.0])
@@ -219,12 +255,11 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LEARNING) -> LineField:
+def learn(docs: DataFrame, labels: DataFrame, most: int = LEARNING, most_bytes: int = LEARNING_BYTES) -> LineField:
     """Fit on at most ``most`` labelled documents that are not held out."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~_held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sample(docs, known, most, most_bytes)
 
     def made(batches):
         for pdf in batches:
@@ -256,6 +291,20 @@ def scorer(field: LineField):
     return F.pandas_udf(score, "double")
 
 
+def line_marginals(docs: DataFrame, field: LineField) -> DataFrame:
+    """doc_id, good: the probability of good for each line of each text, in order."""
+
+    def made(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, run in blocks(texts):
+            x, _, lines = line_features(run)
+            good = field.marginals(x, lines) if field.constant is None else np.full(len(x), field.constant)
+            out.extend(part.tolist() for part in np.split(good, np.cumsum(lines)[:-1]))
+        return pd.Series(out)
+
+    return docs.select("doc_id", F.pandas_udf(made, "array<double>")("text").alias("good"))
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (of a good document), predicted for each row."""
     made = docs.select("doc_id", _held_out().alias("held_out"), scorer(learn(docs, labels))("text").alias("score"))
