@@ -79,21 +79,22 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def sample(docs: DataFrame, known: DataFrame, most: int, most_bytes: int) -> DataFrame:
-    """doc_id, text and the label column of ``known`` (doc_id, one label), for learning: rows
-    that repeat document and text count once, at most ``most`` of them by hash of their
+    """doc_id, text, the label column of ``known`` (doc_id, one label) and times, for
+    learning: rows that repeat document, text and label are one row, ``times`` their number, at most ``most`` of them by hash of their
     ``doc_id``, and of these as many, in that order, as have ``most_bytes`` of text.
     Labels and sizes are chosen first, so no more text than that is brought together."""
     label = next(c for c in known.columns if c != "doc_id")
     order = [F.xxhash64("doc_id"), "doc_id", label]
     chosen = F.broadcast(known.orderBy(*order).limit(most))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
-    rows = docs.select("doc_id", text_key().alias("tkey"), size).join(chosen, "doc_id").distinct()
+    rows = docs.select("doc_id", text_key().alias("tkey"), size).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "tkey", "size", label).agg(F.count(F.lit(1)).alias("times"))
     # Of at most ``most`` rows: one task adds up their sizes.
     first = rows.orderBy(*order, "tkey").limit(most)
     so_far = F.sum("size").over(Window.orderBy(*order, "tkey").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "tkey", label)
+    picked = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "tkey", label, "times")
     texts = docs.select("doc_id", text_key().alias("tkey"), "text").join(F.broadcast(picked), ["doc_id", "tkey"])
-    return texts.dropDuplicates(["doc_id", "tkey", label]).select("doc_id", "text", label)
+    return texts.dropDuplicates(["doc_id", "tkey", label]).select("doc_id", "text", label, "times")
 
 
 def encode(text: str | None) -> bytes:

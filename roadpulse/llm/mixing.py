@@ -2,8 +2,9 @@
 
 Domains are what the labelled table tells apart: ``low`` quality, ``toxic``, and
 ``clean`` (the rest). A softmax regression on hashed words and character shares,
-trained on at most ``LABELLED`` labelled documents chosen by hash, gives each
-document a posterior over the domains.
+trained on at most ``LABELLED`` labelled documents chosen by hash, with at most
+``LABELLED_BYTES`` of text, gives each document a posterior over the domains. It is
+evaluated once and kept beside the document.
 
 Rates: document d has t tokens, posterior p and a rate r >= 0; the expected
 tokens of the domains are T = sum of r t p. Least squares brings T to the
@@ -13,12 +14,19 @@ targets, starting at r = 1, by projected gradient steps
 
 the gradient in the metric that weighs documents by tokens and domains by G. With
 G over all documents the step is safe (its Lipschitz constant is one); with G over
-the documents whose rate is not held at zero it is longer. Each round tries the
-long step and takes the safe one where that gains too little. T and G are
-aggregates over all documents; only these few numbers reach the driver, and a
-document's rate is the replay of the steps on its own posterior, so no rate is
-stored between rounds. Targets that can be met are met within ``CLOSE`` of the
-mixture's tokens; for others the rounds end at the nearest mixture found.
+the documents whose rate is not held at zero it is longer. Each round tries a few
+lengths of both (``LONG``, ``SAFE``): the whole longer step, which changes the rates
+least, if it gains ``GAIN`` of what is left, otherwise the one that leaves least. T and G are
+aggregates over all documents, one pass a round; only these few numbers reach the driver,
+and a document's rate is the replay of the steps on its own posterior, stored only every
+``REPLAYED`` rounds.
+
+The rounds end when the targets are met within ``CLOSE`` of the mixture's tokens, when a
+step gains less than ``STALLED`` of what is left, or after ``ROUNDS``. Targets that no
+mixture meets are approached, not reached (the tests compare with exact nonnegative least
+squares). What is missing comes out with the result (``gap``: tokens that the domain
+furthest from its target lacks or has too many, as a share of the mixture) and, above
+``CLOSE``, as a warning.
 
 A document is taken floor(r) times, and once more when its hash falls under the
 rest of r.
@@ -26,27 +34,31 @@ rest of r.
 Edge cases: null and empty texts have no tokens and the posterior of an empty
 text; rates are theirs like any other's. Without labels the posterior is even.
 A domain that nothing belongs to is left out of the fit (its target cannot be
-met). Repeated rows share a rate and are drawn together. An empty table gives
+met and counts in the gap). Columns of the input may have any names. Repeated rows share a rate and are drawn together. An empty table gives
 no rows. ``mixed`` returns the columns it is given.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_key, tokens, written
+from .common import blocks, fresh, sample, text_key, tokens, written
 
 DOMAINS = ("clean", "low", "toxic")
 TARGET_WEIGHTS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
 # Tokens of the mixture: so many that ``clean`` gets this multiple of its own.
 CLEAN_MULTIPLE = 1.02
-LABELLED = 2000
+LABELLED, LABELLED_BYTES = 2000, 48 << 20
 WORDS, BYTES = 4096, 128
 STEPS, RATE, RIDGE = 300, 0.3, 1e-5
-ROUNDS, CLOSE, GAIN = 30, 1e-3, 0.3
+ROUNDS, REPLAYED, CLOSE, GAIN, STALLED = 60, 12, 1e-3, 0.3, 1e-3
+LONG, SAFE = (1.5, 1.0, 0.5), (1.0, 8.0, 64.0)
 
 
 def features(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +86,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases by gradient descent with a step for each weight (Adam)."""
     w = np.zeros((x.shape[1] + 1, k), dtype=np.float32)
     if not len(y):
         return w[:-1], w[-1]
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     goal = np.eye(k, dtype=np.float32)[y]
+    share = (times / times.sum()).astype(np.float32)[:, None]
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        g = x1.T @ (softmax(x1 @ w) - goal) / len(y) + RIDGE * w
+        g = x1.T @ ((softmax(x1 @ w) - goal) * share) + RIDGE * w
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return w[:-1], w[-1]
@@ -96,9 +109,10 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", d.alias("domain")).where("doc_id is not null and domain is not null")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    chosen = domain_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def learn(
+    docs: DataFrame, labels: DataFrame, most: int = LABELLED, most_bytes: int = LABELLED_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
+    rows = sample(docs, domain_labels(labels), most, most_bytes)
 
     def made(batches):
         for pdf in batches:
@@ -106,12 +120,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.
                 for at, some in _small(run):
                     x = features(some)[0].astype(np.float16)
                     own = pdf.iloc[first + at : first + at + len(some)]
-                    yield pd.DataFrame({"doc_id": own["doc_id"], "domain": own["domain"], "x": [r.tobytes() for r in x]})
+                    yield own[["doc_id", "domain", "times"]].assign(x=[r.tobytes() for r in x])
 
-    found = rows.mapInPandas(made, "doc_id long, domain int, x binary").toPandas()
+    found = rows.mapInPandas(made, "doc_id long, domain int, times long, x binary").toPandas()
     found = found.sort_values(["doc_id", "domain", "x"], ignore_index=True)
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float16).reshape(-1, WORDS + BYTES).astype(np.float32)
-    return fit_softmax(x, found["domain"].to_numpy(dtype=np.int64), len(DOMAINS))
+    return fit_softmax(x, found["domain"].to_numpy(dtype=np.int64), len(DOMAINS), found["times"].to_numpy(dtype=np.float64))
 
 
 def posterior(model: tuple[np.ndarray, np.ndarray]):
@@ -134,9 +148,8 @@ def _dot(p: Column, a) -> Column:
     return sum((p[k] * F.lit(float(v)) for k, v in enumerate(a)), F.lit(0.0))
 
 
-def rate(p: Column, steps: list) -> Column:
-    """A document's rate: the steps so far, replayed on its posterior."""
-    r = F.lit(1.0)
+def rate(r: Column, p: Column, steps: list) -> Column:
+    """A document's rate after more steps, replayed on its posterior."""
     for a in steps:
         r = F.greatest(F.lit(0.0), r - _dot(p, a))
     return r
@@ -148,40 +161,78 @@ def default_targets(present: np.ndarray, weights: dict[str, float] | None = None
     return w * (CLEAN_MULTIPLE * present[0] / w[0] if present[0] > 0 else present.sum())
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray | None = None, weights: dict[str, float] | None = None):
-    """(steps, targets, last totals) for ``members`` (columns tokens, p)."""
+@dataclass
+class Fit:
+    rows: DataFrame  # the rows given, with the column ``rate``
+    rate: str
+    targets: np.ndarray
+    totals: np.ndarray
+
+    @property
+    def gap(self) -> float:
+        """Tokens that the domain furthest from its target misses it by, as a share of
+        all tokens of the mixture."""
+        return float(np.abs(self.totals - self.targets).max() / max(self.targets.sum(), 1e-12))
+
+
+def fit_rates(rows: DataFrame, member: str, targets: np.ndarray | None = None, weights: dict[str, float] | None = None) -> Fit:
+    """Rates for rows with a struct ``member`` (tokens, p)."""
     k = len(DOMAINS)
-    p, t = F.col("p"), F.col("tokens")
-
-    def totals(steps: list) -> tuple[np.ndarray, np.ndarray]:
-        r = rate(p, steps)
-        rows = members.select(r.alias("r"), t.alias("t"), *[p[i].alias(f"p{i}") for i in range(k)])
-        free = F.when(F.col("r") > 0, F.col("t")).otherwise(0)
-        sums = [F.sum(F.col("r") * F.col("t") * F.col(f"p{i}")) for i in range(k)]
-        sums += [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
-        found = np.array([v or 0.0 for v in rows.agg(*sums).first()], dtype=float)
-        return found[:k], found[k:].reshape(k, k)
-
-    total, gram = totals([])
+    p, t = F.col(member)["p"], F.col(member)["tokens"]
+    name = fresh(rows, "rate")
+    rows = rows.withColumn(name, F.lit(1.0))
+
+    def totals(steps: list, then: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """T and G after each of the steps in ``then``, all in one pass."""
+        now = rows.select(rate(F.col(name), p, steps).alias("r"), t.alias("t"), *[p[i].alias(f"p{i}") for i in range(k)])
+        own = F.array(*[F.col(f"p{i}") for i in range(k)])
+        after = now.select("t", *[f"p{i}" for i in range(k)], *[rate(F.col("r"), own, [a]).alias(f"r{c}") for c, a in enumerate(then)])
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = []
+        for c in range(len(then)):
+            r, free = F.col(f"r{c}"), F.when(F.col(f"r{c}") > 0, F.col("t")).otherwise(0)
+            sums += [F.sum(r * F.col("t") * F.col(f"p{i}")) for i in range(k)]
+            sums += [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]
+        found = np.array([v or 0.0 for v in after.agg(*sums).first()], dtype=float).reshape(len(then), -1)
+        out = []
+        for row in found:
+            gram = np.zeros((k, k))
+            for (i, j), v in zip(pairs, row[k:]):
+                gram[i, j] = gram[j, i] = v
+            out.append((row[:k], gram))
+        return out
+
+    ((total, gram),) = totals([], [np.zeros(k)])
     if targets is None:
         targets = default_targets(total, weights)
     there = np.where(total > 0, 1.0, 0.0)
     safe = np.linalg.pinv(gram, rcond=1e-9)
     steps: list[np.ndarray] = []
+
+    def left(total: np.ndarray) -> float:
+        miss = (total - targets) * there
+        return float(miss @ safe @ miss)
+
     for _ in range(ROUNDS):
         miss = (total - targets) * there
         if not total.any() or np.abs(miss).max() <= CLOSE * targets.sum():
             break
-        for metric, gain in ((np.linalg.pinv(gram, rcond=1e-9), GAIN), (safe, 0.0)):
-            after, free = totals([*steps, metric @ miss])
-            left = (after - targets) * there
-            if left @ safe @ left < (1 - gain) * (miss @ safe @ miss):
-                break
-        else:
+        free = np.linalg.pinv(gram, rcond=1e-9)
+        tried = [f * free @ miss for f in LONG] + [f * safe @ miss for f in SAFE]
+        after = totals(steps, tried)
+        whole = LONG.index(1.0)
+        gains = left(after[whole][0]) < (1 - GAIN) * left(total)
+        best = whole if gains else min(range(len(tried)), key=lambda c: left(after[c][0]))
+        if left(after[best][0]) >= (1 - STALLED) * left(total):
             break
-        steps.append(metric @ miss)
-        total, gram = after, free
-    return steps, targets, total
+        steps.append(tried[best])
+        total, gram = after[best]
+        if len(steps) == REPLAYED:
+            rows, steps = written(rows.withColumn(name, rate(F.col(name), p, steps)), "rates"), []
+    fit = Fit(rows.withColumn(name, rate(F.col(name), p, steps)), name, targets, total)
+    if fit.gap > CLOSE:
+        warnings.warn(f"the nearest mixture has {total.round(1).tolist()} tokens of {DOMAINS}, wanted {targets.round(1).tolist()}")
+    return fit
 
 
 def copies(r: Column, key: Column) -> Column:
@@ -192,21 +243,20 @@ def copies(r: Column, key: Column) -> Column:
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, one posterior column for each domain, rate and copies for
-    each row of ``docs``."""
+    """doc_id, tokens, one posterior column for each domain, rate, copies and gap (of the
+    whole mixture) for each row of ``docs``."""
     udf = posterior(learn(docs, labels))
-    rows = docs.select("doc_id", text_key().alias("tkey"), udf("text").alias("m"))
-    members = written(rows.select("doc_id", "tkey", "m.tokens", "m.p"), "members")
-    steps, _, _ = fit_rates(members, weights=weights)
-    p = F.col("p")
-    made = members.select("doc_id", "tokens", *[p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(p, steps).alias("rate"), "tkey")
-    return made.withColumn("copies", copies(F.col("rate"), F.col("tkey"))).drop("tkey")
+    rows = written(docs.select("doc_id", text_key().alias("tkey"), udf("text").alias("m")), "members")
+    fit = fit_rates(rows, "m", weights=weights)
+    p = [F.col("m.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    taken = copies(F.col(fit.rate), F.col("tkey")).alias("copies")
+    return fit.rows.select("doc_id", "m.tokens", *p, fit.rate, taken, F.lit(fit.gap).alias("gap"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``docs``, each row as many times as the mixture takes it."""
-    udf = posterior(learn(docs, labels))
-    members = written(docs.select(udf("text").alias("m")).select("m.tokens", "m.p"), "members")
-    steps, _, _ = fit_rates(members, weights=weights)
-    n = copies(rate(udf("text")["p"], steps), text_key())
-    return docs.withColumn("__n", n).where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n", "__k")
+    udf, member = posterior(learn(docs, labels)), fresh(docs, "member")
+    fit = fit_rates(written(docs.withColumn(member, udf("text")), "members"), member, weights=weights)
+    n = copies(F.col(fit.rate), text_key())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return fit.rows.select(*columns, n.alias(fit.rate)).where(F.col(fit.rate) > 0).select(*columns, F.explode(F.sequence(F.lit(1), fit.rate))).select(*columns)

@@ -94,7 +94,7 @@ def test_learning_is_bounded(llm):
     assert len(got) <= 30 and sum(len(r["text"] or "") for r in got) <= 1000
     assert len({(r["doc_id"], r["text"]) for r in got}) == len(got)
     whole = sample(docs, known, 1000, 10**9).collect()
-    assert len(whole) == len(set(rows))
+    assert len(whole) == len(set(rows)) and sum(r["times"] for r in whole) == len(rows)
 
 
 def test_empty(llm):
