@@ -4,8 +4,8 @@ A rule is a host and the beginning of a path with a verdict; it fits its host
 and all subdomains, and the longest fitting rule decides. URLs that no rule fits
 are judged by a logistic regression on hashed character n-grams of host and
 path (each with marks for its beginning and end, counted apart). It is trained
-from a small labelled URL table; ``labelled_urls`` makes one from the URLs that
-the rules decide, at most ``LABELLED`` of them, chosen by hash.
+from a small labelled URL table (host, path, verdict) of its own, by default that of
+``url_labels``; of a larger one, ``LABELLED`` rows by hash are taken.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased. Path: from there up to ``?``, ``#`` or the end.
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .common import blocks, mix64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,10 +76,10 @@ def split_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def labelled_urls(parts: DataFrame, most: int = LABELLED) -> DataFrame:
-    """host, path, verdict: at most ``most`` distinct URLs that rules decide."""
-    known = parts.where("ruled is not null").select("host", "path", F.col("ruled").alias("verdict")).distinct()
-    return known.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most)
+def labelled_urls(labelled: DataFrame, most: int = LABELLED) -> DataFrame:
+    """host, path, verdict: at most ``most`` distinct rows."""
+    known = labelled.select("host", "path", "verdict").where("verdict IN ('allow', 'block')").distinct()
+    return known.orderBy(F.xxhash64("host", "path"), "host", "path", "verdict").limit(most)
 
 
 def _hashed(strings, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +142,12 @@ def train(labelled: pd.DataFrame) -> UrlModel:
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, block_score for each row of ``pages``."""
+    """With ``labelled`` (host, path, verdict) or the built-in table:
+    page_id, host, path, rule, verdict, block_score for each row of ``pages``."""
     parts = split_urls(pages, rules)
-    table = labelled_urls(parts) if labelled is None else labelled.limit(LABELLED)
-    model = train(table.toPandas())
+    if labelled is None:
+        labelled = pages.sparkSession.createDataFrame(url_labels.labelled(), "host string, path string, verdict string")
+    model = train(labelled_urls(labelled).toPandas())
     weights, bias = model.weights.astype(np.float32), model.bias
 
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
