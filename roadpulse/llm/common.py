@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_dir
@@ -97,6 +97,47 @@ def sample(docs: DataFrame, known: DataFrame, most: int, most_bytes: int) -> Dat
     return texts.dropDuplicates(["doc_id", "tkey", label]).select("doc_id", "text", label, "times")
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], keep: list[Column], name: str) -> DataFrame:
+    """``group``, the columns ``keep``, nth (from 0) and n (rows of the group) for rows
+    ordered within their group; rows that ``order`` leaves equal stand side by side.
+
+    No task holds a group: rows are sorted in ranges over all partitions, a group may lie
+    in many, and the counts of its ranges give where the next one starts."""
+    place = fresh(rows, "place")
+    rows = rows.withColumn(place, F.monotonically_increasing_id())
+    by = [group, *order, place]  # ascending puts nulls first
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = rows.select(group, *keep, F.monotonically_increasing_id().alias("at"))
+    kept = written(kept.withColumn("part", F.shiftright("at", 33)), name)
+    spans = kept.groupBy(group, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    own = Window.partitionBy(group)
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        group,
+        "part",
+        (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+        F.sum("size").over(own).alias("n"),
+    )
+    found = kept.join(spans, [group, "part"])
+    return found.withColumn("nth", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+
+
+def running_xor(rows: DataFrame, group: str, hashes: list[str], block: int) -> DataFrame:
+    """``rows`` (with nth and n, as ``numbered`` makes them) and, for each column in
+    ``hashes``, its exclusive-or over the rows of the group up to this one, under the name
+    with ``_so_far``. Taken within blocks of ``block`` rows and over blocks, so a group of
+    any size is many small ones."""
+    rows = rows.withColumn("block", F.expr(f"nth div {block}"))
+    of_block = rows.where(f"n > {block}").groupBy(group, "block").agg(*[F.bit_xor(h).alias(f"{h}_b") for h in hashes])
+    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    of_block = of_block.select(group, "block", *[F.bit_xor(f"{h}_b").over(before).alias(f"{h}_b") for h in hashes])
+    within = Window.partitionBy(group, "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = rows.withColumns({f"{h}_w": F.bit_xor(h).over(within) for h in hashes})
+    whole = inner.join(of_block, [group, "block"], "left")
+    made = {f"{h}_so_far": F.col(f"{h}_w").bitwiseXOR(F.coalesce(f"{h}_b", F.lit(0))) for h in hashes}
+    return whole.withColumns(made).drop("block", *[f"{h}_{x}" for h in hashes for x in "wb"])
+
+
 def encode(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, running_xor, written
 from .perfect_hash import Slots
 
 LIGHT, SHARD, BAND = 100_000, 200_000, 500_000
@@ -55,41 +55,15 @@ KEY = ["depth", "h1", "h2"]
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
-def numbered(conversations: DataFrame) -> DataFrame:
+def turns_of(conversations: DataFrame) -> DataFrame:
     """conv_id, nth (from 0), t1, t2, t3 (hashes of role and text), words, n (turns of
     the conversation): every turn at its place."""
-    order = ["conv_id", "turn", "role", "text", "row"]  # ascending puts nulls first
-    rows = (
-        conversations.where(F.col("conv_id").isNotNull())
-        .select(
-            F.col("conv_id").cast("long"),
-            "turn",
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-    )
-    hashed = rows.select(
-        "conv_id",
-        F.monotonically_increasing_id().alias("at"),
-        *[F.xxhash64(F.lit(k), "role", "text").alias(f"t{k}") for k in (1, 2, 3)],
-        F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("words"),
-    )
-    hashed = written(hashed.withColumn("part", F.shiftright("at", 33)), "trie-turns")
-    spans = hashed.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
-    own = Window.partitionBy("conv_id")
-    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(
-        "conv_id",
-        "part",
-        (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("shift"),
-        F.sum("size").over(own).alias("n"),
-    )
-    return hashed.join(spans, ["conv_id", "part"]).select(
-        "conv_id", (F.col("at") + F.col("shift")).alias("nth"), "t1", "t2", "t3", "words", "n"
+    rows = conversations.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long"), "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
     )
+    hashes = [F.xxhash64(F.lit(k), "role", "text").alias(f"t{k}") for k in (1, 2, 3)]
+    words = F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("words")
+    return numbered(rows, "conv_id", ["turn", "role", "text"], [*hashes, words], "trie-turns")
 
 
 def borrowed(turns: DataFrame, group: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -120,28 +94,14 @@ def borrowed(turns: DataFrame, group: int, most: int) -> tuple[DataFrame, DataFr
 def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, n, depth, h1, h2 (digest of the turns up to this one), p1, p2 (up to
     the one before), t3, words."""
-    keyed = turns.select(
+    keyed = turns.withColumns({f"g{k}": F.xxhash64(F.lit(k), "nth", "t1", "t2") for k in (1, 2)})
+    made = running_xor(keyed, "conv_id", ["g1", "g2"], block)
+    return made.select(
         "conv_id",
         "n",
         (F.col("nth") + 1).alias("depth"),
-        F.expr(f"nth div {block}").alias("block"),
-        *[F.xxhash64(F.lit(k), "nth", "t1", "t2").alias(f"g{k}") for k in (1, 2)],
-        "t3",
-        "words",
-    )
-    of_block = keyed.where(f"n > {block}").groupBy("conv_id", "block").agg(*[F.bit_xor(f"g{k}").alias(f"b{k}") for k in (1, 2)])
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    of_block = of_block.select("conv_id", "block", *[F.bit_xor(f"b{k}").over(before).alias(f"b{k}") for k in (1, 2)])
-    within = Window.partitionBy("conv_id", "block").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = keyed.withColumns({f"w{k}": F.bit_xor(f"g{k}").over(within) for k in (1, 2)})
-    whole = inner.join(of_block, ["conv_id", "block"], "left")
-    h = {k: F.col(f"w{k}").bitwiseXOR(F.coalesce(f"b{k}", F.lit(0))) for k in (1, 2)}
-    return whole.select(
-        "conv_id",
-        "n",
-        "depth",
-        *[h[k].alias(f"h{k}") for k in (1, 2)],
-        *[h[k].bitwiseXOR(F.col(f"g{k}")).alias(f"p{k}") for k in (1, 2)],
+        *[F.col(f"g{k}_so_far").alias(f"h{k}") for k in (1, 2)],
+        *[F.col(f"g{k}_so_far").bitwiseXOR(F.col(f"g{k}")).alias(f"p{k}") for k in (1, 2)],
         "t3",
         "words",
     )
@@ -292,7 +252,7 @@ def prefix_trie(
     """conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256 for every node. With ``group``, of the conversations that
     ``borrowed`` rebuilds."""
-    turns = written(numbered(conversations), "trie-numbered")
+    turns = written(turns_of(conversations), "trie-numbered")
     if group is None:
         convs = turns.where("nth = 0").select("conv_id", "n")
     else:

@@ -108,14 +108,15 @@ def oracle() -> dict[str, str]:
     turn = f"'{chat.TURN_OPEN}' || coalesce(role, '{chat.NO_ROLE}') || chr(10) || coalesce(text, '') || '{chat.TURN_CLOSE[:-1]}' || chr(10)"
     return {
         "op3_chat": f"""
-WITH turns AS (
-  SELECT conv_id, {turn} AS said, count(*) OVER (PARTITION BY conv_id) AS n,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
-  FROM conversations),
+WITH numbered AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+turns AS (
+  SELECT conv_id, alone, {turn} AS said, count(*) OVER (PARTITION BY conv_id, alone) AS n,
+         row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM numbered),
 prefixes AS (
-  SELECT conv_id, n, pos, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY pos) AS rendered FROM turns),
+  SELECT conv_id, n, pos, string_agg(said, '') OVER (PARTITION BY conv_id, alone ORDER BY pos) AS rendered FROM turns),
 whole AS (
-  SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered
+  SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, 0::BIGINT AS part, rendered
   FROM prefixes WHERE pos = n GROUP BY n, rendered)
 SELECT * FROM whole w
 WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos < p.n AND p.pos = w.n_turns AND p.rendered = w.rendered)""",
