@@ -67,12 +67,35 @@ def build_session(
     return spark
 
 
+# Where ``override`` keeps what a setting was before.
+SAVED = "roadpulse.saved."
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """The reports' settings; what ``override`` changed is as it was before."""
+    restore(spark)
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     return spark
 
 
+def override(spark: SparkSession, settings: dict) -> None:
+    """Settings for a kind of work, until the next ``restore``."""
+    for k, v in settings.items():
+        if spark.conf.get(SAVED + k, None) is None:
+            old = spark.conf.get(k, None)
+            spark.conf.set(SAVED + k, "unset" if old is None else f"was {old}")
+        spark.conf.set(k, v)
+
+
+def restore(spark: SparkSession) -> None:
+    for k, v in dict(spark.conf.getAll).items():
+        if k.startswith(SAVED):
+            name = k.removeprefix(SAVED)
+            spark.conf.unset(name) if v == "unset" else spark.conf.set(name, v.removeprefix("was "))
+            spark.conf.unset(k)
+
+
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
@@ -105,4 +128,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-__all__ = ["build_session", "configure", "scratch_dir", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "configure", "override", "restore", "scratch_dir", "ensure_checkpoint_dir"]
