@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import configure, scratch_dir
+from ..session import configure, override, scratch_dir
 
 # Rows and bytes of one Arrow batch handed to a Python worker, so a batch of very
 # long texts stays small beside a worker's memory.
@@ -40,14 +40,17 @@ def _ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the operators; ships their code to the workers. Steps end
-    in written tables, so the shuffle files of a finished step are of no further
-    use and go at once."""
+    """Session settings of the operators, until other work configures the session; ships
+    their code to the workers. Steps end in written tables, so the shuffle files of a
+    finished step are of no further use and go at once."""
     configure(spark)
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": True,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+        "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+    }
+    override(spark, settings)
     return spark
 
 
