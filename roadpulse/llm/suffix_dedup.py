@@ -26,6 +26,13 @@ third of all documents share is sent once by a batch. A key with more than
 key of its own, made from the window's bytes. So no key has more to sort than fits one
 sort, also not that at the edge of a passage, whose context differs in every document.
 
+A text of more than ``PIECE`` bytes is read in pieces, each with the ``LENGTH - 1`` bytes on
+either side of it, so every window that covers a byte of a piece lies in it; the pieces go to
+batches of their own and what is left of them is put together at the end. Rows that repeat
+a ``doc_id`` go to batches by their texts. So a batch has about ``BATCH_TEXT`` bytes however
+long a text is or however many texts share a ``doc_id`` (equal rows of one ``doc_id`` stay in
+one batch).
+
 Edge cases: null and empty texts have no bytes. Documents shorter than
 ``LENGTH`` bytes lose nothing. Rows that repeat a ``doc_id`` are one document to each
 other: they remove nothing from one another. A null ``doc_id`` counts as larger
@@ -50,6 +57,7 @@ from .suffix_order import suffix_order
 LENGTH, GRAM = 50, 36
 REACH = LENGTH - GRAM  # most bytes of a window on either side of its anchor
 BATCH_TEXT, BUCKET_TEXT = 2 << 20, 8 << 20
+PIECE = 1 << 20
 CHUNK = 1 << 16  # positions hashed at once; their arrays fit a core's cache
 SORTED = 1 << 18  # symbols sorted at once
 CROWDED = SORTED // (2 * REACH + 2)  # contexts of a key; each takes so many symbols at most
@@ -96,10 +104,11 @@ class Batch:
     def __init__(self, pdf: pd.DataFrame):
         ids = pdf["doc_id"].astype("Int64").fillna(LARGEST).to_numpy(dtype=np.int64)
         self.null = pdf["doc_id"].isna().to_numpy()
-        texts = [encode(t) for t in pdf["text"]]
+        texts = [t if isinstance(t, bytes) else encode(t) for t in pdf["text"]]
         order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
         self.ids, self.null = ids[order], self.null[order]
         self.texts = [texts[k] for k in order]
+        self.order = order
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.end = np.cumsum(self.size)
         self.buf = np.frombuffer(b"".join(self.texts) + bytes(2 * LENGTH), dtype=np.uint8)
@@ -410,7 +419,10 @@ def _owners(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
 
 
-def _cut_of(n_buckets: int):
+_CUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row", "piece", "edges"]
+
+
+def _cut_of(n_buckets: int, size: int):
     def cut(key: tuple, docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(docs)
         gone = np.zeros(len(batch.buf), dtype=bool)
@@ -440,29 +452,74 @@ def _cut_of(n_buckets: int):
             hit[LENGTH:] -= hit[:-LENGTH].copy()  # places that begin, less those that end
             gone = np.cumsum(hit) > 0
         out = []
+        whole, piece, row = (docs[c].to_numpy()[batch.order] for c in ("whole", "piece", "row"))
+        lead = np.minimum(piece * size, LENGTH - 1)
         for i, (text, end) in enumerate(zip(batch.texts, batch.end)):
-            own = gone[end - len(text) : end]
+            first = end - len(text) + lead[i]
+            own = gone[first : first + min(size, whole[i] - piece[i] * size)]
+            text = text[lead[i] : lead[i] + len(own)]
             removed = int(np.count_nonzero(own))
             spans = int(np.count_nonzero(own & np.append(True, ~own[:-1]))) if removed else 0
+            edges = int(len(own) > 0 and own[0]) + 2 * int(len(own) > 0 and own[-1])
             kept = text if not removed else np.frombuffer(text, dtype=np.uint8)[~own].tobytes()
-            out.append((None if batch.null[i] else int(batch.ids[i]), len(text), removed, spans, kept))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+            out.append((None if batch.null[i] else int(batch.ids[i]), whole[i], removed, spans, kept, row[i], piece[i], edges))
+        return pd.DataFrame(out, columns=_CUT).astype({"doc_id": "Int64"})
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, crowded: int = CROWDED, batch_text: int = BATCH_TEXT, bucket_text: int = BUCKET_TEXT) -> DataFrame:
+def pieces(docs: DataFrame, size: int, long: bool) -> DataFrame:
+    """doc_id, text (bytes), whole (bytes of the document's text), row, piece; with
+    ``long``, texts of more than ``size`` bytes in pieces."""
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    whole = F.octet_length(data).cast("long")
+    if not long:
+        zero = F.lit(0).cast("long")
+        return docs.select("doc_id", data.alias("text"), whole.alias("whole"), zero.alias("row"), zero.alias("piece"))
+    side = LENGTH - 1
+
+    def cut(k):
+        lead = F.least(k * size, F.lit(side))
+        return F.struct(k.alias("piece"), F.substring(data, (k * size - lead + 1).cast("int"), (lead + size + side).cast("int")).alias("text"))
+
+    last = F.greatest(F.lit(0).cast("long"), F.floor((whole - 1) / size))
+    parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), cut))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    cut_up = rows.select("doc_id", whole.alias("whole"), "row", parts.alias("p"))
+    return cut_up.select("doc_id", "p.text", "whole", "row", "p.piece")
+
+
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A document from its pieces: a removed run that goes on in the next one is one."""
+    pdf = pdf.sort_values("piece")
+    edges = pdf["edges"].to_numpy()
+    joined = int(np.count_nonzero((edges[:-1] >= 2) & (edges[1:] % 2 == 1)))
+    one = pdf.iloc[:1][["doc_id", "n_bytes"]]
+    return one.assign(n_removed=pdf["n_removed"].sum(), n_spans=pdf["n_spans"].sum() - joined, kept=[b"".join(pdf["kept"])])
+
+
+def remove_repeats(
+    docs: DataFrame, crowded: int = CROWDED, batch_text: int = BATCH_TEXT, bucket_text: int = BUCKET_TEXT, piece: int = PIECE
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (removed runs), kept (remaining bytes) for
     each row of ``docs``."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = F.octet_length("text")
+    total, longest = (v or 0 for v in docs.agg(F.sum(size), F.max(size)).first())
     n_batches, n_buckets = max(1, math.ceil(total / batch_text)), max(1, math.ceil(total / bucket_text))
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
-    rows = docs.select("doc_id", "text", F.pmod(key, F.lit(n_batches)).alias("batch"))
+    rows = pieces(docs.select("doc_id", "text"), piece, longest > piece)
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)))
+    texts = rows.select("doc_id", "text", "batch")
     packed = "bucket long, batch long, data binary"
-    keys = rows.groupBy("batch").applyInPandas(_keys_of(n_buckets), packed + ", several binary")
+    keys = texts.groupBy("batch").applyInPandas(_keys_of(n_buckets), packed + ", several binary")
     shared = written(keys.groupBy("bucket").applyInPandas(_shared_of(crowded), "batch long, bucket long, data binary"), "shared-keys")
-    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_contexts_of(n_buckets), packed)
+    sent = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_contexts_of(n_buckets), packed)
     owners = written(sent.groupBy("bucket").applyInPandas(_owners, "batch long, bucket long, data binary"), "owners")
     back = shared.unionByName(owners)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(_cut_of(n_buckets), out)
+    made = rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(_cut_of(n_buckets, piece), out + ", row long, piece long, edges int")
+    columns = [c.split()[0] for c in out.split(", ")]
+    if longest <= piece:
+        return made.select(*columns)
+    made = written(made, "cut-pieces")
+    long = made.where(F.col("n_bytes") > piece).groupBy("row").applyInPandas(_together, out)
+    return made.where(F.col("n_bytes") <= piece).select(*columns).unionByName(long)

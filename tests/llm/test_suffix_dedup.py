@@ -63,6 +63,39 @@ def test_removed_bytes(docs_of, crowded, batch, bucket):
     assert sorted((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in got) == plain(rows)
 
 
+@pytest.mark.parametrize("piece", [50, 64, 101, 1000])
+def test_long_texts_in_pieces(docs_of, piece):
+    """Every text longer than a piece, with shared passages across the borders."""
+    rows = fixture(piece)
+    got = suffix_dedup.remove_repeats(docs_of(rows), 20000, 1500, 3000, piece).collect()
+    assert sorted((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in got) == plain(rows)
+
+
+def test_a_crowded_doc_id(docs_of):
+    """A third of the rows have one doc_id: they fill many batches, and still remove
+    nothing from one another."""
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(200)
+    rows = [(5, say(30) + passage + say(rng.randint(0, 90))) for _ in range(60)] + [(100 + i, say(60) + passage[: rng.randint(20, 200)]) for i in range(120)]
+    docs = docs_of(rows)
+    parts = suffix_dedup.pieces(docs, 1000, True)
+    assert parts.where("doc_id = 5").select("text").distinct().count() == 60
+    got = suffix_dedup.remove_repeats(docs, 20000, 2000, 4000).collect()
+    assert sorted((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in got) == plain(rows)
+
+
+def test_a_very_long_text(docs_of):
+    """Eight megabytes in one row, whose tail another row repeats."""
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 123, 8 << 20, dtype=np.uint8)).decode()
+    rows = [(1, text), (2, "new " + text[-3_000_000:] + " end"), (3, text[5 << 20 :][:100])]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs_of(rows)).collect()}
+    assert got[1]["n_removed"] == 0 and bytes(got[1]["kept"]) == text.encode()
+    assert (got[2]["n_removed"], got[2]["n_spans"], bytes(got[2]["kept"])) == (3_000_000, 1, b"new  end")
+    assert got[3]["n_removed"] == 100
+
+
 def test_small_chunks(docs_of, monkeypatch):
     """Long texts hashed and sorted piece by piece (in this process)."""
     monkeypatch.setattr(suffix_dedup, "SORTED", 300)
