@@ -1,5 +1,14 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, mixing and
-sharding, each stage reading what the one before it kept."""
+sharding, each stage reading what the one before it kept.
+
+Edge cases: a null or empty text, or one without a letter, has no language and goes in
+the first stage, so does every document when no row names its language. Null ``doc_id``,
+``lang`` or ``source`` are values like any other. Rows that repeat a document are one of
+its near-duplicate group and one of them stays; mixing may then take a document several
+times. An empty table gives no rows in every stage; without a benchmark or labels nothing
+is removed for them. Extra columns pass all stages; the last one replaces columns that
+have its names. Very long texts are handled by the stages' operators.
+"""
 
 from __future__ import annotations
 
