@@ -32,7 +32,8 @@ A document is taken floor(r) times, and once more when its hash falls under the
 rest of r.
 
 Edge cases: null and empty texts have no tokens and the posterior of an empty
-text; rates are theirs like any other's. Without labels the posterior is even.
+text; rates are theirs like any other's. Without labels the posterior is even and every rate
+stays one: nothing is known to be mixed.
 A domain that nothing belongs to is left out of the fit (its target cannot be
 met and counts in the gap). Columns of the input may have any names. Repeated rows share a rate and are drawn together. An empty table gives
 no rows. ``mixed`` returns the columns it is given.
@@ -175,8 +176,11 @@ class Fit:
         return float(np.abs(self.totals - self.targets).max() / max(self.targets.sum(), 1e-12))
 
 
-def fit_rates(rows: DataFrame, member: str, targets: np.ndarray | None = None, weights: dict[str, float] | None = None) -> Fit:
-    """Rates for rows with a struct ``member`` (tokens, p)."""
+def fit_rates(
+    rows: DataFrame, member: str, targets: np.ndarray | None = None, weights: dict[str, float] | None = None, labelled: bool = True
+) -> Fit:
+    """Rates for rows with a struct ``member`` (tokens, p); without ``labelled`` and targets
+    all stay one."""
     k = len(DOMAINS)
     p, t = F.col(member)["p"], F.col(member)["tokens"]
     name = fresh(rows, "rate")
@@ -204,7 +208,7 @@ def fit_rates(rows: DataFrame, member: str, targets: np.ndarray | None = None, w
 
     ((total, gram),) = totals([], [np.zeros(k)])
     if targets is None:
-        targets = default_targets(total, weights)
+        targets = default_targets(total, weights) if labelled else total
     there = np.where(total > 0, 1.0, 0.0)
     safe = np.linalg.pinv(gram, rcond=1e-9)
     steps: list[np.ndarray] = []
@@ -245,9 +249,10 @@ def copies(r: Column, key: Column) -> Column:
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, one posterior column for each domain, rate, copies and gap (of the
     whole mixture) for each row of ``docs``."""
-    udf = posterior(learn(docs, labels))
+    model = learn(docs, labels)
+    udf = posterior(model)
     rows = written(docs.select("doc_id", text_key().alias("tkey"), udf("text").alias("m")), "members")
-    fit = fit_rates(rows, "m", weights=weights)
+    fit = fit_rates(rows, "m", weights=weights, labelled=bool(model[0].any()))
     p = [F.col("m.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     taken = copies(F.col(fit.rate), F.col("tkey")).alias("copies")
     return fit.rows.select("doc_id", "m.tokens", *p, fit.rate, taken, F.lit(fit.gap).alias("gap"))
@@ -255,8 +260,9 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``docs``, each row as many times as the mixture takes it."""
-    udf, member = posterior(learn(docs, labels)), fresh(docs, "member")
-    fit = fit_rates(written(docs.withColumn(member, udf("text")), "members"), member, weights=weights)
+    model, member = learn(docs, labels), fresh(docs, "member")
+    rows = written(docs.withColumn(member, posterior(model)("text")), "members")
+    fit = fit_rates(rows, member, weights=weights, labelled=bool(model[0].any()))
     n = copies(F.col(fit.rate), text_key())
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return fit.rows.select(*columns, n.alias(fit.rate)).where(F.col(fit.rate) > 0).select(*columns, F.explode(F.sequence(F.lit(1), fit.rate))).select(*columns)

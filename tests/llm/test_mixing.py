@@ -119,7 +119,9 @@ def test_mixture(llm):
 
 def test_no_labels_and_empty(llm):
     _, docs, labels = fixture(llm)
-    assert mixing.mixture(docs, labels.limit(0)).count() == docs.count()
+    even = mixing.mixture(docs, labels.limit(0)).collect()
+    assert len(even) == docs.count() and all(r["rate"] == 1 and r["copies"] == 1 and r["gap"] == 0 for r in even)
+    assert mixing.mixed(docs, labels.limit(0)).count() == docs.count()
     assert mixing.mixture(docs.limit(0), labels).count() == 0
     assert mixing.mixed(docs.limit(0), labels).count() == 0
 

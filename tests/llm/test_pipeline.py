@@ -82,3 +82,51 @@ def test_empty_documents(llm):
 def test_language_of_the_whole_corpus(llm):
     docs = llm.read.parquet(f"{SF}/documents.parquet")
     assert language.identify(docs).count() == docs.count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, `member` string, `rate` int"
+
+
+def edge_tables(llm, tmp_path, rows, benchmark, labels):
+    """The tables that the stages read, as a folder."""
+    sf = f"{tmp_path}/sf"
+    docs = llm.createDataFrame([(i, t, lang, None, None if t is None else len(t), 9, "m", 3) for i, t, lang in rows], SCHEMA)
+    docs.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    llm.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    llm.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    return sf
+
+
+def test_edge_cases(llm, tmp_path):
+    """Nulls, empty and long texts, repeats, extra and clashing columns, through all stages."""
+    words = "river mountain forest market garden window bridge letter candle winter summer morning".split()
+    say = lambda k, n=40: " ".join(words[(k * 7 + j * (k % 5 + 1)) % 12] + str((k * j) % 11) for j in range(n))
+    item = " ".join(f"item{j}" for j in range(20))
+    rows = [(i, say(i), "en") for i in range(60)] + [(3, say(3), "en"), (3, say(3), "en"), (70, say(5), None)]
+    rows += [(71, None, "en"), (72, "", None), (None, "12 34 !!", "en"), (None, say(61), "en"), (73, say(62, 30000), "en")]
+    rows += [(74, f"{say(63, 10)} {item} {say(64, 10)}", "en")]
+    labels = [(i, int(i % 6 > 0), int(i % 6 == 1)) for i in range(50)] + [(None, 1, 0), (4, None, None)]
+    sf = edge_tables(llm, tmp_path, rows, [(1, item), (None, None), (2, "")], labels)
+    docs = llm.read.parquet(f"{sf}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(llm, docs, sf), name)
+        seen[name] = docs.collect()
+        if name != "sharding":
+            assert docs.columns == columns
+    left = [r["doc_id"] for r in seen["language_id"]]
+    assert len(left) == len(rows) - 3 and not {71, 72} & set(left)
+    texts = Counter(r["text"] for r in seen["near_dedup"])
+    assert max(texts.values()) == 1 and texts[rows[3][1]] == 1
+    assert 74 not in {r["doc_id"] for r in seen["decontamination"]}
+    assert {r["doc_id"] for r in seen["decontamination"]} == {r["doc_id"] for r in seen["near_dedup"]} - {74}
+    assert {(r["member"], r["rate"], r["shard"]) for r in seen["mixing"]} == {("m", 3, 9)}
+    assert Counter(r["text"] for r in seen["sharding"]) == Counter(r["text"] for r in seen["mixing"])
+    check_shards([(r["doc_id"], r["text"]) for r in seen["mixing"]], seen["sharding"], 24)
+
+
+def test_empty_tables(llm, tmp_path):
+    sf = edge_tables(llm, tmp_path, [], [], [])
+    assert corpus_pipeline.run(llm, sf).count() == 0
+    docs = edge_tables(llm, tmp_path / "b", [(1, "some words here", "en"), (2, "other words there", "en")], [], [])
+    assert corpus_pipeline.run(llm, docs).count() == 2
